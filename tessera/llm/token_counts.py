@@ -3,9 +3,9 @@
 A task groups its documents into blocks and turns each block into an inverted list: for each
 distinct pre-token, the documents that hold it and how often. Pre-tokens that are pieces
 themselves count 1 and are summed on the spot; that table is the tokenizer's vocabulary, whose
-size is fixed. The others meet in one exchange by pre-token, where each distinct one is split
-into pieces once, and the counts are joined back to the lists. Sums return by block. No ids are
-made for any document.
+size is fixed. The others meet in one exchange, sorted by pre-token, where each distinct one is
+split into pieces once and its count joined, in passing, to the lists of all blocks. Sums return by
+block. No ids are made for any document.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from tessera.llm import pieces
 
@@ -74,21 +73,25 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         if texts:
             yield _block(ids, texts, tokenizer, f"{part}-{seq}")
 
-    @pandas_udf("int")
-    def n_pieces(tokens: pd.Series) -> pd.Series:
-        text = tokens.str.slice(1).where(tokens.str.startswith("t"), "")
-        return pd.Series(pieces.load(tokenizer).counts(text.tolist()))
-
     def sums(frames):
-        """What a task's pre-tokens add to each document of a block: (place, sum) pairs."""
+        """What a task's pre-tokens add to each document of a block: (place, sum) pairs.
+
+        Lists come in order of their pre-token, so each distinct one is split into pieces once.
+        """
+        p = pieces.load(tokenizer)
         places: dict[str, list] = {}
+        last: dict[str, int] = {}
         for frame in frames:
-            for token, block, wide, payload, n in zip(frame["token"], frame["block"], frame["wide"], frame["payload"], frame["n"], strict=True):
+            new = [t for t in frame["token"].unique().tolist() if t not in last]
+            last |= dict(zip(new, p.counts([t[1:] if t[0] == "t" else "" for t in new]), strict=True))
+            for token, block, wide, payload in zip(frame["token"], frame["block"], frame["wide"], frame["payload"], strict=True):
+                n = last[token]
                 if token[0] == "m":
                     yield pd.DataFrame({"block": [block], "meta": [True], "payload": [payload]})
                     continue
                 pair = np.frombuffer(payload, "<u4" if wide else "<u2").reshape(-1, 2)
                 places.setdefault(block, []).append((pair[:, 0].astype("i8"), pair[:, 1].astype("i8") * n))
+            last = {k: last[k] for k in [frame["token"].iloc[-1]]} if len(frame) else last
         for block, found in places.items():
             at, add = (np.concatenate(x) for x in zip(*found, strict=True))
             total = np.bincount(at, weights=add).astype("i8")
@@ -105,8 +108,6 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         return pd.DataFrame({"id": ids, "n_bytes": meta[2], "n_tokens": total})
 
     lists = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(blocks, "token string, block string, wide boolean, payload binary")
-    lists = lists.repartition("token")
-    counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("blocks")).select("token", n_pieces("token").alias("n"))
-    partial = lists.join(counts, "token").select("token", "block", "wide", "payload", "n").mapInPandas(sums, "block string, meta boolean, payload binary")
+    partial = lists.repartition("token").sortWithinPartitions("token").mapInPandas(sums, "block string, meta boolean, payload binary")
     out = partial.groupBy("block").applyInPandas(rows, "id long, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
