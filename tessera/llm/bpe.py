@@ -133,6 +133,11 @@ def encode_texts(p: pieces.Pieces, texts: list[str], known: list[dict[int, bytes
     return out, reused
 
 
+def _packed(p: pieces.Pieces) -> str:
+    """The type of ids on their way between documents."""
+    return "<u2" if len(p.bytes) <= 1 << 16 else "<u4"
+
+
 def both_forms(ids: bytes, decoded: bytes) -> tuple:
     """What encode_documents returns of a document by default."""
     return np.frombuffer(ids, "<u4").tolist(), decoded.decode()
@@ -176,14 +181,15 @@ def encode_documents(
                 for part in chunks((text or "").encode("utf-8", "surrogatepass")):
                     if (key := chunk_key(part)) in wanted and key not in out:
                         out[key] = part.decode("utf-8", "surrogatepass")
-            yield pd.DataFrame({"chunk": np.array(list(out), np.int64), "ids": p.encode_all(list(out.values()))})
+            packed = [np.frombuffer(x, "<u4").astype(_packed(p)).tobytes() for x in p.encode_all(list(out.values()))]
+            yield pd.DataFrame({"chunk": np.array(list(out), np.int64), "ids": packed})
 
     def finish(frames):
         p = pieces.load(tokenizer)
         for frame in frames:
             for start, texts in text_batches(frame["text"]):
                 part = frame.iloc[start : start + len(texts)]
-                known = [{x["chunk"]: x["ids"] for x in found} if found is not None else {} for found in part["known"]]
+                known = [{x["chunk"]: np.frombuffer(x["ids"], _packed(p)).astype("<u4").tobytes() for x in found} if found is not None else {} for found in part["known"]]
                 ids, reused = encode_texts(p, texts, known)
                 made = [emit(i, p.decode(i)) for i in ids]
                 out = {"id": part["id"].to_numpy()} | {n: [m[k] for m in made] for k, n in enumerate(names)}
