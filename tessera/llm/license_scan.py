@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +147,23 @@ def folded(text: str) -> tuple[int, bytes]:
     return len(words), b" " + b" ".join(words) + b" "
 
 
+def uncovered(intervals: list[tuple[int, int]]) -> list[bool]:
+    """Which intervals lie in none of the uncovered ones before them.
+
+    Only the widest intervals so far are kept, so starts and ends both ascend and one look-up decides.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for a, b in intervals:
+        k = bisect_right(starts, a)
+        out.append(not (k and ends[k - 1] >= b))
+        if out[-1]:
+            first, last = bisect_left(starts, a), bisect_right(ends, b)
+            starts[first:last], ends[first:last] = [a], [b]
+    return out
+
+
 def detections(line: bytes, every: tuple[Rule, ...]) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of what stands after suppression, in order of the text."""
     have: dict[bytes, bool] = {}
@@ -157,11 +176,8 @@ def detections(line: bytes, every: tuple[Rule, ...]) -> list[tuple[int, int, Rul
                 found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
                 break
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
-    kept: list[tuple[int, int, Rule]] = []
-    for a, b, rule in found:
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
-    return sorted(kept, key=lambda d: d[:2])
+    free = uncovered([d[:2] for d in found])
+    return sorted((d for d, ok in zip(found, free, strict=True) if ok), key=lambda d: d[:2])
 
 
 def scan_text(text: str) -> dict:
@@ -170,7 +186,8 @@ def scan_text(text: str) -> dict:
     places = [(m.start(), label) for pattern, label in _BASE for m in pattern.finditer(line)]
     found = detections(line, rules())
     base = {label for _, label in places}
-    starts = [line.count(b" ", 0, p) for p, _ in places]
+    edges = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts = np.searchsorted(edges, [p for p, _ in places]).tolist()
     miss = 1.0
     for _, _, rule in found:
         miss *= 1 - rule.confidence
@@ -182,7 +199,7 @@ def scan_text(text: str) -> dict:
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | {rule.label for _, _, rule in found})),
         "score": 1 - miss,
-        "spans": [{"label": rule.label, "first": line.count(b" ", 0, a) - 1, "last": line.count(b" ", 0, b) - 1, "confidence": rule.confidence} for a, b, rule in found],
+        "spans": [{"label": rule.label, "first": int(x) - 1, "last": int(y) - 1, "confidence": rule.confidence} for (_, _, rule), x, y in zip(found, np.searchsorted(edges, [d[0] for d in found]), np.searchsorted(edges, [d[1] for d in found]), strict=True)],
     }
 
 
