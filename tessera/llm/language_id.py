@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import text_batches
@@ -132,14 +133,14 @@ def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text", keep: li
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pairs of languages times SIZE floats
     source = docs.select(*(keep or []), F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
-    def predict(frames):
-        for frame in frames:
+    def predict(batches):
+        for batch in batches:
             found: list[tuple[str, float]] = []
-            for _, texts in text_batches(frame["_text"], 2_000_000):
+            for _, texts in text_batches(batch.column(batch.num_columns - 1).to_pylist(), 2_000_000):
                 found += shared.value.predict(texts)
-            out = frame.drop(columns="_text")
-            yield out.assign(lang_pred=[x for x, _ in found], score=np.array([s for _, s in found], float))
+            made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
-    return source.mapInPandas(predict, ", ".join([x for x in (schema, "lang_pred string, score double") if x]))
+    return source.mapInArrow(predict, schema)
