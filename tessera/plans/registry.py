@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from tessera.plans import graphs, learners, retrieval
+
+MODULES = (retrieval, learners, graphs)
 
 
 def queries() -> dict:
