@@ -7,7 +7,7 @@ import pytest
 from tessera.operators import graph
 from tessera.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
