@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def one_space(text):
+    """The text with every white space character as a space, by plain replacements."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def words(text):
+    """The words of a text column; null for null. A single character is split at without a regular expression."""
+    return F.array_remove(F.split(one_space(text), " "), "")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

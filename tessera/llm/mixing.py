@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACE
+from tessera.llm.common import stash, words
 
 #: Weights of the sources in order, repeating; the share of all words to take; most copies of a document.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
@@ -23,7 +23,8 @@ SEED = "mix-1"
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^" + SPACE[1:-2] + "]+")), F.lit(0)).cast("long")
+    """Words of each text: what stands between white space; a null text has none."""
+    return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -55,9 +56,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     lean = F.lit(1.0) if leaning is None else leaning.cast("double")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), lean.alias("lean"))
+    d = stash(d, "mix-sizes")  # the texts are read once
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     leant = d.groupBy("source").agg(F.sum(F.col("size") * F.col("lean")).alias("leant"))
     plan = goal.join(leant, goal["source"].eqNullSafe(leant["source"])).select(goal["source"].alias("to"), "source_size", "target", F.when(F.col("leant") > 0, F.col("target") / F.col("leant")).otherwise(F.lit(0.0)).alias("each"))
+    plan = stash(plan, "mix-plan")  # a row for each source; Spark sees by its size whether to broadcast it
     d = d.join(plan, d["source"].eqNullSafe(plan["to"])).drop("to")
     d = d.withColumn("e", F.least(F.lit(float(most)), F.col("each") * F.col("lean")))
     d = d.withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
@@ -67,12 +70,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
     typical = F.greatest(F.lit(1e-9), F.col("each") - F.floor("each"))
     scaled = F.col("rank") * typical / F.greatest(F.lit(1e-9), 1 - typical)
-    d = d.withColumn("bin", F.coalesce(F.least(F.lit(BINS - 1), F.floor(BINS * scaled / (1 + scaled))), F.lit(-1)).cast("int"))
+    # rows without a rank are spread over bins below zero, where they weigh nothing
+    unranked = -1 - F.pmod(F.xxhash64("id"), F.lit(BINS))
+    d = d.withColumn("bin", F.coalesce(F.least(F.lit(BINS - 1), F.floor(BINS * scaled / (1 + scaled))), unranked).cast("int"))
     sums = d.groupBy("source", "bin").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("inside"), F.sum(F.col("certain") * F.col("size")).alias("sure"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("to"), F.col("bin").alias("to_bin"), F.coalesce(F.sum("inside").over(upto), F.lit(0)).alias("before_bin"), F.sum("sure").over(Window.partitionBy("source")).alias("sure"))
     d = d.join(sums, d["source"].eqNullSafe(sums["to"]) & (d["bin"] == sums["to_bin"]))
-    inside = Window.partitionBy("source", "bin", F.when(F.col("rank").isNull(), F.pmod(F.xxhash64("id"), F.lit(BINS))).otherwise(-1)).orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_bin") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     take = F.col("rank").isNotNull() & (before + F.col("size") / 2.0 <= F.col("target") - F.col("sure"))
     copies = (F.col("certain") + take.cast("long")).cast("long")
