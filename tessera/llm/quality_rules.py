@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stash
+from tessera.llm.common import one_space, stash
 
 #: The share of documents that the estimates rest on, and the concentration steps.
 SHARE, STEPS = 0.75, 4
@@ -27,6 +27,8 @@ PRIOR = 100
 FLOOR = (0.05, 0.25, 0.3, 0.5)
 #: A document is rejected if so rare under the estimates.
 TAIL = 1e-6
+#: Characters that count as symbols.
+SYMBOLS = "#*$%&|<>"
 _P = len(FLOOR)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
@@ -54,21 +56,27 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text has no words. All expressions stay in the row: no text is shuffled or exploded.
     """
-    space = r"[\\x20\\x09-\\x0D]+"
     keep = [c for c in docs.columns if c != text_col]
     d = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).drop(text_col)
-    d = d.withColumn("_words", F.expr(f"array_remove(split(_text, '{space}'), '')"))
-    d = d.withColumn("_lines", F.expr(r"filter(split(_text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
+    d = d.withColumn("_flat", one_space(F.col("_text"))).withColumn("_words", F.array_remove(F.split("_flat", " "), ""))
+    d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
     d = d.withColumn("_n", F.size("_words"))
-    # all 3-word windows with their places, sorted: equal ones stand side by side
-    d = d.withColumn("_sorted", F.expr("if(_n < 4, null, sort_array(arrays_zip(slice(_words, 1, _n - 2), slice(_words, 2, _n - 2), slice(_words, 3, _n - 2), sequence(0, _n - 3))))"))
-    same = "(x['0'] = get(_sorted, i {0} 1)['0'] and x['1'] = get(_sorted, i {0} 1)['1'] and x['2'] = get(_sorted, i {0} 1)['2'])"
-    d = d.withColumn("_twice", F.expr(f"transform(filter(_sorted, (x, i) -> {same.format('-')} or {same.format('+')}), x -> x['3'])"))
+    # half a hash of each 3-word window above its place, sorted as numbers: places that share the half hash may hold equal windows
+    d = d.withColumn("_hashed", F.expr("if(_n < 4, null, sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(_words[i], _words[i + 1], _words[i + 2]), 32) + i)))"))
+    near = "shiftright(x, 32) = shiftright(get(_hashed, i {0} 1), 32)"
+    d = d.withColumn("_maybe", F.expr(f"transform(filter(_hashed, (x, i) -> {near.format('-')} or {near.format('+')}), x -> int(x & 4294967295))"))
+    # of those, the windows themselves, sorted: equal ones stand side by side
+    d = d.withColumn("_sorted", F.expr("sort_array(transform(_maybe, p -> struct(_words[p] as a, _words[p + 1] as b, _words[p + 2] as c, p as p)))"))
+    same = "(x.a = get(_sorted, i {0} 1).a and x.b = get(_sorted, i {0} 1).b and x.c = get(_sorted, i {0} 1).c)"
+    d = d.withColumn("_twice", F.expr(f"transform(filter(_sorted, (x, i) -> {same.format('-')} or {same.format('+')}), x -> x.p)"))
+    without = F.col("_text")
+    for c in SYMBOLS:
+        without = F.replace(without, F.lit(c), F.lit(""))
     return d.select(
         *keep,
         F.col("_n").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.replace("_flat", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        (F.octet_length("_text") - F.octet_length(without)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.expr("size(array_distinct(flatten(transform(_twice, x -> array(x, x + 1, x + 2)))))"), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
@@ -84,8 +92,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(names, "_pair").drop("_pair", "_lang")
 
 
-def _distance(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of each group's scatter, as columns L_i_j."""
+def _factors(estimates: DataFrame) -> DataFrame:
+    """(_group, m_i, L_i_j): each group's location and the Cholesky factor of its scatter, written."""
     made: dict[tuple[int, int], Column] = {}
     for i, j in _PAIRS:
         rest = F.col(f"s_{i}_{j}")
@@ -93,12 +101,12 @@ def _distance(estimates: DataFrame) -> DataFrame:
             rest = rest - F.col(f"L_{i}_{k}") * F.col(f"L_{j}_{k}")
         made[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"L_{j}_{j}")
         estimates = estimates.withColumn(f"L_{i}_{j}", made[i, j])
-    return estimates.select("_group", *[f"m_{i}" for i in range(_P)], *[f"L_{i}_{j}" for i, j in _PAIRS])
+    return stash(estimates.select("_group", *[f"m_{i}" for i in range(_P)], *[f"L_{i}_{j}" for i, j in _PAIRS]), "quality-factors")
 
 
-def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, factors: DataFrame, how: str = "inner") -> DataFrame:
     """Adds _d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(_distance(estimates), "_group", "left")
+    out = rows.join(factors, "_group", how)
     for i in range(_P):
         rest = F.col(f"x_{i}") - F.col(f"m_{i}")
         for k in range(i):
@@ -108,12 +116,17 @@ def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.select(*rows.columns, total.alias("_d2"))
 
 
-def _binned_quantile(rows: DataFrame, value: Column, share: float, name: str) -> DataFrame:
-    """(_group, name): the upper end of the bin in which the share of each group's values is reached."""
-    counts = rows.select("_group", value.alias("bin")).groupBy("_group", "bin").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("_group").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(Window.partitionBy("_group"))})
-    return counts.where(F.col("upto") >= share * F.col("all")).groupBy("_group").agg(F.min("bin").alias(name))
+def _binned_quantiles(rows: DataFrame, values: dict[str, Column], share: float) -> DataFrame:
+    """(_group, total, one column for each value): the bin in which the share of each group's values is reached.
+
+    Only counts of bins are shuffled, for all values in one go; the rows stay where they are.
+    """
+    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), v.cast("long").alias("bin")) for k, v in values.items()]))
+    counts = rows.select("_group", bins.alias("b")).groupBy("_group", "b.of", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("_group", "of")
+    counts = counts.withColumns({"upto": F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(one)})
+    reached = counts.where(F.col("upto") >= share * F.col("total"))
+    return reached.groupBy("_group").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("of") == k, F.col("bin"))).alias(k) for k in values])
 
 
 def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -124,8 +137,10 @@ def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     """
     rows = stats.withColumns({"_lang0": F.col(lang_col), "_source0": F.col(source_col)})
     judged = _grouped(rows.where("not base_failed").select("_row", "_lang0", "_source0", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    judged = stash(judged, "quality-groups")
     length = F.floor(F.log(F.col("word_chars") / F.col("n_words")) * 200)
-    typical = _binned_quantile(judged, length, 0.5, "typical")
+    # tables of a few rows a group are written, so Spark knows their size when it chooses a join
+    typical = stash(_binned_quantiles(judged, {"typical": length}, 0.5).drop("total"), "quality-typical")
     rate = lambda c: F.log1p(100 * F.col(c) / (F.col("n_words") + PRIOR))
     level = F.exp((F.col("typical") + 0.5) / 200)
     judged = judged.join(typical, "_group").select(
@@ -133,23 +148,21 @@ def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     )
     judged = stash(judged, "quality-vectors")
     # medians and median deviations start it, in bins of a tenth of each floor
-    estimates = judged.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    for i, floor in enumerate(FLOOR):
-        estimates = estimates.join(_binned_quantile(judged, F.floor(F.col(f"x_{i}") / (floor / 10)), 0.5, f"m_{i}"), "_group").withColumn(f"m_{i}", (F.col(f"m_{i}") + 0.5) * (floor / 10))
+    bins = {f"m_{i}": F.floor(F.col(f"x_{i}") / (floor / 10)) for i, floor in enumerate(FLOOR)}
+    estimates = _binned_quantiles(judged, bins, 0.5).where(F.col("total") >= LEAST).drop("total")
+    estimates = estimates.withColumns({f"m_{i}": (F.col(f"m_{i}") + 0.5) * (floor / 10) for i, floor in enumerate(FLOOR)})
     estimates = stash(estimates, "quality-start")
-    centred = judged.join(estimates, "_group")
-    for i, floor in enumerate(FLOOR):
-        spread = _binned_quantile(centred, F.floor(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) / (floor / 10)), 0.5, f"d_{i}")
-        estimates = estimates.join(spread, "_group").withColumn(f"s_{i}_{i}", F.pow((F.col(f"d_{i}") + 0.5) * (floor / 10) * 1.4826, 2) + floor**2)
-    estimates = estimates.withColumns({f"s_{i}_{j}": F.lit(0.0) for i, j in _PAIRS if i != j})
+    bins = {f"d_{i}": F.floor(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) / (floor / 10)) for i, floor in enumerate(FLOOR)}
+    estimates = estimates.join(_binned_quantiles(judged.join(estimates, "_group"), bins, 0.5).drop("total"), "_group")
+    estimates = estimates.withColumns({f"s_{i}_{j}": F.pow((F.col(f"d_{i}") + 0.5) * (FLOOR[i] / 10) * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0) for i, j in _PAIRS})
     for _ in range(STEPS):
-        estimates = stash(estimates, "quality-estimates")
-        measured = _measured(judged, estimates).where("_d2 is not null")
+        measured = _measured(judged, _factors(estimates))
         place = F.floor(F.log(F.col("_d2") + 1e-6) * 64)
-        core = measured.join(_binned_quantile(measured, place, SHARE, "cut"), "_group").where(place <= F.col("cut"))
+        cut = stash(_binned_quantiles(measured, {"cut": place}, SHARE).drop("total"), "quality-cuts")
+        core = measured.join(cut, "_group").where(place <= F.col("cut"))
         moments = core.groupBy("_group").agg(*[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)], *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i, j in _PAIRS])
         estimates = moments.withColumns({f"s_{i}_{j}": F.col(f"c_{i}_{j}") * CONSISTENT + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS})
-    final = _measured(judged, stash(estimates, "quality-estimates")).select("_row", F.col("_d2").alias("distance2"))
+    final = _measured(judged, _factors(estimates), "left").select("_row", F.col("_d2").alias("distance2"))
     return rows.drop("_lang0", "_source0").join(final, "_row", "left")
 
 
