@@ -92,8 +92,13 @@ class ShardStore:
             made += 1
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version. An empty store or version cannot be read."""
+        """The rows of a version: none, with the columns appended, if no shard has a row.
+
+        A store without a version cannot be read.
+        """
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
+        if not paths:  # arrivals without rows leave a file that holds their columns and no version lists
+            return self.spark.read.parquet(f"{self.root}/shards/*").where("false")
         return self.spark.read.parquet(*paths)
 
     def vacuum(self) -> int:
@@ -114,8 +119,9 @@ class ShardStore:
 def shard(store: ShardStore, arrivals: list[DataFrame]) -> DataFrame:
     """Append each arrival, compact and vacuum after each; the rows of the final version.
 
-    Every row of every arrival is in the result once, with all its columns as they were, nulls,
-    repeated rows and empty arrivals included. Columns must agree between arrivals.
+    Every row of every arrival is in the result once, with all its columns as they were, whatever
+    their names: nulls, repeated rows, empty and very long texts too. Arrivals without rows add
+    nothing; if none has any, the result is empty. Columns must agree between arrivals.
     """
     for df in arrivals:
         store.append(df)
