@@ -47,7 +47,7 @@ class ShardStore:
     def commit(self, manifest: DataFrame, version: int) -> int:
         """Make ``manifest`` version ``version``; FileAlreadyExistsException if another writer was first."""
         draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
-        manifest.write.parquet(draft)
+        manifest.coalesce(1).write.parquet(draft)  # one short row for each shard, which readers list in one go
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
         how = self.spark.sparkContext._gateway.new_array(self._rename, 1)
         how[0] = self._rename.NONE
@@ -80,14 +80,13 @@ class ShardStore:
         """
         made = 0
         while True:
-            full = self.tiers().where("tier is not null").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fan_in).orderBy("tier").limit(1).collect()
+            tiers = self.tiers()
+            full = tiers.where("tier is not null").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.collect_list("path").alias("paths")).where(F.col("n") >= self.fan_in).orderBy("tier").limit(1).collect()
             if not full:
                 return made
-            run = self.tiers().where(F.col("tier") == full[0]["tier"])
-            paths = [r["path"] for r in run.select("path").toLocalIterator()]
             version = self.versions()[-1] + 1
-            merged = self._write(self.spark.read.parquet(*paths).coalesce(max(1, round(full[0]["bytes"] / self.target))), version)
-            rest = self.manifest().join(run.select("path"), "path", "left_anti")
+            merged = self._write(self.spark.read.parquet(*full[0]["paths"]).coalesce(max(1, round(full[0]["bytes"] / self.target))), version)
+            rest = tiers.where(~F.col("tier").eqNullSafe(full[0]["tier"])).drop("tier")
             self.commit(rest.unionByName(merged), version)
             made += 1
 
@@ -96,7 +95,7 @@ class ShardStore:
 
         A store without a version cannot be read.
         """
-        paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
+        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
         if not paths:  # arrivals without rows leave a file that holds their columns and no version lists
             return self.spark.read.parquet(f"{self.root}/shards/*").where("false")
         return self.spark.read.parquet(*paths)
@@ -108,7 +107,7 @@ class ShardStore:
         for v in self.versions()[:-1]:
             part = self.manifest(v).select("path")
             old = part if old is None else old.unionByName(part)
-        gone = [] if old is None else [r["path"] for r in old.distinct().join(live, "path", "left_anti").toLocalIterator()]
+        gone = [] if old is None else [r["path"] for r in old.distinct().join(live, "path", "left_anti").collect()]
         for path in gone:
             self._fs.delete(self._path(path), False)
         for v in self.versions()[:-1]:
