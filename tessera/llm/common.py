@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The words of every operator here: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -48,6 +49,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of each group: those whose ``id`` hashes lowest.
+
+    Groups must be few. Counts give each a share of the hashes that holds twice the limit on average,
+    so that only about as many rows are ranked, however large the group.
+    """
+    share = rows.groupBy(group).agg((2.0 * limit / F.count(F.lit(1))).alias("_share"))
+    near = rows.join(F.broadcast(share), group).where(F.xxhash64("id") / 2.0**64 + 0.5 < F.col("_share"))
+    order = Window.partitionBy(group).orderBy(F.xxhash64("id"), "id")
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank", "_share")
+
+
 def text_batches(texts, limit: int = 4_000_000):
     """Split a column of texts into runs of about ``limit`` characters: (first row, texts).
 

@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
-from tessera.llm.common import text_batches
+from tessera.llm.common import hash_sample, text_batches
 from tessera.llm.linear import fit_hinge
 
 #: Families of language codes; a language that is not listed is a family of its own.
@@ -106,9 +105,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     only; the texts of the sample, a bounded number, come to the driver, where the machines are small.
     """
     known = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("id").distinct()
-    chosen = F.broadcast(chosen)  # SAMPLE rows for each language at most
+    chosen = F.broadcast(hash_sample(known, "lang", SAMPLE).select("id").distinct())  # SAMPLE rows for each language at most
     sample = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).join(chosen, docs[id_col] == chosen["id"], "left_semi").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toPandas()
     by_lang: dict[str, list] = {}
     for lang, text in sample.sort_values("id")[["lang", "text"]].itertuples(index=False):

@@ -14,10 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import hashing
-from tessera.llm.common import text_batches
+from tessera.llm.common import hash_sample, text_batches
 from tessera.llm.linear import fit_hinge, fit_sigmoid
 
 #: Buckets of word n-grams and of byte trigrams.
@@ -105,9 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & train)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     ratios = log_ratios(texts.join(marks, "id").select("text", "label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = marks.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).drop("k")
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").toPandas().sort_values("id")  # 2 * SAMPLE rows at most
+    chosen = hash_sample(marks, "label", SAMPLE)
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").toPandas().sort_values(["id", "label"])  # 2 * SAMPLE rows at most
     y = sample["label"].to_numpy(int)
     if len(set(y)) < 2:
         share = float((y.sum() + 1) / (len(y) + 2))
