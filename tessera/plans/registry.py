@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graphs, learners, retrieval
+from tessera.plans import graphs, learners, readiness, retrieval, streams
 
-MODULES = (retrieval, learners, graphs)
+MODULES = (retrieval, learners, graphs, readiness, streams)
 
 
 def queries() -> dict:

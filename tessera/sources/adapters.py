@@ -19,8 +19,12 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, kc_id, score, confidence, hint_ladder, ts, event_id): each event as an attempt out of 1."""
+    return attempts_of(table(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     kc = F.get_json_object("props", "$.k").cast("int") % 20
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "user_id", kc.alias("kc_id"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), (1 + F.col("event_id") % 5).alias("confidence"), (F.col("event_id") % 3).alias("hint_ladder"), "ts", "event_id"
     )
 
