@@ -26,6 +26,8 @@ from tessera.llm.common import stash, text_batches
 
 #: N-grams that the global order sorts by frequency: at most so many, which bounds the broadcast.
 FREQUENT = 1 << 18
+#: Rows of one n-gram's list that a task holds; a longer list leaves in portions, under one name.
+PORTION = 1_000_000
 #: Documents of a list that a task joins at once; longer lists are joined block by block.
 BLOCK = 1024
 
@@ -177,7 +179,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, portion: int = PORTION) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id (the smallest id reachable).
 
     Words are runs of anything but ASCII white space, A-Z in lower case. A set holds the distinct
@@ -246,6 +248,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Lists of at least two sets near enough in size, each list of members once in a task."""
         made: set[int] = set()
         rest = None
+        split = None  # the n-gram whose list has left in part
+
+        def parted(part):
+            return pd.DataFrame({"list": hashing.mix(part["gram"].to_numpy().view(np.uint64)).view(np.int64)} | {k: part[k].to_numpy() for k in ("node", "size", "rare")})
 
         def out(part):
             gram, size = part["gram"].to_numpy(), part["size"].to_numpy(np.int64)
@@ -267,13 +273,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             same = np.concatenate([[True], (np.diff(frame["gram"].to_numpy()) != 0) | (np.diff(frame["node"].to_numpy()) != 0)])
             frame = frame[same]
             rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if split is not None:  # what still comes of a list that left in part goes under the same name
+                more = int(np.searchsorted(rest["gram"].to_numpy(), split, "right"))
+                if more:
+                    yield parted(rest.iloc[:more])
+                    rest = rest.iloc[more:]
+                if not len(rest):
+                    continue
+                split = None
             edge = int(np.searchsorted(rest["gram"].to_numpy(), rest["gram"].iloc[-1]))
-            if not edge and len(rest) > 1_000_000:  # a list beyond what a task should hold leaves in portions under the name of its n-gram
-                yield pd.DataFrame({"list": hashing.mix(rest["gram"].to_numpy().view(np.uint64)).view(np.int64)} | {k: rest[k] for k in ("node", "size", "rare")})
-                rest = rest.iloc[-1:]
-            elif edge:
+            if edge:
                 yield out(rest.iloc[:edge].drop_duplicates(["gram", "node"]))
                 rest = rest.iloc[edge:]
+            if len(rest) > portion:  # a list beyond what a task should hold leaves in portions under the name of its n-gram
+                split = int(rest["gram"].iloc[-1])
+                yield parted(rest)
+                rest = rest.iloc[:0]
         if rest is not None and len(rest):
             yield out(rest.drop_duplicates(["gram", "node"]))
 

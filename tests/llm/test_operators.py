@@ -259,6 +259,36 @@ def test_jaccard_components(spark):
     assert jaccard_join.jaccard_components(odd(spark, [])).count() == 0
 
 
+def test_jaccard_lists_in_portions(spark, monkeypatch):
+    """A list leaves in portions: x early, y last, similar to each other alone, meet in no other list."""
+    one = lambda t: jaccard_join._sets([t], 5)[0]
+    draw = np.random.default_rng(2)
+    word = lambda: f"v{draw.integers(0, 10**9)}"
+    shared = " ".join(word() for _ in range(5))
+    while (top := one(shared)[0] | np.uint64(1 << 63)) < np.uint64(0xF800000000000000):
+        shared = " ".join(word() for _ in range(5))
+    of_four = []  # sets of four n-grams, all with the shared one as their last in the global order
+    while len(of_four) < 6:
+        t = shared + " " + " ".join(word() for _ in range(3))
+        if (one(t) | np.uint64(1 << 63)).max() == top:
+            of_four.append(t)
+    of_four.sort(key=lambda t: jaccard_join._key(one(t)))
+    y = of_four[0] + " " + word()
+    while np.sort(one(y) | np.uint64(1 << 63))[-2] > top:
+        y = of_four[0] + " " + word()
+    made = list(enumerate([*of_four, y]))
+    want = sorted(brute_components(made), key=repr)
+    assert (6, 5, 0) in want and len({c for _, _, c in want}) == 6
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        got = jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"), portion=4)
+        assert rows_of(got, "doc_id", "n_shingles", "component_id") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_trie_search_is_exact():
     draw = np.random.default_rng(3)
     sets = [np.unique(draw.integers(0, 60, int(draw.integers(1, 50)))).astype(np.uint64) for _ in range(150)]
