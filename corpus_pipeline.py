@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, language_id, mixing, quality_rules
-from tessera.llm.common import stash
+from tessera.llm.common import numbered, stash
 from tessera.llm.queries import op5_bpe_round_trip
 
 #: Documents whose language is this unsure go.
@@ -30,15 +30,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones stays: the one with the smallest id."""
-    kept = jaccard_join.jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each component of similar ones stays: the one with the smallest id, null last, and of its likes one."""
+    rows = numbered(docs, "near-copies-rows")
+    found = jaccard_join.jaccard_components(rows.select("_number", "_doc.text"), id_col="_number").join(rows.select("_number", "_doc.doc_id"), "_number")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_number"))["_number"]
+    return rows.join(found.groupBy("component_id").agg(best.alias("_number")), "_number", "left_semi").select("_doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """Each row stands as often as the mix takes it."""
+    rows = numbered(docs, "mixing-rows")
+    taken = mixing.mix(rows.select("_number", "_doc.doc_id", "_doc.text", "_doc.source"), row_col="_number").where("copies > 0").select("_number", "copies")
+    return rows.join(taken, "_number").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_doc.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs``, written: _number, unlike for all rows, and the whole row as _doc.
+
+    Ids may be shared or missing; what is decided of a row is joined to it by its number.
+    """
+    return stash(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_number", F.monotonically_increasing_id()), name)
+
+
 def hash_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
     """At most ``limit`` rows of each group: those whose ``id`` hashes lowest.
 

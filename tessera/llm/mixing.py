@@ -45,17 +45,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int =
     return s.select("source", "source_size", F.when(F.col("water").isNull(), F.col("full")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED, leaning: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED, leaning: Column | None = None, row_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, size, source_size, target, copies, taken (words the mix takes).
 
     ``leaning`` (default: alike) is a positive factor of each document's inclusion within its source:
     expected copies follow it, at most ``most``. Random numbers come from the id and ``seed`` alone,
     so reruns agree. A null source is a source of its own; null and empty texts have size 0 and are
     never taken; null ids draw as one id; repeated rows are ranked one after the other; an empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; other columns are not read. ``row_col``, a column unlike for all rows,
+    is carried along, and orders rows of one id and size.
     """
+    row = [] if row_col is None else ["_of"]
     lean = F.lit(1.0) if leaning is None else leaning.cast("double")
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), lean.alias("lean"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), lean.alias("lean"), *[F.col(row_col).alias(c) for c in row])
     d = stash(d, "mix-sizes")  # the texts are read once
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     leant = d.groupBy("source").agg(F.sum(F.col("size") * F.col("lean")).alias("leant"))
@@ -77,8 +79,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("to"), F.col("bin").alias("to_bin"), F.coalesce(F.sum("inside").over(upto), F.lit(0)).alias("before_bin"), F.sum("sure").over(Window.partitionBy("source")).alias("sure"))
     d = d.join(sums, d["source"].eqNullSafe(sums["to"]) & (d["bin"] == sums["to_bin"]))
-    inside = Window.partitionBy("source", "bin").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("rank", "id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_bin") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     take = F.col("rank").isNotNull() & (before + F.col("size") / 2.0 <= F.col("target") - F.col("sure"))
     copies = (F.col("certain") + take.cast("long")).cast("long")
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"), *[F.col(c).alias(row_col) for c in row]).withColumn("taken", F.col("copies") * F.col("size"))

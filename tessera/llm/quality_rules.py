@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import one_space, stash
+from tessera.llm.common import numbered, one_space, stash
 
 #: The share of documents that the estimates rest on, and the concentration steps.
 SHARE, STEPS = 0.75, 4
@@ -184,9 +184,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that quality_rules keeps, with all their columns.
-
-    Rows that share an id stay or go together: all of them stay if any is kept.
-    """
-    verdict = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that quality_rules keeps, with all their columns; each is judged by itself, whatever its id."""
+    rows = numbered(docs, "quality-rows")
+    verdict = quality_rules(rows.select("_number", "_doc.text", "_doc.lang", "_doc.source"), id_col="_number").where("kept").select("_number")
+    return rows.join(verdict, "_number", "left_semi").select("_doc.*")

@@ -55,3 +55,27 @@ def test_odd_rows_pass_through_every_stage(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, SMALL).columns == rows.columns
             assert stage(spark, rows, SMALL).count() <= 2 * rows.count()
+
+
+def test_decisions_hold_for_rows_not_ids(spark):
+    rows = odd(spark).collect()
+    # near copies: one row of each component, and every row without words
+    parts = {}
+    for k, _, c in brute_components([(k, r["text"]) for k, r in enumerate(rows)]):
+        parts.setdefault(c, []).append(rows[k])
+    got = corpus_pipeline.near_copies(spark, odd(spark), SMALL).collect()
+    assert len(got) == len(parts) < len(rows)
+    least = [min((r["doc_id"] is None, r["doc_id"] or 0) for r in part) for part in parts.values()]
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == Counter(least)
+    # mixing: each row by its own copies
+    want = Counter()
+    for r in mixing.mix(odd(spark)).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    mixed = corpus_pipeline.mixture(spark, odd(spark), SMALL).withColumn("words", mixing.n_words(F.col("text")))
+    assert Counter((r["doc_id"], r["words"]) for r in mixed.collect()) == +want
+    # quality rules: rows without an id, or with a shared one, good and bad
+    good = [r for r in documents(spark, SMALL).select("text", "lang", "source").collect() if not base(r["text"])[-1]][:20]
+    for shared in (None, 5):
+        mine = [(shared, r["text"], r["lang"], r["source"]) for r in good] + [(shared, "too short", "en", "a"), (shared, None, None, None)]
+        docs = spark.createDataFrame(mine, "doc_id long, text string, lang string, source string")
+        assert bag(corpus_pipeline.quality(spark, docs, SMALL)) == Counter(mine[:-2])
