@@ -6,20 +6,48 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of so many rows at most is broadcast; rows of groups and models are some hundred bytes.
+FEW_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given where that is unset.
+
+    With neither, a session in a single process (tests) gets a temporary folder; on a cluster there is
+    none that executors are known to share, which is an error.
+    """
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not top:
-        top = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        top = context.getCheckpointDir()
     return top.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written in the shared folder and read back."""
+    """``df`` written as Parquet in the shared folder and read back.
+
+    Lineage ends there: a lost executor costs a read, not the work before it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, name: str, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has ``most`` rows or fewer; else it is joined like any table."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
