@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tessera.operators.shared import shared_folder as shared_dir
+from tessera.operators.shared import small
+from tessera.operators.shared import written as stash
+
+__all__ = ["SPACE", "hash_sample", "is_held_out", "map_texts", "numbered", "one_space", "shared_dir", "small", "stash", "text_batches", "words"]
+
 #: The words of every operator here: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -25,30 +32,6 @@ def words(text):
     return F.array_remove(F.split(one_space(text), " "), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (a local test session) a temporary folder is set instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Lineage ends there: a lost executor costs a read, not the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows of ``docs``, written: _number, unlike for all rows, and the whole row as _doc.
 
@@ -58,15 +41,15 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows of each group: those whose ``id`` hashes lowest.
+    """(group, id): at most ``limit`` ids of each group, those that hash lowest; repeated ones count once.
 
     Groups must be few. Counts give each a share of the hashes that holds twice the limit on average,
-    so that only about as many rows are ranked, however large the group.
+    so that only about as many ids are ranked, however large the group.
     """
-    share = rows.groupBy(group).agg((2.0 * limit / F.count(F.lit(1))).alias("_share"))
-    near = rows.join(F.broadcast(share), group).where(F.xxhash64("id") / 2.0**64 + 0.5 < F.col("_share"))
+    share = small(rows.groupBy(group).agg((2.0 * limit / F.count(F.lit(1))).alias("_share")), "sample-shares")
+    near = rows.join(share, group).where(F.xxhash64("id") / 2.0**64 + 0.5 < F.col("_share")).select(group, "id").distinct()
     order = Window.partitionBy(group).orderBy(F.xxhash64("id"), "id")
-    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank", "_share")
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def text_batches(texts, limit: int = 4_000_000):
@@ -86,6 +69,24 @@ def text_batches(texts, limit: int = 4_000_000):
         yield start, run
 
 
+def map_texts(docs: DataFrame, keep: list[Column], text: Column, made: str, work: Callable[[list[str]], list[pa.Array]], limit: int = 2_000_000) -> DataFrame:
+    """Columns ``keep`` of ``docs`` as they are, and columns ``made`` (DDL) that ``work`` makes of runs of texts.
+
+    What is kept passes as Arrow, so integers beside nulls stay exact. Null texts come as empty ones.
+    """
+    source = docs.select(*keep, text.alias("_text"))
+    schema = StructType([*source.schema.fields[:-1], *StructType.fromDDL(made).fields])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                parts = [work(texts) for _, texts in text_batches(batch.column(batch.num_columns - 1).to_pylist(), limit)]
+                columns = [pa.concat_arrays(list(x)) for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def is_held_out(doc_id):
     """crc32 of the id's decimal text, mod 4, is 2; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,21 +193,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     both = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def survey(frames):
+    def survey(batches):
         """A row for each document, and n-grams that different sets of this task share, in bounded portions."""
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
+        def made(kind, ids, nodes, sizes, sketches):
+            columns = [pa.array([kind] * len(ids), pa.int32()), ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "node", "n", "sketch"])
+
         def counted():
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"kind": 1, "id": pd.array(found[n > 1].view(np.int64), "Int64"), "node": 0, "n": n[n > 1], "sketch": b""})
+            found, n = found[n > 1].view(np.int64), n[n > 1]
+            return made(1, pa.array(found, pa.int64()), np.zeros(len(n), np.int64), n, [b""] * len(n))
 
-        for frame in frames:
-            for start, texts in text_batches(frame["text"]):
+        for batch in batches:
+            for start, texts in text_batches(batch.column(1).to_pylist()):
                 sets = _sets(texts, width)
                 keys = [_key(x) for x in sets]
-                yield pd.DataFrame({"kind": 0, "id": pd.array(frame["id"].iloc[start : start + len(texts)], "Int64"), "node": keys, "n": [len(x) for x in sets], "sketch": [_sketch(x) for x in sets]})
+                yield made(0, batch.column(0).slice(start, len(texts)), keys, [len(x) for x in sets], [_sketch(x) for x in sets])
                 for key, found in zip(keys, sets, strict=True):
                     if len(found) and key not in seen:
                         seen.add(key)
@@ -218,7 +224,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield counted()
 
-    seen = stash(both.mapInPandas(survey, "kind int, id long, node long, n long, sketch binary"), "jaccard-survey")
+    seen = stash(both.mapInArrow(survey, "kind int, id long, node long, n long, sketch binary"), "jaccard-survey")
     rows = seen.where("kind = 0").select("id", "node", F.col("n").alias("n_shingles"))
     counts = stash(seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "jaccard-counts")
     grams = frequent_grams(counts)

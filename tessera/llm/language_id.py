@@ -8,7 +8,7 @@ are fitted on a bounded sample; predictions read whole texts.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import hash_sample, text_batches
+from tessera.llm.common import hash_sample, map_texts
 from tessera.llm.linear import fit_hinge
 
 #: Families of language codes; a language that is not listed is a family of its own.
@@ -31,7 +30,6 @@ FAMILIES = {
 SAMPLE = 400
 #: Hashed trigrams, and the scale of their shares.
 SIZE, SCALE = 1 << 16, 20.0
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -39,6 +37,11 @@ _FOLD[128:] = np.arange(128, 256)
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's letter categories; numerals, marks and circled letters are not."""
+    return any(c.isalpha() and unicodedata.category(c)[0] == "L" for c in text)
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all texts one after the other, and where each text's begin."""
     raw = ["  " + t + " " for t in texts]
@@ -66,7 +69,7 @@ class Hierarchy:
         margins = {pair: np.add.reduceat(w[grams], at[:-1]) / sizes * SCALE + w[-1] for pair, w in (self.top | self.inner).items()}
         out = []
         for k, text in enumerate(texts):
-            if not _LETTER.search(text):
+            if not has_letter(text):
                 out.append((UNKNOWN, 0.0))
                 continue
             family, sure = _winner(sorted(self.families), margins, k)
@@ -102,11 +105,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Fit on at most SAMPLE documents of each language among the rows where ``train`` holds.
 
     Rows without a language or with an empty text are passed over. Ranking reads ids and languages
-    only; the texts of the sample, a bounded number, come to the driver, where the machines are small.
+    only; of documents that share an id and a language one is taken. The texts of the sample, a bounded
+    number, come to the driver, where the machines are small.
     """
-    known = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = F.broadcast(hash_sample(known, "lang", SAMPLE).select("id").distinct())  # SAMPLE rows for each language at most
-    sample = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).join(chosen, docs[id_col] == chosen["id"], "left_semi").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toPandas()
+    taught = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = F.broadcast(hash_sample(taught.select("id", "lang"), "lang", SAMPLE))  # SAMPLE rows for each language at most
+    sample = taught.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).toPandas()
     by_lang: dict[str, list] = {}
     for lang, text in sample.sort_values("id")[["lang", "text"]].itertuples(index=False):
         grams, _ = trigrams([text])
@@ -129,15 +133,9 @@ def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text", keep: li
     are read; nothing but the text is an input. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pairs of languages times SIZE floats
-    source = docs.select(*(keep or []), F.col(text_col).alias("_text"))
-    schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-
-    def predict(batches):
-        for batch in batches:
-            found: list[tuple[str, float]] = []
-            for _, texts in text_batches(batch.column(batch.num_columns - 1).to_pylist(), 2_000_000):
-                found += shared.value.predict(texts)
-            made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
-
-    return source.mapInArrow(predict, schema)
+
+    def predict(texts):
+        found = shared.value.predict(texts)
+        return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+
+    return map_texts(docs, keep or [], F.col(text_col), "lang_pred string, score double", predict)

@@ -14,10 +14,12 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_texts
+
 #: Phrases of the base scan and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -203,7 +205,9 @@ def scan_text(text: str) -> dict:
     }
 
 
-SCHEMA = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long, confidence: double>>"
+MADE = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long, confidence: double>>"
+_SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("confidence", pa.float64())])
+COLUMNS = dict.fromkeys(("n_words", "n_base", "first_word", "last_word"), pa.int64()) | dict.fromkeys(("base_labels", "labels"), pa.string()) | {"score": pa.float64(), "spans": pa.list_(_SPAN)}
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,12 +221,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not read. Whole texts are scanned.
     """
 
-    def scan(frames):
-        for frame in frames:
-            made = [scan_text(t if isinstance(t, str) else "") for t in frame["text"]]
-            out = pd.DataFrame(made, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-            out.insert(0, "id", pd.array(frame["id"], "Int64"))
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+    def scan(texts):
+        made = [scan_text(t) for t in texts]
+        return [pa.array([m[name] for m in made], kind) for name, kind in COLUMNS.items()]
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, SCHEMA)
-    return found.withColumnRenamed("id", id_col)
+    return map_texts(docs, [F.col(id_col).cast("long").alias(id_col)], F.col(text_col), MADE, scan)

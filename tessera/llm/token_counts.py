@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from tessera.llm import pieces
 
 #: Characters in a block, which bounds what a task keeps in memory at once.
 BLOCK = 24_000_000
+#: Places that a task adds up at once; sums leave in portions.
+HELD = 8_000_000
 
 
 def _block(ids, texts, path: str, name: str) -> pd.DataFrame:
@@ -41,7 +44,7 @@ def _block(ids, texts, path: str, name: str) -> pd.DataFrame:
             else:
                 found += (k, n)
         base.append(total)
-    meta = np.stack([np.array([0 if x is None or x != x else x for x in ids], "<i8"), np.array([x is not None and x == x for x in ids], "<i8"), np.array(size, "<i8"), np.array(base, "<i8")])
+    meta = np.stack([np.array([x or 0 for x in ids], "<i8"), np.array([x is not None for x in ids], "<i8"), np.array(size, "<i8"), np.array(base, "<i8")])
     tokens = ["t" + t for t in lists]
     payload = [np.array(v, "<u4").astype("<u2" if len(texts) < 65536 and max(v) < 65536 else "<u4").tobytes() for v in lists.values()]
     wide = [len(b) != len(v) * 2 for b, v in zip(payload, lists.values(), strict=True)]
@@ -56,22 +59,33 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     empty result; other columns are not read. Special strings inside a text count as their one id.
     """
 
-    def blocks(frames):
+    def arrow(frame):
+        return pa.RecordBatch.from_pandas(frame, pa.schema([("token", pa.string()), ("block", pa.string()), ("wide", pa.bool_()), ("payload", pa.binary())]), preserve_index=False)
+
+    def blocks(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
         texts: list[str] = []
         held = 0
-        for frame in frames:
-            for i, t in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True):
-                t = t if isinstance(t, str) else ""
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = t or ""
                 if texts and held + len(t) > BLOCK:
-                    yield _block(ids, texts, tokenizer, f"{part}-{seq}")
+                    yield arrow(_block(ids, texts, tokenizer, f"{part}-{seq}"))
                     ids, texts, held, seq = [], [], 0, seq + 1
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
         if texts:
-            yield _block(ids, texts, tokenizer, f"{part}-{seq}")
+            yield arrow(_block(ids, texts, tokenizer, f"{part}-{seq}"))
+
+    def added(places):
+        """The sums gathered so far, block by block."""
+        for block, found in places.items():
+            at, add = (np.concatenate(x) for x in zip(*found, strict=True))
+            total = np.bincount(at, weights=add).astype("i8")
+            where = np.flatnonzero(total)
+            yield pd.DataFrame({"block": [block], "meta": [False], "payload": [np.stack([where, total[where]]).astype("<i8").tobytes()]})
 
     def sums(frames):
         """What a task's pre-tokens add to each document of a block: (place, sum) pairs.
@@ -80,6 +94,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         """
         p = pieces.load(tokenizer)
         places: dict[str, list] = {}
+        held = 0
         last: dict[str, int] = {}
         for frame in frames:
             new = [t for t in frame["token"].unique().tolist() if t not in last]
@@ -91,12 +106,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     continue
                 pair = np.frombuffer(payload, "<u4" if wide else "<u2").reshape(-1, 2)
                 places.setdefault(block, []).append((pair[:, 0].astype("i8"), pair[:, 1].astype("i8") * n))
+                held += len(pair)
+                if held > HELD:
+                    yield from added(places)
+                    places, held = {}, 0
             last = {k: last[k] for k in [frame["token"].iloc[-1]]} if len(frame) else last
-        for block, found in places.items():
-            at, add = (np.concatenate(x) for x in zip(*found, strict=True))
-            total = np.bincount(at, weights=add).astype("i8")
-            where = np.flatnonzero(total)
-            yield pd.DataFrame({"block": [block], "meta": [False], "payload": [np.stack([where, total[where]]).astype("<i8").tobytes()]})
+        yield from added(places)
 
     def rows(group: pd.DataFrame) -> pd.DataFrame:
         meta = np.frombuffer(group.loc[group["meta"], "payload"].iloc[0], "<i8").reshape(4, -1)
@@ -107,7 +122,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         ids = pd.Series(meta[0], dtype="Int64").where(pd.Series(meta[1] == 1))
         return pd.DataFrame({"id": ids, "n_bytes": meta[2], "n_tokens": total})
 
-    lists = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(blocks, "token string, block string, wide boolean, payload binary")
+    lists = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, "token string, block string, wide boolean, payload binary")
     partial = lists.repartition("token").sortWithinPartitions("token").mapInPandas(sums, "block string, meta boolean, payload binary")
     out = partial.groupBy("block").applyInPandas(rows, "id long, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
