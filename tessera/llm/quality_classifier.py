@@ -1,9 +1,11 @@
 """A quality classifier: naive Bayes support vectors.
 
 Features are indicators of word unigrams, word bigrams and byte trigrams of the whole text, hashed.
-Log-count ratios of the classes come from all labelled training documents, by Spark; a linear
-machine is fitted on indicators times ratios, by dual coordinate descent, over a bounded sample; its
-margin goes through a sigmoid that is fitted on documents the machine has not seen.
+Log-count ratios of the classes come from a bounded sample of labelled training documents, counted by
+Spark; a linear machine is fitted on indicators times ratios, by dual coordinate descent, over a part
+of these; its margin goes through a sigmoid that is fitted on documents the machine has not seen.
+The ids of the sample are chosen first, from the labels alone, so that texts are filtered where they
+are read and only sampled ones move.
 """
 
 from __future__ import annotations
@@ -12,18 +14,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.common import hash_sample, text_batches
+from tessera.llm.common import hash_sample, map_texts, stash, text_batches
 from tessera.llm.linear import fit_hinge, fit_sigmoid
 
 #: Buckets of word n-grams and of byte trigrams.
 WORDS, BYTES = 1 << 18, 1 << 16
 SIZE = WORDS + BYTES
-#: Labelled documents of each class that the machine and the sigmoid are fitted on, at most.
-SAMPLE = 1500
+#: Labelled documents of each class that the ratios are counted on, at most, and of those the machine and the sigmoid.
+LABELLED, SAMPLE = 10_000, 1500
+#: Tasks that count the ratios; their texts are bounded by LABELLED.
+COUNTERS = 8
 #: Added to every count of a ratio.
 SMOOTH = 1.0
 #: The bucket of a word that stands twice in a row, whatever the word.
@@ -72,7 +77,7 @@ def _scaled(w: np.ndarray, found: np.ndarray) -> float:
 
 
 def log_ratios(labelled: DataFrame) -> np.ndarray:
-    """log of the class shares of each bucket, from all of (text, label); SIZE numbers at most leave Spark."""
+    """log of the class shares of each bucket, from (text, label); SIZE numbers at most leave Spark."""
 
     def count(frames):
         total = np.zeros((2, SIZE), np.int64)
@@ -97,15 +102,18 @@ def log_ratios(labelled: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on the labelled rows where ``train`` (a condition on ``id``) holds.
 
-    Labels other than 0 and 1, null ids and null texts are passed over; each row of ``labels``
-    counts, repeated ones too. If a class has no document, every text scores its only class's share
+    Labels other than 0 and 1, null ids and null texts are passed over; an id and label that stand
+    together several times count once. Of documents that share a sampled id, the ratios count all
+    and the machine takes one. If a class has no document, every text scores its only class's share
     (0.5 without any label).
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & train)
+    chosen = stash(hash_sample(marks, "label", LABELLED), "quality-labelled")  # 2 * LABELLED rows at most, hence broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    ratios = log_ratios(texts.join(marks, "id").select("text", "label"))
-    chosen = hash_sample(marks, "label", SAMPLE)
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").toPandas().sort_values(["id", "label"])  # 2 * SAMPLE rows at most
+    found = stash(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"), "quality-sample")
+    ratios = log_ratios(found.repartition(COUNTERS))
+    few = F.broadcast(hash_sample(chosen, "label", SAMPLE))
+    sample = found.join(few, ["id", "label"]).groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "label"])  # 2 * SAMPLE rows at most
     y = sample["label"].to_numpy(int)
     if len(set(y)) < 2:
         share = float((y.sum() + 1) / (len(y) + 2))
@@ -131,11 +139,5 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     keep their rows; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE numbers
-
-    def predict(frames):
-        for frame in frames:
-            found = [shared.value.score(texts) for _, texts in text_batches(frame["text"], 2_000_000)]
-            yield pd.DataFrame({"id": pd.array(frame["id"], "Int64"), "score": np.concatenate([*found, np.zeros(0)])})
-
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(predict, "id long, score double")
+    out = map_texts(docs, [F.col(id_col).alias("id")], F.col(text_col), "score double", lambda texts: [pa.array(shared.value.score(texts), pa.float64())])
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
