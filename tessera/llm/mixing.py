@@ -9,16 +9,18 @@ inside each bin, so no source has to meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stash, words
+from tessera.llm.common import small, stash, words
 
 #: Weights of the sources in order, repeating; the share of all words to take; most copies of a document.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
-#: Bins of a source's ranking.
-BINS = 1024
+#: Bins for each doubling of a rank; levels of leaning for each doubling.
+BINS, STEPS = 64, 8
 SEED = "mix-1"
 
 
@@ -45,42 +47,76 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int =
     return s.select("source", "source_size", F.when(F.col("water").isNull(), F.col("full")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED, leaning: Column | None = None, row_col: str | None = None) -> DataFrame:
+def middling(size: Column) -> Column:
+    """The leaning of the registered query: texts of 100 to 1000 words are twice as likely as others of their source."""
+    return F.when(size.between(100, 1000), 2.0).otherwise(1.0)
+
+
+def expectations(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
+    """(source, level, source_size, target, e, sure) from (source, level, words): expected copies at each level of leaning.
+
+    Within a source, e follows 2 ** (level / STEPS), is at most ``most``, and meets the target: levels
+    that reach ``most`` stop there and the others share what is left. sure: words of whole copies.
+    """
+    goal = targets(sizes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
+    s = sizes.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    s = s.withColumn("lean", F.pow(F.lit(2.0), F.col("level") / float(STEPS)))
+    down = Window.partitionBy("source").orderBy(F.desc("level"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * float(most)
+    rest = F.sum(F.col("words") * F.col("lean")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    s = s.withColumn("factor", F.when(rest > 0, (F.col("target") - above) / rest))
+    fits = F.when(F.col("factor") * F.col("lean") <= float(most), F.struct("level", "factor"))
+    s = s.withColumn("factor", F.max(fits).over(Window.partitionBy("source"))["factor"])
+    s = s.withColumn("e", F.coalesce(F.least(F.lit(float(most)), F.col("factor") * F.col("lean")), F.lit(float(most))))
+    sure = F.sum(F.floor("e") * F.col("words")).over(Window.partitionBy("source"))
+    return s.select("source", "level", "source_size", "target", "e", sure.alias("sure"))
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    total: float = TOTAL,
+    most: int = MOST,
+    seed: str = SEED,
+    leaning: Callable[[Column], Column] | None = None,
+    row_col: str | None = None,
+) -> DataFrame:
     """One row for each row of ``docs``: id, size, source_size, target, copies, taken (words the mix takes).
 
-    ``leaning`` (default: alike) is a positive factor of each document's inclusion within its source:
-    expected copies follow it, at most ``most``. Random numbers come from the id and ``seed`` alone,
-    so reruns agree. A null source is a source of its own; null and empty texts have size 0 and are
-    never taken; null ids draw as one id; repeated rows are ranked one after the other; an empty
-    table gives an empty result; other columns are not read. ``row_col``, a column unlike for all rows,
-    is carried along, and orders rows of one id and size.
+    ``leaning`` makes of a document's size a positive factor of its inclusion within its source
+    (default: alike), in steps of 1 / STEPS of its binary logarithm, from 2**-16 to 2**16; expected copies
+    follow it, at most ``most``. Random numbers come from the id and ``seed`` alone, so reruns agree. A
+    null source is a source of its own; null and empty texts have size 0 and are never taken; null ids
+    draw as one id; repeated rows are ranked one after the other; an empty table gives an empty result;
+    other columns are not read. ``row_col``, a column unlike for all rows, is carried along, and orders
+    rows of one id and size.
     """
     row = [] if row_col is None else ["_of"]
-    lean = F.lit(1.0) if leaning is None else leaning.cast("double")
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), lean.alias("lean"), *[F.col(row_col).alias(c) for c in row])
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[F.col(row_col).alias(c) for c in row])
+    lean = F.lit(1.0) if leaning is None else leaning(F.col("size")).cast("double")
+    d = d.withColumn("level", F.greatest(F.lit(-16 * STEPS), F.least(F.lit(16 * STEPS), F.rint(F.log2(lean) * STEPS))).cast("int"))
     d = stash(d, "mix-sizes")  # the texts are read once
-    goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
-    leant = d.groupBy("source").agg(F.sum(F.col("size") * F.col("lean")).alias("leant"))
-    plan = goal.join(leant, goal["source"].eqNullSafe(leant["source"])).select(goal["source"].alias("to"), "source_size", "target", F.when(F.col("leant") > 0, F.col("target") / F.col("leant")).otherwise(F.lit(0.0)).alias("each"))
-    plan = stash(plan, "mix-plan")  # a row for each source; Spark sees by its size whether to broadcast it
-    d = d.join(plan, d["source"].eqNullSafe(plan["to"])).drop("to")
-    d = d.withColumn("e", F.least(F.lit(float(most)), F.col("each") * F.col("lean")))
-    d = d.withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
+    sizes = stash(d.groupBy("source", "level").agg(F.sum("size").alias("words")), "mix-levels")
+    plan = small(expectations(sizes, weights, total, most).select(F.col("source").alias("to"), F.col("level").alias("to_level"), "source_size", "target", "e", "sure"), "mix-plan")
+    d = d.join(plan, d["source"].eqNullSafe(plan["to"]) & (d["level"] == plan["to_level"])).drop("to", "to_level", "level")
+    d = d.withColumn("certain", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("certain"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
     d = d.withColumn("u", (drawn + 0.5) / float(2**52))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    d = d.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
-    typical = F.greatest(F.lit(1e-9), F.col("each") - F.floor("each"))
-    scaled = F.col("rank") * typical / F.greatest(F.lit(1e-9), 1 - typical)
-    # rows without a rank are spread over bins below zero, where they weigh nothing
-    unranked = -1 - F.pmod(F.xxhash64("id"), F.lit(BINS))
-    d = d.withColumn("bin", F.coalesce(F.least(F.lit(BINS - 1), F.floor(BINS * scaled / (1 + scaled))), unranked).cast("int"))
-    sums = d.groupBy("source", "bin").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("inside"), F.sum(F.col("certain") * F.col("size")).alias("sure"))
+    d = d.withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    drawing = (F.col("p") > 0) & (F.col("size") > 0)
+    # the log of a rank follows the logistic law, so no bin of it holds more than 1 in 300 of a source's rows
+    ranked = d.where(drawing).withColumn("bin", F.floor(F.log2("rank") * BINS).cast("int"))
+    sums = ranked.groupBy("source", "bin").agg(F.sum("size").alias("inside"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("to"), F.col("bin").alias("to_bin"), F.coalesce(F.sum("inside").over(upto), F.lit(0)).alias("before_bin"), F.sum("sure").over(Window.partitionBy("source")).alias("sure"))
-    d = d.join(sums, d["source"].eqNullSafe(sums["to"]) & (d["bin"] == sums["to_bin"]))
+    sums = small(sums.select(F.col("source").alias("to"), F.col("bin").alias("to_bin"), F.coalesce(F.sum("inside").over(upto), F.lit(0)).alias("before_bin")), "mix-bins")
+    ranked = ranked.join(sums, ranked["source"].eqNullSafe(sums["to"]) & (ranked["bin"] == sums["to_bin"]))
     inside = Window.partitionBy("source", "bin").orderBy("rank", "id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_bin") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    take = F.col("rank").isNotNull() & (before + F.col("size") / 2.0 <= F.col("target") - F.col("sure"))
-    copies = (F.col("certain") + take.cast("long")).cast("long")
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"), *[F.col(c).alias(row_col) for c in row]).withColumn("taken", F.col("copies") * F.col("size"))
+    ranked = ranked.withColumn("copies", F.col("certain") + (before + F.col("size") / 2.0 <= F.col("target") - F.col("sure")).cast("long"))
+    rest = d.where(~drawing).withColumn("copies", F.when(F.col("size") > 0, F.col("certain")).otherwise(F.lit(0).cast("long")))
+    made = ["id", "size", "source_size", "target", "copies", *row]
+    out = ranked.select(made).unionByName(rest.select(made))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", *[F.col(c).alias(row_col) for c in row]).withColumn("taken", F.col("copies") * F.col("size"))

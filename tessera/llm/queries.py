@@ -94,7 +94,7 @@ FROM sets s LEFT JOIN classes c ON len(s.s) > 0 AND list_sort(s.s) = c.s LEFT JO
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), leaning=mixing.middling)
 
 
 OP8_SQL = r"""
@@ -112,11 +112,19 @@ WITH d AS (
   SELECT *, (total - less) / (all_w - less_w) AS level FROM f
 ), t AS (
   SELECT *, least(cap, max(CASE WHEN level <= cap / w THEN level END) OVER () * w) AS target FROM l
+), g AS (
+  SELECT source, CASE WHEN size BETWEEN 100 AND 1000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS lean, sum(size)::BIGINT AS words FROM d GROUP BY ALL
+), h AS (
+  SELECT g.*, t.source_size, t.target,
+    (t.target - coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY lean DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2.0::DOUBLE)
+      / nullif(sum(words::DOUBLE * lean) OVER (PARTITION BY g.source ORDER BY lean DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS factor
+  FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source
+), i AS (
+  SELECT *, least(2.0::DOUBLE, arg_max(factor, lean) FILTER (factor * lean <= 2.0::DOUBLE) OVER (PARTITION BY source) * lean) AS fitted FROM h
 ), e AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, t.target / t.source_size::DOUBLE) ELSE 0.0::DOUBLE END AS e,
+  SELECT d.doc_id, d.source, d.size, i.source_size, i.target, coalesce(i.fitted, 2.0::DOUBLE) AS e,
     (('0x' || substr(md5('mix-1:' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source AND i.lean = CASE WHEN d.size BETWEEN 100 AND 1000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END
 ), r AS (
   SELECT *, floor(e)::BIGINT AS certain, e - floor(e) AS p,
     CASE WHEN e - floor(e) > 0 AND size > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS rank FROM e

@@ -36,7 +36,7 @@ ODD = [
     (13, "line a\nline a\nline b\n\n\nline a", "en", "a"),
     (14, "released under the GNU General Public License version 3. All rights reserved; CC-BY", "en", "a"),
 ]
-CLASH = ["id", "node", "size", "kept", "score", "lang_pred", "rank", "block", "token", "label", "copies", "k", "n", "n_words", "text_", "_row", "_text", "_words"]
+CLASH = ["id", "node", "size", "kept", "score", "lang_pred", "rank", "block", "token", "label", "copies", "k", "n", "n_words", "text_", "_row", "_text", "_words", "_id", "_copies", "_doc", "_number", "_copy"]
 
 
 def odd(spark, rows=ODD):
@@ -364,3 +364,55 @@ def test_pandas_is_not_needed_for_native_operators():
         source = inspect.getsource(module)
         assert not re.search(r"import (pandas|numpy|pyarrow)|mapIn|applyIn|\budf\b|\.rdd\b", source)
     assert pd.__version__
+
+
+def brute_mix(rows, lean):
+    """(id, size, copies) of rows (id, text, source): expected copies by bisection, then a sort for each source."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    total = {n: sum(k for k, r in zip(size, rows, strict=True) if r[2] == n) for n in names}
+    weight = {n: mixing.WEIGHTS[k % 3] for k, n in enumerate(names)}
+
+    def level(words, weights, goal, cap):
+        low, high = 0.0, 1e9
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(cap * w, mid * x * w) for w, x in zip(words, weights, strict=True)) < goal else (low, mid)
+        return high
+
+    all_words = 1.5 * sum(total.values())
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * total[n], mid * weight[n]) for n in names) < all_words else (low, mid)
+    water = high
+    out = []
+    for n in names:
+        mine = [k for k, r in enumerate(rows) if r[2] == n]
+        target = min(2 * total[n], water * weight[n])
+        factor = level([size[k] for k in mine], [lean(size[k]) for k in mine], target * (1 - 1e-12), 2)
+        e = {k: min(2.0, factor * lean(size[k])) for k in mine}
+        e = {k: round(x) if abs(x - round(x)) < 1e-9 else x for k, x in e.items()}
+        left = target - sum(int(e[k]) * size[k] for k in mine)
+
+        def odds(k, e=e):
+            u = (int(hashlib.md5(f"mix-1:{'null' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = e[k] - int(e[k])
+            return u / (1 - u) / (p / (1 - p))
+
+        drawn = sorted((odds(k), rows[k][0] is not None, rows[k][0] or 0, size[k], k) for k in mine if e[k] > int(e[k]) and size[k])
+        copies, before = {k: int(e[k]) if size[k] else 0 for k in mine}, 0
+        for *_, n_words, k in drawn:
+            copies[k] += before + n_words / 2 <= left
+            before += n_words
+        out += [(rows[k][0], size[k], copies[k]) for k in mine]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("lean", [lambda n: 1.0 + 0 * n, lambda n: 2.0 ** (n % 4)])
+def test_mixing_with_unequal_inclusion(spark, lean):
+    draw = np.random.default_rng(4)
+    rows = [(k, " ".join(["w"] * int(draw.integers(0, 60))), ["a", "b", "c", None][int(draw.integers(0, 4)) if k % 3 else 0]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    column = (lambda n: F.lit(1.0)) if lean(3) == 1.0 else (lambda n: F.pow(F.lit(2.0), n % 4))
+    assert rows_of(mixing.mix(docs, leaning=column), "doc_id", "size", "copies") == brute_mix(rows, lean)
