@@ -2,9 +2,10 @@
 
 All of it is DataFrame expressions. The statistics of each text are made once, inside its row, and
 written; what follows works on a few numbers a document. Each group's location and scatter come from
-the minimum covariance determinant: starting from medians and median deviations, concentration steps
-re-estimate both from the share of documents with the smallest Mahalanobis distances. Quantiles are
-read off counts in fixed bins of distance, which any number of tasks can add up.
+the minimum covariance determinant, regularised by a floor on each scale: from four deterministic
+starts, concentration steps re-estimate both from the share of documents with the smallest
+Mahalanobis distances until the determinant stops falling; the core with the least one wins and is
+reweighted. Quantiles are read off counts in fixed bins, which any number of tasks can add up.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import numbered, one_space, stash
+from tessera.llm.common import numbered, one_space, small, stash
 
-#: The share of documents that the estimates rest on, and the concentration steps.
-SHARE, STEPS = 0.75, 4
-#: Groups need so many documents for estimates of their own.
-LEAST = 60
+#: The share of documents that a core has, and that reweighting would keep of a normal distribution.
+SHARE, WEIGHED = 0.75, 0.975
+#: Concentration steps at most, and those that all starts take; determinants stop falling much earlier.
+STEPS, EARLY = 30, 2
+#: Groups need so many documents for estimates of their own; pools of what is left need fewer.
+LEAST, ENOUGH = 60, 10
 #: Rates of short texts lean on the group's typical rate as if there were so many more words.
 PRIOR = 100
 #: Scale below which a difference in each transformed statistic means nothing (added to the scatter).
@@ -46,8 +49,8 @@ def _quantile(tail: float, half: int) -> float:
     return low
 
 
-#: Makes the scatter of the central share consistent with that of a normal distribution.
-CONSISTENT = SHARE / (1 - _upper(_quantile(1 - SHARE, _P // 2), _P // 2 + 1))
+#: Make the scatter of the central share, and of the reweighted one, consistent with that of a normal distribution.
+CONSISTENT, REWEIGHTED = (share / (1 - _upper(_quantile(1 - share, _P // 2), _P // 2 + 1)) for share in (SHARE, WEIGHED))
 CUTOFF = _quantile(TAIL, _P // 2)
 
 
@@ -83,29 +86,29 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds _group: language and source, or all small groups of a language, or all small languages."""
+    """Adds _group: language and source, or all small groups of a language, or what is still small of all languages."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     rows = rows.withColumns({"_lang": name("_lang0"), "_pair": F.concat(name("_lang0"), F.lit("\x1f"), name("_source0"))})
     pairs = rows.groupBy("_pair", "_lang").agg(F.count(F.lit(1)).alias("n")).withColumn("wide", F.when(F.col("n") >= LEAST, F.col("_pair")))
-    small = pairs.where("wide is null").groupBy("_lang").agg(F.sum("n").alias("m"))
-    names = pairs.join(small, "_lang", "left").select("_pair", F.coalesce("wide", F.when(F.col("m") >= LEAST, F.concat("_lang", F.lit("\x1f*"))), F.lit("*")).alias("_group"))
-    return rows.join(names, "_pair").drop("_pair", "_lang")
+    few = pairs.where("wide is null").groupBy("_lang").agg(F.sum("n").alias("m"))
+    names = pairs.join(few, "_lang", "left").select("_pair", F.coalesce("wide", F.when(F.col("m") >= LEAST, F.concat("_lang", F.lit("\x1f*"))), F.lit("*")).alias("_group"))
+    return rows.join(small(names, "quality-names"), "_pair").drop("_pair", "_lang")
 
 
 def _factors(estimates: DataFrame) -> DataFrame:
-    """(_group, m_i, L_i_j): each group's location and the Cholesky factor of its scatter, written."""
-    made: dict[tuple[int, int], Column] = {}
+    """(_group, _start, m_i, L_i_j, log_det): each estimate's location, and the Cholesky factor and determinant of its scatter."""
     for i, j in _PAIRS:
         rest = F.col(f"s_{i}_{j}")
         for k in range(j):
             rest = rest - F.col(f"L_{i}_{k}") * F.col(f"L_{j}_{k}")
-        made[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"L_{j}_{j}")
-        estimates = estimates.withColumn(f"L_{i}_{j}", made[i, j])
-    return stash(estimates.select("_group", *[f"m_{i}" for i in range(_P)], *[f"L_{i}_{j}" for i, j in _PAIRS]), "quality-factors")
+        estimates = estimates.withColumn(f"L_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"L_{j}_{j}"))
+    log_det = 2 * sum((F.log(f"L_{i}_{i}") for i in range(1, _P)), F.log("L_0_0"))
+    kept = [f"m_{i}" for i in range(_P)] + [f"L_{i}_{j}" for i, j in _PAIRS]
+    return small(estimates.select("_group", "_start", *kept, log_det.alias("log_det")), "quality-factors")
 
 
 def _measured(rows: DataFrame, factors: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds _d2, the squared Mahalanobis distance, by forward substitution."""
+    """Adds _start and _d2, the squared Mahalanobis distance, by forward substitution; a row for each start of the group."""
     out = rows.join(factors, "_group", how)
     for i in range(_P):
         rest = F.col(f"x_{i}") - F.col(f"m_{i}")
@@ -113,56 +116,91 @@ def _measured(rows: DataFrame, factors: DataFrame, how: str = "inner") -> DataFr
             rest = rest - F.col(f"L_{i}_{k}") * F.col(f"z_{k}")
         out = out.withColumn(f"z_{i}", rest / F.col(f"L_{i}_{i}"))
     total = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, _P)), F.col("z_0") * F.col("z_0"))
-    return out.select(*rows.columns, total.alias("_d2"))
+    return out.select(*rows.columns, "_start", total.alias("_d2"))
 
 
-def _binned_quantiles(rows: DataFrame, values: dict[str, Column], share: float) -> DataFrame:
-    """(_group, total, one column for each value): the bin in which the share of each group's values is reached.
+def _binned_quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], shares: dict[str, float]) -> DataFrame:
+    """(keys, total, <share>_<value>): the bins in which each share of each value is reached.
 
     Only counts of bins are shuffled, for all values in one go; the rows stay where they are.
     """
     bins = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), v.cast("long").alias("bin")) for k, v in values.items()]))
-    counts = rows.select("_group", bins.alias("b")).groupBy("_group", "b.of", "b.bin").agg(F.count(F.lit(1)).alias("n"))
-    one = Window.partitionBy("_group", "of")
+    counts = rows.select(*keys, bins.alias("b")).groupBy(*keys, "b.of", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy(*keys, "of")
     counts = counts.withColumns({"upto": F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(one)})
-    reached = counts.where(F.col("upto") >= share * F.col("total"))
-    return reached.groupBy("_group").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("of") == k, F.col("bin"))).alias(k) for k in values])
+    first = lambda k, share: F.min(F.when((F.col("of") == k) & (F.col("upto") >= share * F.col("total")), F.col("bin")))
+    return counts.groupBy(*keys).agg(F.max("total").alias("total"), *[first(k, share).alias(f"{name}_{k}") for k in values for name, share in shares.items()])
+
+
+def _moments(rows: DataFrame, scale: float) -> DataFrame:
+    """(_group, _start, m_i, s_i_j): means and covariances, these times ``scale`` and with the floors added."""
+    sums = rows.groupBy("_group", "_start").agg(*[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)], *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i, j in _PAIRS])
+    return sums.select("_group", "_start", *[f"m_{i}" for i in range(_P)], *[(F.col(f"c_{i}_{j}") * scale + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS])
+
+
+def starts(judged: DataFrame) -> DataFrame:
+    """(_group, _start, m_i, s_i_j): medians, quartiles below and above, each with median deviations; means with covariances."""
+    axes = [f"x_{i}" for i in range(_P)]
+    bins = {x: F.floor(F.col(x) / (floor / 10)) for x, floor in zip(axes, FLOOR, strict=True)}
+    found = _binned_quantiles(judged, ["_group"], bins, {"low": 0.25, "mid": 0.5, "top": 0.75}).where(F.col("total") >= ENOUGH)
+    found = found.select("_group", *[((F.col(f"{q}_{x}") + 0.5) * (floor / 10)).alias(f"{q}_{x}") for q in ("low", "mid", "top") for x, floor in zip(axes, FLOOR, strict=True)])
+    found = small(found, "quality-start")
+    off = {x: F.floor(F.abs(F.col(x) - F.col(f"mid_{x}")) / (floor / 10)) for x, floor in zip(axes, FLOOR, strict=True)}
+    spread = _binned_quantiles(judged.join(found, "_group"), ["_group"], off, {"mad": 0.5})
+    found = found.join(small(spread.drop("total"), "quality-spread"), "_group")
+    scatter = [(F.pow((F.col(f"mad_{axes[i]}") + 0.5) * (FLOOR[i] / 10) * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
+    robust = [found.select("_group", F.lit(k).alias("_start"), *[F.col(f"{q}_{x}").alias(f"m_{i}") for i, x in enumerate(axes)], *scatter) for k, q in enumerate(("mid", "low", "top"))]
+    plain = _moments(judged.join(found.select("_group"), "_group").withColumn("_start", F.lit(3)), 1.0)
+    return robust[0].unionByName(robust[1]).unionByName(robust[2]).unionByName(plain)
+
+
+def concentrated(judged: DataFrame, factors: DataFrame) -> DataFrame:
+    """The factors after one step: from the moments of the SHARE of documents with the smallest distances."""
+    keys, place = ["_group", "_start"], F.floor(F.log(F.col("_d2") + 1e-6) * 64)
+    measured = _measured(judged, factors)
+    cut = small(_binned_quantiles(measured, keys, {"cut": place}, {"at": SHARE}).drop("total"), "quality-cuts")
+    return _factors(_moments(measured.join(cut, keys).where(place <= F.col("at_cut")), CONSISTENT))
+
+
+def least_determinant(judged: DataFrame) -> DataFrame:
+    """The factors of each group's core with the least determinant, over all starts.
+
+    ``judged`` has _group and x_i. After EARLY steps only each group's two best starts go on, until no
+    determinant falls by a millionth of its logarithm any more, or for STEPS steps.
+    """
+    rank = lambda n: F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start")) <= n
+    best = lambda found, n: small(found.withColumn("_best", rank(n)).where("_best").drop("_best"), "quality-best")
+    factors = _factors(starts(judged))
+    for step in range(STEPS):
+        before, factors = factors, concentrated(judged, factors)
+        if step + 1 == EARLY:
+            factors = best(factors, 2)
+        falls = factors.join(before.select("_group", "_start", F.col("log_det").alias("was")), ["_group", "_start"]).where(F.abs(F.col("was") - F.col("log_det")) > 1e-6)
+        if step + 1 > EARLY and falls.isEmpty():
+            break
+    return best(factors, 1)
 
 
 def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``stats`` (from text_statistics) with distance2, the squared robust distance within the group.
 
-    distance2 is null for documents that fail the base rules, which take no part in estimates, and
-    in groups where fewer than LEAST documents are left even after pooling.
+    The estimates are reweighted: location and scatter of all documents that are not unlikely under the
+    core of least determinant. distance2 is null for documents that fail the base rules, which take no
+    part in estimates, and where the last pool has fewer than ENOUGH documents.
     """
     rows = stats.withColumns({"_lang0": F.col(lang_col), "_source0": F.col(source_col)})
     judged = _grouped(rows.where("not base_failed").select("_row", "_lang0", "_source0", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     judged = stash(judged, "quality-groups")
     length = F.floor(F.log(F.col("word_chars") / F.col("n_words")) * 200)
-    # tables of a few rows a group are written, so Spark knows their size when it chooses a join
-    typical = stash(_binned_quantiles(judged, {"typical": length}, 0.5).drop("total"), "quality-typical")
+    typical = small(_binned_quantiles(judged, ["_group"], {"length": length}, {"typical": 0.5}).drop("total"), "quality-typical")
     rate = lambda c: F.log1p(100 * F.col(c) / (F.col("n_words") + PRIOR))
-    level = F.exp((F.col("typical") + 0.5) / 200)
+    level = F.exp((F.col("typical_length") + 0.5) / 200)
     judged = judged.join(typical, "_group").select(
         "_row", "_group", F.log((F.col("word_chars") + PRIOR * level) / (F.col("n_words") + PRIOR)).alias("x_0"), rate("n_symbols").alias("x_1"), rate("n_dup_lines").alias("x_2"), rate("n_repeat_words").alias("x_3")
     )
     judged = stash(judged, "quality-vectors")
-    # medians and median deviations start it, in bins of a tenth of each floor
-    bins = {f"m_{i}": F.floor(F.col(f"x_{i}") / (floor / 10)) for i, floor in enumerate(FLOOR)}
-    estimates = _binned_quantiles(judged, bins, 0.5).where(F.col("total") >= LEAST).drop("total")
-    estimates = estimates.withColumns({f"m_{i}": (F.col(f"m_{i}") + 0.5) * (floor / 10) for i, floor in enumerate(FLOOR)})
-    estimates = stash(estimates, "quality-start")
-    bins = {f"d_{i}": F.floor(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) / (floor / 10)) for i, floor in enumerate(FLOOR)}
-    estimates = estimates.join(_binned_quantiles(judged.join(estimates, "_group"), bins, 0.5).drop("total"), "_group")
-    estimates = estimates.withColumns({f"s_{i}_{j}": F.pow((F.col(f"d_{i}") + 0.5) * (FLOOR[i] / 10) * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0) for i, j in _PAIRS})
-    for _ in range(STEPS):
-        measured = _measured(judged, _factors(estimates))
-        place = F.floor(F.log(F.col("_d2") + 1e-6) * 64)
-        cut = stash(_binned_quantiles(measured, {"cut": place}, SHARE).drop("total"), "quality-cuts")
-        core = measured.join(cut, "_group").where(place <= F.col("cut"))
-        moments = core.groupBy("_group").agg(*[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)], *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i, j in _PAIRS])
-        estimates = moments.withColumns({f"s_{i}_{j}": F.col(f"c_{i}_{j}") * CONSISTENT + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS})
-    final = _measured(judged, _factors(estimates), "left").select("_row", F.col("_d2").alias("distance2"))
+    core = _measured(judged, least_determinant(judged)).where(F.col("_d2") <= _quantile(1 - WEIGHED, _P // 2))
+    final = _measured(judged, _factors(_moments(core, REWEIGHTED)), "left").select("_row", F.col("_d2").alias("distance2"))
     return rows.drop("_lang0", "_source0").join(final, "_row", "left")
 
 
@@ -170,8 +208,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``docs``: its columns but the text, the statistics, base_failed, distance2, kept.
 
     kept is false if base_failed (under 50 words, or over half of the words in repeated 3-word
-    windows), else false only if distance2 exceeds the cut-off of its group. Null languages and
-    sources are groups of their own; null texts have no words and fail; an empty table gives an empty
+    windows), else false only if distance2 exceeds the cut-off. Groups of fewer than LEAST documents
+    are judged with the others of their language, or then with those of all languages, or, if these
+    are fewer than ENOUGH, by the base rules alone. Null languages and sources are groups of their own; null texts have no words and fail; an empty table gives an empty
     result. Rows with null or repeated ids are judged like any other; columns of ``docs`` with the
     name of a result keep out of it.
     """

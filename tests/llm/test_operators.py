@@ -416,3 +416,23 @@ def test_mixing_with_unequal_inclusion(spark, lean):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     column = (lambda n: F.lit(1.0)) if lean(3) == 1.0 else (lambda n: F.pow(F.lit(2.0), n % 4))
     assert rows_of(mixing.mix(docs, leaning=column), "doc_id", "size", "copies") == brute_mix(rows, lean)
+
+
+def test_least_determinant_against_all_subsets(spark):
+    """A core of 9 of 12 rows, against the least regularised determinant over all 220 subsets."""
+    from itertools import combinations
+
+    draw = np.random.default_rng(6)
+    rows, groups = [], {}
+    for g in range(4):
+        x = draw.normal(size=(12, 4)) * [0.2, 0.4, 0.3, 0.6]
+        x[:g] += draw.normal(size=4) * 3 + 5  # none to three of them far off
+        groups[str(g)] = x
+        rows += [(k, str(g), *map(float, r)) for k, r in enumerate(x)]
+    found = quality_rules.least_determinant(spark.createDataFrame(rows, "_row int, _group string, x_0 double, x_1 double, x_2 double, x_3 double"))
+    got = {r["_group"]: r for r in found.collect()}
+    floor = np.diag(np.square(quality_rules.FLOOR))
+    for g, x in groups.items():
+        least = min(np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) * quality_rules.CONSISTENT + floor)[1] for s in combinations(range(12), 9))
+        assert least - 1e-9 <= got[g]["log_det"] <= least + 0.5
+        assert abs(got[g]["m_0"]) < 1  # the far rows are not in the core
