@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -35,15 +36,21 @@ def test_stages(spark, library):  # noqa: F811
             assert bag(after) == Counter(tuple(r) for r in rows if r["doc_id"] in kept)
             assert 0 < after.count() < len(rows)
         elif name == "language id":
-            model = language_id.fit(before, F.lit(True))
-            sure = model.predict([r["text"] or "" for r in rows])
-            assert bag(after) == Counter(tuple(r) for r, (lang, s) in zip(rows, sure, strict=True) if lang != language_id.UNKNOWN and s >= corpus_pipeline.LEAST_SCORE)
+            halves = [[r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 2 == k] for k in (0, 1)]
+            half = F.crc32(F.col("doc_id").cast("string")) % 2
+            want = Counter()
+            for k, mine in enumerate(halves):
+                model = language_id.fit(before, half != k)
+                for r, (lang, sure) in zip(mine, model.predict([r["text"] or "" for r in mine]), strict=True):
+                    wrong = r["lang"] is not None and r["lang"] != lang and sure >= corpus_pipeline.SURE
+                    want[tuple(r)] += lang != language_id.UNKNOWN and sure >= corpus_pipeline.LEAST_SCORE and not wrong
+            assert bag(after) == +want
             assert after.count() >= 0.95 * len(rows)
         elif name == "n-gram jaccard join":
             least = {i for i, _, c in brute_components([(r["doc_id"], r["text"]) for r in rows]) if i == c}
             assert bag(after) == Counter(tuple(r) for r in rows if r["doc_id"] in least)
         elif name == "mixing":
-            copies = {r["doc_id"]: r["copies"] for r in mixing.mix(before).collect()}
+            copies = {r["doc_id"]: r["copies"] for r in mixing.mix(before, leaning=mixing.middling).collect()}
             assert bag(after) == +Counter({tuple(r): copies[r["doc_id"]] for r in rows})
         else:
             want = Counter((r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False))) for r in rows)
@@ -69,7 +76,7 @@ def test_decisions_hold_for_rows_not_ids(spark):
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == Counter(least)
     # mixing: each row by its own copies
     want = Counter()
-    for r in mixing.mix(odd(spark)).collect():
+    for r in mixing.mix(odd(spark), leaning=mixing.middling).collect():
         want[r["doc_id"], r["size"]] += r["copies"]
     mixed = corpus_pipeline.mixture(spark, odd(spark), SMALL).withColumn("words", mixing.n_words(F.col("text")))
     assert Counter((r["doc_id"], r["words"]) for r in mixed.collect()) == +want
