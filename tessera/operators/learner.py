@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.shared import written
+
 #: First belief, and chances to learn, guess and slip.
 P0, LEARN, GUESS, SLIP = 0.1, 0.2, 0.2, 0.1
 #: A score from here on is correct; beliefs from here on are mastery, below here weakness.
@@ -78,3 +80,105 @@ def learner_state(beliefs: DataFrame) -> DataFrame:
     return beliefs.groupBy("user_id").agg(
         F.round(F.avg("p_known"), 4).alias("p_known_avg"), F.count(F.lit(1)).alias("n_kcs_tracked"), F.count_if(F.col("p_known") >= MASTERED).alias("n_kcs_mastered"), F.sum("obs_n").alias("n_attempts")
     )
+
+
+def attempt_state(score: Column) -> Column:
+    """What an attempt with a score out of 1 leaves a component in; correct ones are at least partial."""
+    return F.when(score >= MASTERED, "mastered").when(score >= 0.5, "partial").otherwise("attempted")
+
+
+def states(exposures: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(user_id, kc_id, state, score, attempts, successes, last_seen): the newest attempt of each component, else an exposure.
+
+    As an upserted row would read: an attempt replaces all but the time, an exposure only the time once there is an attempt.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    tried = attempts.groupBy("user_id", "kc_id").agg(F.max_by("score", F.struct("ts", "event_id")).alias("score"), F.max(at).alias("last"))
+    shown = exposures.groupBy("user_id", "kc_id").agg(F.max(at).alias("seen"))
+    both = tried.join(shown, ["user_id", "kc_id"], "full")
+    done = F.col("score").isNotNull()
+    return both.select(
+        "user_id",
+        "kc_id",
+        F.when(done, attempt_state(F.col("score"))).otherwise("exposed").alias("state"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.when(done, 1).otherwise(0).alias("attempts"),
+        F.when(F.col("score") >= CORRECT, 1).otherwise(0).alias("successes"),
+        F.greatest("last", "seen").alias("last_seen"),
+    )
+
+
+def timeline(attempts: DataFrame) -> DataFrame:
+    """(user_id, kc_id, event_id, k, p_known): the belief after each attempt, k from 1 on.
+
+    Partitions are sorted by learner, component and time, and only the last belief is carried from row
+    to row, so no learner's history is held at once.
+    """
+    kinds = dict(attempts.dtypes)
+    keys = ["user_id", "kc_id"]
+    rows = attempts.select(*keys, "ts", "event_id", (F.col("score") >= CORRECT).alias("correct")).repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+
+    def run(frames):
+        last, k, p = None, 0, P0
+        for frame in frames:
+            beliefs, places = [], []
+            for user, kc, correct in zip(frame["user_id"], frame["kc_id"], frame["correct"], strict=True):
+                if (user, kc) != last:
+                    last, k, p = (user, kc), 0, P0
+                right = p * (1 - SLIP) + (1 - p) * GUESS
+                known = p * (1 - SLIP) / right
+                p = known + (1 - known) * LEARN if correct else p * SLIP / max(1e-9, 1 - right) * (1 - LEARN)
+                k += 1
+                beliefs.append(p)
+                places.append(k)
+            yield frame[[*keys, "event_id"]].assign(k=places, p_known=beliefs)
+
+    return rows.mapInPandas(run, f"user_id {kinds['user_id']}, kc_id {kinds['kc_id']}, event_id {kinds['event_id']}, k long, p_known double")
+
+
+#: The grid that a refit starts from, how far the next ones reach, and first beliefs that it tries.
+GRID, REACH, FIRST = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4), (0.025, 0.01), (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+
+
+def refit(attempts: DataFrame, least: int = 5) -> DataFrame:
+    """(user_id, observations, p_known, p_t, p_g, p_s): most likely parameters over each learner's history.
+
+    The chance to know before attempt k is 1 - (1 - p) * (1 - p_t) ** (k - 1), whatever was answered, so a
+    history counts by how often each place was right; each grid is one aggregate with a row for each
+    learner and cell. Likelihoods are compared to nine digits, ties go to the first cell. Learners with
+    fewer than ``least`` attempts keep the default parameters.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = attempts.select("user_id", (F.col("score") >= CORRECT).alias("correct"), (F.row_number().over(order) - 1).alias("k"))
+    users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("observations"), F.max(F.when((F.col("k") == 0) & F.col("correct"), 0.5).otherwise(0.1)).alias("p"))
+    base = written(rows.join(users.where(F.col("observations") >= least), "user_id"), "refit-attempts")
+
+    def likelihood(p, pt, pg, ps):
+        know = 1 - (1 - p) * F.pow(1 - pt, F.col("k"))
+        seen = F.when(F.col("correct"), know * (1 - ps) + (1 - know) * pg).otherwise(know * ps + (1 - know) * (1 - pg))
+        return F.round(F.sum(F.log(seen)), 9).alias("ll")
+
+    first = {name: F.explode(F.array(*[F.lit(x) for x in GRID])).alias(name) for name in ("pt", "pg", "ps")}
+    best = None
+    for reach in (None, *REACH):
+        if reach is None:
+            cells = base
+            for column in first.values():
+                cells = cells.select("*", column)
+        else:
+            cells = base.join(best.select("user_id", *[F.col(f"b.{c}").alias(f"{c}0") for c in first]), "user_id")
+            for c in first:
+                near = F.array(*[F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(f"{c}0") + d * reach)), 4) for d in (-2, -1, 0, 1, 2)])
+                cells = cells.select("*", F.explode(near).alias(c))
+        found = cells.groupBy("user_id", "pt", "pg", "ps").agg(likelihood(F.col("p"), F.col("pt"), F.col("pg"), F.col("ps")))
+        top = found.groupBy("user_id").agg(F.max_by(F.struct("ll", "pt", "pg", "ps"), F.struct("ll", -F.col("pt"), -F.col("pg"), -F.col("ps"))).alias("b"))
+        if best is not None:
+            top = top.join(best.withColumnRenamed("b", "a"), "user_id").select("user_id", F.when(F.col("b.ll") > F.col("a.ll"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        best = written(top, "refit-best")
+    tried = base.join(best.select("user_id", "b.*"), "user_id")
+    starts = F.explode(F.array(F.struct(F.lit(-1).alias("i"), F.col("p").alias("p0")), *[F.struct(F.lit(i).alias("i"), F.lit(x).alias("p0")) for i, x in enumerate(FIRST)]))
+    scored = tried.select("user_id", "k", "correct", "pt", "pg", "ps", starts.alias("s")).groupBy("user_id", "pt", "pg", "ps", "s").agg(likelihood(F.col("s.p0"), F.col("pt"), F.col("pg"), F.col("ps")))
+    fitted = scored.groupBy("user_id", "pt", "pg", "ps").agg(F.max_by("s.p0", F.struct("ll", -F.col("s.i"))).alias("p0"))
+    clamp = lambda c: F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(c))), 4)
+    names = {"p_known": ("p0", P0), "p_t": ("pt", LEARN), "p_g": ("pg", GUESS), "p_s": ("ps", SLIP)}
+    return users.join(fitted, "user_id", "left").select("user_id", "observations", *[F.coalesce(clamp(c), F.lit(default)).alias(n) for n, (c, default) in names.items()])

@@ -29,18 +29,19 @@ def _component_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transfer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each learner's edges from a mastered component to one begun but weak, ten at most."""
+    """Each learner's mastered components beside begun but weak ones, whichever way an edge joins them; ten at most."""
     known, edges = _beliefs(spark, sf_dir), _component_edges(spark, sf_dir)
+    both = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
     strong = known.where(F.col("p") >= FROM_LEAST).select("user_id", F.col("kc_id").alias("source"), F.col("p").alias("p_source"))
     weak = known.where((F.col("p") > 0) & (F.col("p") < TO_MOST)).select("user_id", F.col("kc_id").alias("target"), F.col("p").alias("p_target"))
-    found = strong.join(edges, "source").join(weak, ["user_id", "target"])
+    found = strong.join(both, "source").join(weak, ["user_id", "target"])
     order = Window.partitionBy("user_id").orderBy(F.desc("p_source"), "p_target", "source", "target")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= WINDOWS).select("user_id", "rank", "source", "target", "p_source", "p_target")
 
 
-SQL["transfer_windows"] = f"""{_B}
+SQL["transfer_windows"] = f"""{_B}, e2 AS (SELECT source, target FROM k UNION SELECT target, source FROM k)
 SELECT * FROM (SELECT x.user_id, row_number() OVER (PARTITION BY x.user_id ORDER BY x.p DESC, y.p, source, target)::INT AS rank, source, target, x.p AS p_source, y.p AS p_target
-  FROM r x JOIN k ON x.kc_id = source JOIN r y ON y.user_id = x.user_id AND y.kc_id = target WHERE x.p >= 0.85 AND y.p > 0 AND y.p < 0.3) WHERE rank <= 10"""
+  FROM r x JOIN e2 ON x.kc_id = source JOIN r y ON y.user_id = x.user_id AND y.kc_id = target WHERE x.p >= 0.85 AND y.p > 0 AND y.p < 0.3) WHERE rank <= 10"""
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,17 +62,19 @@ FROM r JOIN k ON kc_id = source JOIN n ON n.target = k.target GROUP BY user_id,
 
 
 def sm2_due_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 repetitions due first, within a day of the newest attempt."""
+    """Each learner's 100 repetitions due first, within a day of the newest attempt of all."""
     tries = attempts(spark, sf_dir)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     last = tries.groupBy("user_id", "kc_id").agg(F.max(at).alias("last"))
     now = tries.agg((F.max(at) + 86_400_000_000).alias("until"))  # one row, hence broadcast
     due = (F.col("last") / 1e6 + F.col("interval_seconds")).alias("due")
     queue = learner.sm2(tries).join(last, ["user_id", "kc_id"]).select("user_id", "kc_id", "reps", F.round(due, 3).alias("due"))
-    return queue.join(F.broadcast(now), F.col("due") <= F.col("until") / 1e6).drop("until").orderBy("due", "user_id", "kc_id").limit(100)
+    first = Window.partitionBy("user_id").orderBy("due", "kc_id")
+    near = queue.join(F.broadcast(now), F.col("due") <= F.col("until") / 1e6).drop("until")
+    return near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 100).drop("k")
 
 
-SQL["sm2_due_queue"] = learners.SQL["sm2_schedule"].replace("SELECT user_id, kc_id, round(arg_max(ease, k), 6)", "SELECT * FROM (SELECT f.user_id, f.kc_id, arg_max(reps, k) AS reps, round(any_value(last) / 1000000.0::DOUBLE + arg_max(secs, k), 3) AS due FROM f JOIN (SELECT user_id, kc_id, max(epoch_us(ts)) AS last FROM a GROUP BY ALL) l ON l.user_id = f.user_id AND l.kc_id = f.kc_id GROUP BY f.user_id, f.kc_id) WHERE due <= (SELECT max(epoch_us(ts)) + 86400000000 FROM a) / 1000000.0::DOUBLE ORDER BY due, user_id, kc_id LIMIT 100 --")
+SQL["sm2_due_queue"] = learners.SQL["sm2_schedule"].replace("SELECT user_id, kc_id, round(arg_max(ease, k), 6)", "SELECT * FROM (SELECT f.user_id, f.kc_id, arg_max(reps, k) AS reps, round(any_value(last) / 1000000.0::DOUBLE + arg_max(secs, k), 3) AS due FROM f JOIN (SELECT user_id, kc_id, max(epoch_us(ts)) AS last FROM a GROUP BY ALL) l ON l.user_id = f.user_id AND l.kc_id = f.kc_id GROUP BY f.user_id, f.kc_id) WHERE due <= (SELECT max(epoch_us(ts)) + 86400000000 FROM a) / 1000000.0::DOUBLE QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY due, kc_id) <= 100 --").split(" --")[0]
 
 
 def cross_type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

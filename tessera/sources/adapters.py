@@ -41,3 +41,39 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"), F.least(F.col("l_discount") * 10, F.lit(1.0)).alias("score"))
     return lines.join(orders, "session_id")
+
+
+#: What learners answer, and what was expected, in turn by event.
+RESPONSES = ["I skip the step, it is obvious", "n+1 at the border, or -1", "I confuse both terms", "the angle in degree, not radian", "typo, I forgot the sign", "why is that", "the formula gives 4", "", "四是公式 不清楚"]
+EXPECTED = ["the formula gives 4", "two steps, n+1", "radian", "the sign"]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, user_id, kc_id, ts, response, expected): what was answered in each attempt."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
+    return attempts(spark, sf_dir).select("event_id", "user_id", "kc_id", "ts", pick(RESPONSES).alias("response"), pick(EXPECTED).alias("expected"))
+
+
+#: Types that pages state; the last is none of the known ones.
+PAGE_TYPES = ["concept", "formula", "principle", "source", "synthesis", "inquiry", "guide", "lecture"]
+
+
+def markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, title, source, page): each document as a page with front matter, links, lists and references."""
+    n = F.col("doc_id")
+    m, k = ((n * 7 + 1) % 900).cast("string"), F.floor(n / 3).cast("string")
+    kind = F.element_at(F.array(*[F.lit(t) for t in PAGE_TYPES]), (n % 8 + 1).cast("int"))
+    head = F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 200), "\n#[]$()", " ")
+    page = F.concat(
+        F.lit("---\ntitle: Page "), n.cast("string"), F.lit("\ntype: "), kind, F.lit("\n---\n# Page "), n.cast("string"), F.lit("\n\n"), head, F.lit(" (p."), (n % 9 + 1).cast("string"), F.lit(")。See it [ref:src/a.md#p=3, 4] and [ref:b.md#p="), (n % 4).cast("string"), F.lit("]\n## Relationships\n- Page "),
+        n.cast("string"), F.lit(" --[Derives]--> Page "), m, F.lit(": because of it\n* Page "), m, F.lit(" --[unknown]--> Page "), n.cast("string"), F.lit("\nno relation\n## 相关知识\n- Page "), k, F.lit("：reason\n- Page "), m, F.lit(": other\n- Page "), k, F.lit("\n- 待补充\n## Links\n[[doc/"), m,
+        F.lit("]] and [[concepts/Page "), k, F.lit(".md|alias]], [[doc/"), m, F.lit("]]\n$$ a = \n  b $$ end\n"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), n.cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Page "), n.cast("string")).alias("title"), "source", page.alias("page"))
+
+
+MARKUP_SQL = f"""
+mp AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, 'Page ' || doc_id AS title, source,
+  '---\ntitle: Page ' || doc_id || '\ntype: ' || {PAGE_TYPES!r}[doc_id % 8 + 1] || '\n---\n# Page ' || doc_id || '\n\n' || translate(substring(coalesce(text, ''), 1, 200), '\n#[]$()', ' ')
+  || ' (p.' || (doc_id % 9 + 1) || ')。See it [ref:src/a.md#p=3, 4] and [ref:b.md#p=' || (doc_id % 4) || ']\n## Relationships\n- Page ' || doc_id || ' --[Derives]--> Page ' || ((doc_id * 7 + 1) % 900) || ': because of it\n* Page ' || ((doc_id * 7 + 1) % 900) || ' --[unknown]--> Page ' || doc_id
+  || '\nno relation\n## 相关知识\n- Page ' || (doc_id // 3) || '：reason\n- Page ' || ((doc_id * 7 + 1) % 900) || ': other\n- Page ' || (doc_id // 3) || '\n- 待补充\n## Links\n[[doc/' || ((doc_id * 7 + 1) % 900) || ']] and [[concepts/Page ' || (doc_id // 3) || '.md|alias]], [[doc/' || ((doc_id * 7 + 1) % 900) || ']]\n$$ a = \n  b $$ end\n' AS page FROM documents)"""
