@@ -34,11 +34,11 @@ def occurrences(text: Column, token: str) -> Column:
 
 
 def keyword_score(title: Column, body: Column, wanted: list[str]) -> Column:
-    """10 for each token in the title, and 1 for each place in the body, 5 for each token at most."""
+    """10 for each token in the title, and 1 for each place in the body, 5 for each token at most; both in lower case."""
     score = F.lit(0.0)
     for t in wanted:
-        in_title = F.coalesce(F.contains(F.lower(title), F.lit(t)), F.lit(False))
-        score = score + F.when(in_title, 10.0).otherwise(0.0) + F.least(F.coalesce(occurrences(F.lower(body), t), F.lit(0)), F.lit(5)).cast("double")
+        in_title = F.coalesce(F.contains(title, F.lit(t)), F.lit(False))
+        score = score + F.when(in_title, 10.0).otherwise(0.0) + F.least(F.coalesce(occurrences(body, t), F.lit(0)), F.lit(5)).cast("double")
     return score
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graphs, learners, mastery, pages, readiness, retrieval, streams
+from tessera.plans import graphs, learners, mastery, pages, readiness, retrieval, search, streams
 
-MODULES = (retrieval, pages, learners, graphs, readiness, mastery, streams)
+MODULES = (retrieval, search, pages, learners, graphs, readiness, mastery, streams)
 
 
 def queries() -> dict:

@@ -23,9 +23,14 @@ _PAGES = "SELECT 'doc/' || doc_id || '.md' AS path, substring(text, 1, 40) AS ti
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best pages by token places in title and body, with a snippet; ties by path."""
-    pages = wiki_pages(spark, sf_dir).withColumn("score", text.keyword_score(F.col("title"), F.col("content"), WANTED))
-    best = pages.where("score > 0").orderBy(F.desc("score"), "path").limit(20)
+    """The 20 best pages by token places in title and body, with a snippet; ties by path.
+
+    Texts are lowered once for the score; pages without a token leave only after the 20 best are taken,
+    so no condition counts anew, and snippets are made for these alone.
+    """
+    pages = wiki_pages(spark, sf_dir).withColumns({"low_title": F.lower("title"), "low": F.lower("content")})
+    pages = pages.withColumn("score", text.keyword_score(F.col("low_title"), F.col("low"), WANTED)).drop("low", "low_title")
+    best = pages.orderBy(F.desc("score"), "path").limit(20).where("score > 0")
     in_title = F.greatest(*[F.contains(F.lower("title"), F.lit(t)) for t in WANTED])
     return best.select("path", "title", "score", in_title.alias("title_match"), text.snippet(F.col("content"), WANTED).alias("snippet"))
 

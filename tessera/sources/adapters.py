@@ -77,3 +77,21 @@ mp AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, 'Page ' || doc_id AS ti
   '---\ntitle: Page ' || doc_id || '\ntype: ' || {PAGE_TYPES!r}[doc_id % 8 + 1] || '\n---\n# Page ' || doc_id || '\n\n' || translate(substring(coalesce(text, ''), 1, 200), '\n#[]$()', ' ')
   || ' (p.' || (doc_id % 9 + 1) || ')。See it [ref:src/a.md#p=3, 4] and [ref:b.md#p=' || (doc_id % 4) || ']\n## Relationships\n- Page ' || doc_id || ' --[Derives]--> Page ' || ((doc_id * 7 + 1) % 900) || ': because of it\n* Page ' || ((doc_id * 7 + 1) % 900) || ' --[unknown]--> Page ' || doc_id
   || '\nno relation\n## 相关知识\n- Page ' || (doc_id // 3) || '：reason\n- Page ' || ((doc_id * 7 + 1) % 900) || ': other\n- Page ' || (doc_id // 3) || '\n- 待补充\n## Links\n[[doc/' || ((doc_id * 7 + 1) % 900) || ']] and [[concepts/Page ' || (doc_id // 3) || '.md|alias]], [[doc/' || ((doc_id * 7 + 1) % 900) || ']]\n$$ a = \n  b $$ end\n' AS page FROM documents)"""
+
+
+#: Types that edges between pages state; some are other names for known ones.
+EDGE_KINDS = ["direct", "source", "teaches", "derives", "mentions"]
+
+
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, kind, weight): two edges from each document to others, some of which are no pages."""
+    n = F.col("doc_id")
+    kind = F.element_at(F.array(*[F.lit(t) for t in EDGE_KINDS]), (n % len(EDGE_KINDS) + 1).cast("int"))
+    there = F.struct(((n * 7 + 1) % 900).alias("target"), kind.alias("kind"), F.round(0.4 + (n % 10) / 10.0, 1).alias("weight"))
+    back = F.struct(F.floor(n / 3).cast("long").alias("target"), F.lit("prerequisite").alias("kind"), F.round(0.3 + (n % 7) / 10.0, 1).alias("weight"))
+    return table(spark, sf_dir, "documents").select(n.alias("source"), F.explode(F.array(there, back)).alias("e")).select("source", "e.*").where("source <> target")
+
+
+PAGE_EDGES_SQL = f"""
+pe AS (SELECT * FROM (SELECT doc_id AS source, (doc_id * 7 + 1) % 900 AS target, {EDGE_KINDS!r}[doc_id % {len(EDGE_KINDS)} + 1] AS kind, round(0.4::DOUBLE + (doc_id % 10) / 10.0::DOUBLE, 1) AS weight FROM documents
+  UNION ALL SELECT doc_id, doc_id // 3, 'prerequisite', round(0.3::DOUBLE + (doc_id % 7) / 10.0::DOUBLE, 1) FROM documents) WHERE source <> target)"""
