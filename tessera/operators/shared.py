@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of so many rows at most is broadcast; rows of groups and models are some hundred bytes.
@@ -28,21 +28,28 @@ def shared_folder(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` written as Parquet in the shared folder and read back, and ``metrics`` (aggregates) of what was written.
 
     Lineage ends there: a lost executor costs a read, not the work before it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if metrics else None
+    rows = df.observe(seen, *[m.alias(k) for k, m in metrics.items()]) if metrics else df
+    rows.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if metrics else {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back."""
+    return observed(df, name)[0]
 
 
 def small(df: DataFrame, name: str, most: int = FEW_ROWS) -> DataFrame:
     """``df`` written, and marked for broadcast if it has ``most`` rows or fewer; else it is joined like any table."""
-    table = written(df, name)
-    return F.broadcast(table) if table.count() <= most else table
+    table, seen = observed(df, name, n=F.count(F.lit(1)))
+    return F.broadcast(table) if seen["n"] <= most else table
 
 
 def discard(*tables: DataFrame) -> None:
