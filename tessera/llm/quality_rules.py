@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import numbered, one_space, small, stash
+from tessera.operators.shared import FEW_ROWS, observed
 
 #: The share of documents that a core has, and that reweighting would keep of a normal distribution.
 SHARE, WEIGHED = 0.75, 0.975
@@ -104,7 +105,7 @@ def _factors(estimates: DataFrame) -> DataFrame:
         estimates = estimates.withColumn(f"L_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"L_{j}_{j}"))
     log_det = 2 * sum((F.log(f"L_{i}_{i}") for i in range(1, _P)), F.log("L_0_0"))
     kept = [f"m_{i}" for i in range(_P)] + [f"L_{i}_{j}" for i, j in _PAIRS]
-    return small(estimates.select("_group", "_start", *kept, log_det.alias("log_det")), "quality-factors")
+    return estimates.select("_group", "_start", *kept, log_det.alias("log_det"))
 
 
 def _measured(rows: DataFrame, factors: DataFrame, how: str = "inner") -> DataFrame:
@@ -155,30 +156,40 @@ def starts(judged: DataFrame) -> DataFrame:
 
 
 def concentrated(judged: DataFrame, factors: DataFrame) -> DataFrame:
-    """The factors after one step: from the moments of the SHARE of documents with the smallest distances."""
+    """The factors after one step, from the moments of the SHARE of documents with the smallest distances; falls: log_det before less after."""
     keys, place = ["_group", "_start"], F.floor(F.log(F.col("_d2") + 1e-6) * 64)
     measured = _measured(judged, factors)
     cut = small(_binned_quantiles(measured, keys, {"cut": place}, {"at": SHARE}).drop("total"), "quality-cuts")
-    return _factors(_moments(measured.join(cut, keys).where(place <= F.col("at_cut")), CONSISTENT))
+    after = _factors(_moments(measured.join(cut, keys).where(place <= F.col("at_cut")), CONSISTENT))
+    return after.join(factors.select(*keys, F.col("log_det").alias("_was")), keys).withColumn("falls", F.col("_was") - F.col("log_det")).drop("_was")
 
 
 def least_determinant(judged: DataFrame) -> DataFrame:
     """The factors of each group's core with the least determinant, over all starts.
 
-    ``judged`` has _group and x_i. After EARLY steps only each group's two best starts go on, until no
-    determinant falls by a millionth of its logarithm any more, or for STEPS steps.
+    ``judged`` has _group and x_i. After EARLY steps only each group's two best starts go on; each is
+    done once its determinant falls by less than a thousandth, or after STEPS steps.
     """
-    rank = lambda n: F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start")) <= n
-    best = lambda found, n: small(found.withColumn("_best", rank(n)).where("_best").drop("_best"), "quality-best")
-    factors = _factors(starts(judged))
+    best = lambda found, n: found.withColumn("_best", F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start"))).where(F.col("_best") <= n).drop("_best")
+    factors = small(_factors(starts(judged)), "quality-factors")
+    done = None
     for step in range(STEPS):
-        before, factors = factors, concentrated(judged, factors)
+        after = concentrated(judged, factors)
         if step + 1 == EARLY:
-            factors = best(factors, 2)
-        falls = factors.join(before.select("_group", "_start", F.col("log_det").alias("was")), ["_group", "_start"]).where(F.abs(F.col("was") - F.col("log_det")) > 1e-6)
-        if step + 1 > EARLY and falls.isEmpty():
+            after = best(after, 2)
+        moving = F.abs("falls") > 1e-3
+        after, seen = observed(after, "quality-factors", n=F.count(F.lit(1)), moving=F.count_if(moving))
+        few = F.broadcast if seen["n"] <= FEW_ROWS else lambda x: x
+        if step + 1 < EARLY:
+            factors = few(after.drop("falls"))
+            continue
+        still = F.lit(False) if step + 1 == STEPS else moving
+        settled = after.where(~still).drop("falls")
+        done = settled if done is None else done.unionByName(settled)
+        factors = few(after.where(still).drop("falls"))
+        if not seen["moving"]:
             break
-    return best(factors, 1)
+    return small(best(done, 1), "quality-best")
 
 
 def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -200,7 +211,7 @@ def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     )
     judged = stash(judged, "quality-vectors")
     core = _measured(judged, least_determinant(judged)).where(F.col("_d2") <= _quantile(1 - WEIGHED, _P // 2))
-    final = _measured(judged, _factors(_moments(core, REWEIGHTED)), "left").select("_row", F.col("_d2").alias("distance2"))
+    final = _measured(judged, small(_factors(_moments(core, REWEIGHTED)), "quality-final"), "left").select("_row", F.col("_d2").alias("distance2"))
     return rows.drop("_lang0", "_source0").join(final, "_row", "left")
 
 
