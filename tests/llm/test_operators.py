@@ -436,3 +436,45 @@ def test_least_determinant_against_all_subsets(spark):
         least = min(np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) * quality_rules.CONSISTENT + floor)[1] for s in combinations(range(12), 9))
         assert least - 1e-9 <= got[g]["log_det"] <= least + 0.5
         assert abs(got[g]["m_0"]) < 1  # the far rows are not in the core
+
+
+@pytest.mark.parametrize(
+    "notice, label",
+    [
+        ("This work is licensed under CC BY-SA 4.0.", "cc-by-sa-4.0"),
+        ("Released under CC BY-NC 4.0", "cc-by-nc"),
+        ("Photo: CC BY-SA 3.0 by someone", "cc-by-sa-3.0"),
+        ("See the Apache License for details.", "apache"),
+        ("It uses the Mozilla Public License.", "mpl"),
+        ("distributed under a BSD license", "bsd"),
+        ("a Creative Commons Attribution license", "cc-by"),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike license", "cc-by-nc-sa"),
+        ("GNU Lesser General Public License", "lgpl"),
+        ("Licensed under the Apache License, Version 2.0 (the License)", "apache-2.0"),
+        ("The code is available under MIT.", "mit"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("either version 3 of the License, or (at your option) any later version", "gpl-3.0"),
+        ("The above copyright notice and this permission notice shall be included in all copies", "mit"),
+        ("Redistributions of source code must retain the above copyright notice", "bsd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("Altered source versions must be plainly marked as such", "zlib"),
+        ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "cc-by-nc-nd"),
+        ("This material may not be published, broadcast, rewritten, or redistributed without permission", "proprietary"),
+        ("Reproduction interdite", "proprietary"),
+        ("sous licence Creative Commons", "cc"),
+        ("Prohibida la reproducción total o parcial", "proprietary"),
+        ("For non-commercial use only.", "non-commercial"),
+    ],
+)
+def test_license_notices_are_found(notice, label):
+    assert label in license_scan.scan_text("Some words before. " + notice + " And some after.")["labels"].split(",")
+
+
+def test_keywords_are_in_every_match():
+    """The gate of a rule never hides a match: scans without gates find the same."""
+    notices = [n for mark in test_license_notices_are_found.pytestmark for n, _ in mark.args[1]]
+    for text in [*notices, " ".join(notices), "nothing of that kind"]:
+        line = license_scan.folded(text)[1]
+        free = [license_scan.Rule(r.label, (b"",), r.pattern, r.priority, r.confidence) for r in license_scan.rules()]
+        key = lambda d: (d[0], d[1], d[2].label, d[2].priority)
+        assert sorted(map(key, license_scan.detections(line, license_scan.rules()))) == sorted(map(key, license_scan.detections(line, tuple(free))))
