@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.shared import written
+from tessera.operators.shared import discard, hot_keys, join_spread, observed, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def reachable(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
     Each hop joins only the newest nodes; nodes seen before leave by an anti-join.
     """
+    steps = written(steps, "reachable-steps")  # each hop reads it
     seen = written(start.select("node", F.lit(0).alias("hops")).distinct(), "reachable")
     for hop in range(1, depth + 1):
         last = seen.where(F.col("hops") == hop - 1)
@@ -38,16 +39,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges lead to, whatever their direction.
 
     Labels fall to the least of the neighbours' and then to their own label's label, until none falls.
+    Nodes with very many neighbours, and labels that very many nodes have, are joined apart, so neither
+    a hub nor a giant component meets in one task.
     """
     pairs = written(both_ways(edges), "component-pairs")
+    hubs = hot_keys(pairs, "b")
     labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "component-labels")
     while True:
-        near = pairs.join(labels, pairs["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        fell = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        near = join_spread(pairs, "b", labels.select(F.col("node").alias("b"), "label"), hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        fell = written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")), "component-labels")
         far = fell.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        fell = written(fell.join(far, "low", "left").select("node", "label", F.least("low", "far").alias("low")), "component-labels")
-        labels = fell.select("node", F.col("low").alias("label"))
-        if fell.where("low <> label").isEmpty():
+        step = join_spread(fell, "low", far, hot_keys(fell, "low")).select("node", "label", F.least("low", "far").alias("low"))
+        step, seen = observed(step, "component-labels", falls=F.count_if(F.col("low") != F.col("label")))
+        discard(labels, fell)
+        labels = step.select("node", F.col("low").alias("label"))
+        if not seen["falls"]:
             return labels.select("node", F.col("label").alias("component"))
 
 
@@ -56,7 +62,7 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
 
     Only pairs that an edge links are looked at; each looks up its end of smaller degree.
     """
-    pairs = both_ways(edges)
+    pairs = written(both_ways(edges), "neighbour-pairs")  # five joins read it
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     da, db = degree.select("a", F.col("d").alias("da")), degree.select(F.col("a").alias("b"), F.col("d").alias("db"))
     linked = pairs.where("a < b").join(da, "a").join(db, "b")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table of so many rows at most is broadcast; rows of groups and models are some hundred bytes.
 FEW_ROWS = 100_000
+#: A key that more rows share is joined apart.
+HOT_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +54,22 @@ def small(df: DataFrame, name: str, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(table) if seen["n"] <= most else table
 
 
+def hot_keys(rows: DataFrame, key: str, most: int = HOT_ROWS) -> DataFrame | None:
+    """The values of ``key`` that more than ``most`` rows share, or None; there are count / most at most."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key)
+    table, seen = observed(counts, "hot-keys", n=F.count(F.lit(1)))
+    return (F.broadcast(table) if seen["n"] <= FEW_ROWS else table) if seen["n"] else None
+
+
+def join_spread(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once; rows of ``hot`` keys stay where they are and meet a broadcast."""
+    if hot is None:
+        return rows.join(table, key)
+    few = small(table.join(hot, key, "left_semi"), "hot-rows")
+    warm = rows.join(hot, key, "left_semi").join(few, key)
+    return rows.join(hot, key, "left_anti").join(table, key).unionByName(warm)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of written tables that nothing reads any more."""
     for table in tables:
