@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.common import stash, text_batches
+from tessera.operators.graph import connected_components
 
 #: N-grams that the global order sorts by frequency: at most so many, which bounds the broadcast.
 FREQUENT = 1 << 18
@@ -162,22 +163,8 @@ def frequent_grams(counts: DataFrame) -> np.ndarray:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over ``links`` (a, b), for all linked nodes.
-
-    Labels spread to neighbours and then jump to the label's own label, until nothing changes; they
-    only fall, so this ends.
-    """
-    pairs = stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stash(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        step = step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "label")
-        step = stash(step, "labels")
-        labels = step.select("node", F.col("next").alias("label"))
-        if not step.where("next <> label").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
+    """(node, component): the smallest node reachable over ``links`` (a, b), for all linked nodes."""
+    return connected_components(links.select(F.col("a").alias("source"), F.col("b").alias("target")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, portion: int = PORTION) -> DataFrame:
