@@ -41,13 +41,14 @@ SQL["node_degree_size"] = f"WITH {_E} SELECT node, count(*) AS degree, greatest(
 
 
 def orphan_edges_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges to parts that cost under 1000, as if only dearer parts were nodes."""
+    """Edges of which an end is no node, as if only parts that cost 1000 or more were nodes."""
     edges = adapters.prerequisite_edges(spark, sf_dir)
-    nodes = table(spark, sf_dir, "part").where("p_retailprice >= 1000").select(F.col("p_partkey").alias("target"))
-    return edges.join(nodes, "target", "left_anti").select("source", "target", "weight")
+    nodes = table(spark, sf_dir, "part").where("p_retailprice >= 1000")
+    known = edges.join(nodes.select(F.col("p_partkey").alias("source")), "source", "left_semi").join(nodes.select(F.col("p_partkey").alias("target")), "target", "left_semi")
+    return edges.join(known.select("source", "target"), ["source", "target"], "left_anti").select("source", "target", "weight")
 
 
-SQL["orphan_edges_anti"] = f"WITH {_E} SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_retailprice >= 1000 AND p_partkey = target)"
+SQL["orphan_edges_anti"] = f"WITH {_E}, n AS (SELECT p_partkey FROM part WHERE p_retailprice >= 1000) SELECT * FROM e WHERE source NOT IN (FROM n) OR target NOT IN (FROM n)"
 
 
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

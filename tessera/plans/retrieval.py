@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
+from tessera.operators.ordering import positions
+from tessera.operators.shared import small, written
 from tessera.sources.adapters import table, wiki_pages
 
 #: Words that queries pass over.
@@ -49,15 +53,15 @@ FROM b""",
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens of each title, joined by spaces."""
-    pages = wiki_pages(spark, sf_dir)
-    return pages.select("path", F.array_join(text.tokens(F.col("title"), STOP_WORDS), " ").alias("tokens"))
+    """The distinct tokens of each whole page in order of their characters: how many, and a digest of them joined by spaces."""
+    found = F.array_sort(text.tokens(F.col("content"), STOP_WORDS))
+    return wiki_pages(spark, sf_dir).select("path", F.size(found).cast("long").alias("n_tokens"), F.md5(F.array_join(found, " ").cast("binary")).alias("tokens_md5"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SQL["tokenize"] = f"""
-WITH p AS ({_PAGES}), t AS (SELECT path, list_filter(regexp_split_to_array(lower(title), '[\\s,，。！？、；：""（）()\\-_/·~～…]+'), lambda t: length(t) > 1 AND NOT list_contains([{_STOP}], t)) AS t FROM p)
-SELECT path, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS tokens FROM t"""
+WITH p AS ({_PAGES}), t AS (SELECT path, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[\\s,，。！？、；：""（）()\\-_/·~～…]+'), lambda t: length(t) > 1 AND NOT list_contains([{_STOP}], t)))) AS t FROM p)
+SELECT path, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""
 
 
 def page_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,51 +126,97 @@ SELECT e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity FROM e
 
 
 def shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page with the next three of its source by path; sources are cut into runs by path, so none meets in one task."""
-    pages = wiki_pages(spark, sf_dir).where("source is not null").select("source", "path")
-    run = F.substring("path", 1, 6)
-    near = Window.partitionBy("source", "run").orderBy("path")
-    pages = pages.withColumn("run", run)
-    pages = pages.withColumn("others", F.array_compact(F.array(*[F.lead("path", k).over(near) for k in (1, 2, 3)])))
-    return pages.withColumn("next", F.explode("others")).select("source", F.col("path").alias("a"), F.col("next").alias("b"))
+    """Pages of one source: each with the next three by path, or, in a source with pages of type source, these with all others.
+
+    Which pages are of that type is stated by id here. Places come from a sort by ranges, so no source
+    meets in one task; stars are as large as the sources that have such pages.
+    """
+    pages = wiki_pages(spark, sf_dir).where("source is not null").select("source", "path", F.endswith("path", F.lit("77.md")).alias("star"))
+    placed = positions(pages, ["source", "path"])
+    starred = small(placed.where("star").select("source").distinct(), "starred-sources")
+    lone = placed.join(starred, "source", "left_anti")
+    ahead = lone.select("source", F.col("path").alias("a"), F.explode(F.array(*[F.col("position") + k for k in (1, 2, 3)])).alias("position"))
+    near = ahead.join(lone.select("source", F.col("path").alias("b"), "position"), ["source", "position"]).select("source", "a", "b")
+    hubs = small(placed.where("star").select("source", F.col("path").alias("hub")), "source-pages")
+    stars = placed.join(hubs, "source").where("path <> hub").select("source", F.least("path", "hub").alias("a"), F.greatest("path", "hub").alias("b")).distinct()
+    return near.unionByName(stars)
 
 
 SQL["shared_source_pairs"] = f"""
-WITH p AS (SELECT source, path, row_number() OVER (PARTITION BY source, substring(path, 1, 6) ORDER BY path) AS k FROM ({_PAGES}) WHERE source IS NOT NULL)
-SELECT x.source, x.path AS a, y.path AS b FROM p x JOIN p y ON x.source = y.source AND substring(x.path, 1, 6) = substring(y.path, 1, 6) AND y.k BETWEEN x.k + 1 AND x.k + 3"""
+WITH p AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS k, ends_with(path, '77.md') AS star FROM ({_PAGES}) WHERE source IS NOT NULL), s AS (SELECT DISTINCT source FROM p WHERE star)
+SELECT x.source, x.path AS a, y.path AS b FROM p x JOIN p y ON x.source = y.source AND y.k BETWEEN x.k + 1 AND x.k + 3 WHERE x.source NOT IN (FROM s)
+UNION ALL SELECT DISTINCT x.source, least(x.path, y.path), greatest(x.path, y.path) FROM p x JOIN p y ON x.source = y.source AND x.path <> y.path WHERE y.star"""
 
+#: Quotes that are broadcast at once.
+QUOTES = 50_000
 
-def quote_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, at): where a benchmark text first stands in a document.
 
-    A quote is first looked up by its longest word, then checked; no document meets all quotes.
+def quotes_found(docs: DataFrame, quotes: DataFrame, most: int = 5) -> DataFrame:
+    """(item_id, doc_id, places): where quotes stand in texts, ``most`` places without overlaps from 1 on.
+
+    Quotes go in groups of bounded size, which are broadcast as one automaton each; a text is read once
+    for a group, however many quotes it has. Empty quotes stand nowhere.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    # the inner words only: those at the ends may be part of longer words in a document
-    inner = F.array_sort(F.slice(F.regexp_extract_all("quote", F.lit("[A-Za-z0-9]+"), F.lit(0)), 2, F.greatest(F.lit(0), F.size(F.regexp_extract_all("quote", F.lit("[A-Za-z0-9]+"), F.lit(0))) - 2)))
-    keys = quotes.select("item_id", "quote", F.explode(inner).alias("word"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.select("doc_id", F.explode(words("text")).alias("word"))
-    common = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(keys.select("word").distinct(), "word", "right")
-    rare = keys.join(common, "word").groupBy("item_id").agg(F.min_by(F.struct("word", "quote"), F.struct(F.coalesce("n", F.lit(0)), "word")).alias("k")).select("item_id", "k.word", "k.quote")
-    found = held.join(rare, "word").join(docs, "doc_id")
-    at = F.instr(F.col("text"), F.col("quote"))
-    return found.where(at > 0).select("item_id", "doc_id", at.cast("long").alias("at"))
+    quotes = written(quotes.where(F.length("quote") > 0).select("item_id", "quote"), "quotes")
+    n_groups = max(1, -(-quotes.count() // QUOTES))
+    out = None
+    for group in range(n_groups):
+        rows = quotes.where(F.pmod(F.xxhash64("item_id"), F.lit(n_groups)) == group).collect()  # about QUOTES rows
+        wanted: dict[str, list[int]] = {}
+        for r in rows:
+            wanted.setdefault(r["quote"], []).append(r["item_id"])
+        told = docs.sparkSession.sparkContext.broadcast(wanted)
+
+        def find(frames, told=told):
+            tree = ahocorasick.Automaton()
+            for quote in told.value:
+                tree.add_word(quote, quote)
+            tree.make_automaton()
+            for frame in frames:
+                found = []
+                for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
+                    places: dict[str, list[int]] = {}
+                    for end, quote in tree.iter(text) if len(told.value) else ():
+                        mine, start = places.setdefault(quote, []), end + 2 - len(quote)
+                        if len(mine) < most and (not mine or start >= mine[-1] + len(quote)):
+                            mine.append(start)
+                    found += [(item, doc, at) for quote, at in places.items() for item in told.value[quote]]
+                yield pd.DataFrame(found, columns=["item_id", "doc_id", "places"])
+
+        part = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(find, "item_id long, doc_id long, places array<int>")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quote_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, places): where benchmark texts, their first words and a few short quotes stand in documents."""
+    full = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    short = full.where("item_id < 5").select((F.col("item_id") + 1000).alias("item_id"), F.substring_index("quote", " ", 2).alias("quote"))
+    odd = spark.createDataFrame([(2000, "è"), (2001, "é d"), (2002, "no such words")], "item_id long, quote string")
+    found = quotes_found(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), full.unionByName(short).unionByName(odd))
+    return found.select("item_id", "doc_id", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+SQL["quote_offsets"] = """
+WITH q AS (SELECT item_id, text AS quote FROM benchmark UNION ALL SELECT item_id + 1000, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] FROM benchmark WHERE item_id < 5 UNION ALL VALUES (2000, 'è'), (2001, 'é d'), (2002, 'no such words')),
+f AS (SELECT item_id, doc_id, quote, string_split(text, quote) AS parts FROM documents JOIN q ON contains(text, quote)),
+g AS (SELECT *, list_transform(range(1, least(5, len(parts) - 1) + 1), lambda k: 1 + list_sum(list_transform(parts[1:k], lambda x: length(x)))::BIGINT + (k - 1) * length(quote)) AS places FROM f)
+SELECT item_id, doc_id, array_to_string(places, ',') AS places FROM g"""
 
 
-SQL["quote_offsets"] = "SELECT item_id, doc_id, instr(d.text, b.text)::BIGINT AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
+#: Where sentences end: at line breaks and at the ideographic and ASCII forms of full stops, exclamation and question marks and semicolons.
+SENTENCE = r"[\n。！？；;!?]+"
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, n_sentences, longest): sentences end in . ! ? or a line break."""
-    parts = F.filter(F.transform(F.split("content", r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+    """(path, n_sentences, longest): sentences by SENTENCE."""
+    parts = F.filter(F.transform(F.split("content", SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
     return wiki_pages(spark, sf_dir).select("path", F.size(parts).cast("long").alias("n_sentences"), F.array_max(F.transform(parts, lambda s: F.length(s))).cast("long").alias("longest"))
 
 
 SQL["sentence_counts"] = f"""
 SELECT path, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x))) AS longest
-FROM (SELECT path, list_filter(list_transform(regexp_split_to_array(content, '[.!?\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM ({_PAGES}))"""
+FROM (SELECT path, list_filter(list_transform(regexp_split_to_array(content, '[\\n。！？；;!?]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM ({_PAGES}))"""
 
 
 def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
