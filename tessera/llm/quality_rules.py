@@ -151,7 +151,7 @@ def starts(judged: DataFrame) -> DataFrame:
     found = found.join(small(spread.drop("total"), "quality-spread"), "_group")
     scatter = [(F.pow((F.col(f"mad_{axes[i]}") + 0.5) * (FLOOR[i] / 10) * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
     robust = [found.select("_group", F.lit(k).alias("_start"), *[F.col(f"{q}_{x}").alias(f"m_{i}") for i, x in enumerate(axes)], *scatter) for k, q in enumerate(("mid", "low", "top"))]
-    plain = _moments(judged.join(found.select("_group"), "_group").withColumn("_start", F.lit(3)), 1.0)
+    plain = _moments(judged.withColumn("_start", F.lit(3)), 1.0).join(found.select("_group"), "_group")
     return robust[0].unionByName(robust[1]).unionByName(robust[2]).unionByName(plain)
 
 
