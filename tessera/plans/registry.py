@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import assessment, graphs, learners, mastery, pages, readiness, retrieval, search, streams
+from tessera.plans import assessment, graphs, knowledge, learners, mastery, pages, readiness, retrieval, search, streams
 
-MODULES = (retrieval, search, pages, learners, graphs, readiness, mastery, assessment, streams)
+MODULES = (retrieval, search, pages, learners, graphs, readiness, mastery, assessment, knowledge, streams)
 
 
 def queries() -> dict:
