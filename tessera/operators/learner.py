@@ -1,11 +1,14 @@
 """Learner models: folds over each learner's attempts on a knowledge component, and summaries.
 
-A fold needs the attempts of one learner on one component in order, a group that a person's time
-bounds; groups are spread by both keys, so a busy learner's components are folded apart.
+A fold reads the attempts of one learner on one component in order and carries its state from one to
+the next; learners are spread by both keys, so a busy learner's components are folded apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,45 +22,69 @@ CORRECT, MASTERED, WEAK = 0.7, 0.85, 0.5
 HOUR, DAY = 3600.0, 86400.0
 
 
-def bkt_step(p: Column, correct: Column) -> Column:
+def next_belief(p: float, correct: bool) -> float:
     """The belief after one answer; a wrong one is damped by the chance to learn."""
     right = p * (1 - SLIP) + (1 - p) * GUESS
     known = p * (1 - SLIP) / right
-    missed = p * SLIP / F.greatest(F.lit(1e-9), 1 - right)
-    return F.when(correct, known + (1 - known) * LEARN).otherwise(missed * (1 - LEARN))
+    return known + (1 - known) * LEARN if correct else p * SLIP / max(1e-9, 1 - right) * (1 - LEARN)
+
+
+def next_repetition(state: tuple[float, float, int], q: int) -> tuple[float, float, int]:
+    """(ease, seconds, reps) after a repetition of quality q."""
+    ease = max(1.3, state[0] + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)))
+    reps = 0 if q < 3 else state[2] + 1
+    grown = max(state[1], 1.0) * ease
+    wait = HOUR if q < 3 else DAY if reps == 1 else 6 * DAY if reps == 2 else min(grown, 14 * DAY) if reps == 3 else grown
+    return ease, max(wait, HOUR), reps
 
 
 def quality(score: Column, hints: Column) -> Column:
     """Recall quality from 0 to 5 of a score out of 1; hints take off two at most."""
     off = F.least(F.lit(2), F.greatest(F.lit(0), hints.cast("int")))
-    return F.when(score < 0.3, 0).when(score < 0.5, 2).when(score < 0.7, F.greatest(F.lit(3), 3 - off)).when(score < 0.9, F.greatest(F.lit(3), 4 - off)).otherwise(F.greatest(F.lit(4), 5 - off)).cast("int")
+    return F.when(score < 0.3, 0).when(score < 0.5, 2).when(score < 0.7, 3).when(score < 0.9, F.greatest(F.lit(3), 4 - off)).otherwise(F.greatest(F.lit(4), 5 - off)).cast("int")
 
 
-def sm2_step(state: Column, q: Column) -> Column:
-    """(ease, seconds, reps) after a repetition of quality q."""
-    ease = F.greatest(F.lit(1.3), state["ease"] + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)))
-    reps = F.when(q < 3, 0).otherwise(state["reps"] + 1)
-    grown = F.greatest(state["seconds"], F.lit(1.0)) * ease
-    wait = F.when(q < 3, HOUR).when(reps == 1, DAY).when(reps == 2, 6 * DAY).when(reps == 3, F.least(grown, F.lit(14 * DAY))).otherwise(grown)
-    return F.struct(ease.alias("ease"), F.greatest(wait, F.lit(HOUR)).alias("seconds"), reps.cast("int").alias("reps"))
+def folded(attempts: DataFrame, start: tuple, step: Callable, schema: str) -> DataFrame:
+    """(user_id, kc_id, event_id, k, the fields of ``schema``): a state after each attempt, k from 1 on.
+
+    ``step`` makes the next state of the last one and an attempt's (correct, quality). Partitions are
+    sorted by learner, component and time, and only the last state is carried from row to row, so no
+    learner's history is held at once.
+    """
+    kinds, keys = dict(attempts.dtypes), ["user_id", "kc_id"]
+    rows = attempts.select(*keys, "ts", "event_id", (F.col("score") >= CORRECT).alias("correct"), quality(F.col("score"), F.col("hint_ladder")).alias("q"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames):
+        last, k, state = None, 0, start
+        for frame in frames:
+            out = []
+            for user, kc, correct, q in zip(frame["user_id"].tolist(), frame["kc_id"].tolist(), frame["correct"].tolist(), frame["q"].tolist(), strict=True):
+                if (user, kc) != last:
+                    last, k, state = (user, kc), 0, start
+                state, k = step(state, correct, q), k + 1
+                out.append((k, *state))
+            yield pd.concat([frame[[*keys, "event_id"]], pd.DataFrame(out, columns=["k", *names], index=frame.index)], axis=1)
 
+    return rows.mapInPandas(run, f"user_id {kinds['user_id']}, kc_id {kinds['kc_id']}, event_id {kinds['event_id']}, k long, {schema}")
 
-def _ordered(attempts: DataFrame) -> DataFrame:
-    one = F.struct("ts", "event_id", (F.col("score") >= CORRECT).alias("correct"), quality(F.col("score"), F.col("hint_ladder")).alias("q"))
-    return attempts.groupBy("user_id", "kc_id").agg(F.array_sort(F.collect_list(one)).alias("tries"))
+
+def timeline(attempts: DataFrame) -> DataFrame:
+    """(user_id, kc_id, event_id, k, p_known): the belief after each attempt."""
+    return folded(attempts, (P0,), lambda s, correct, q: (next_belief(s[0], correct),), "p_known double")
 
 
 def bkt(attempts: DataFrame) -> DataFrame:
     """(user_id, kc_id, p_known, obs_n): the belief after all attempts."""
-    p = F.aggregate("tries", F.lit(P0), lambda p, x: bkt_step(p, x["correct"]))
-    return _ordered(attempts).select("user_id", "kc_id", p.alias("p_known"), F.size("tries").cast("long").alias("obs_n"))
+    return timeline(attempts).groupBy("user_id", "kc_id").agg(F.max_by("p_known", "k").alias("p_known"), F.max("k").alias("obs_n"))
 
 
 def sm2(attempts: DataFrame) -> DataFrame:
     """(user_id, kc_id, ease, interval_seconds, reps, last_quality) after all attempts."""
-    start = F.struct(F.lit(2.5).alias("ease"), F.lit(0.0).alias("seconds"), F.lit(0).alias("reps"))
-    folded = _ordered(attempts).withColumn("s", F.aggregate("tries", start, lambda s, x: sm2_step(s, x["q"])))
-    return folded.select("user_id", "kc_id", F.col("s.ease").alias("ease"), F.col("s.seconds").alias("interval_seconds"), F.col("s.reps").alias("reps"), F.element_at("tries", -1)["q"].alias("last_quality"))
+    line = folded(attempts, (2.5, 0.0, 0, 0), lambda s, correct, q: (*next_repetition(s[:3], q), q), "ease double, interval_seconds double, reps int, last_quality int")
+    last = F.max_by(F.struct("ease", "interval_seconds", "reps", "last_quality"), "k").alias("s")
+    return line.groupBy("user_id", "kc_id").agg(last).select("user_id", "kc_id", "s.*")
 
 
 def ranked_components(beliefs: DataFrame, weak: bool, limit: int) -> DataFrame:
@@ -71,8 +98,9 @@ def ranked_components(beliefs: DataFrame, weak: bool, limit: int) -> DataFrame:
 def overconfidence(attempts: DataFrame, last: int = 200) -> DataFrame:
     """(user_id, gap): mean of stated confidence less correctness over each learner's last attempts."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    daily = Window.partitionBy("user_id", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("event_id"))  # so no learner's whole history is ranked at once
     gap = (F.col("confidence") - 1) / 4.0 - (F.col("score") >= CORRECT).cast("double")
-    return attempts.select("user_id", "ts", "event_id", gap.alias("gap")).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= last).groupBy("user_id").agg(F.round(F.avg("gap"), 4).alias("gap"))
+    return attempts.select("user_id", "ts", "event_id", gap.alias("gap")).withColumn("k", F.row_number().over(daily)).where(F.col("k") <= last).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= last).groupBy("user_id").agg(F.round(F.avg("gap"), 4).alias("gap"))
 
 
 def learner_state(beliefs: DataFrame) -> DataFrame:
@@ -108,34 +136,6 @@ def states(exposures: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-def timeline(attempts: DataFrame) -> DataFrame:
-    """(user_id, kc_id, event_id, k, p_known): the belief after each attempt, k from 1 on.
-
-    Partitions are sorted by learner, component and time, and only the last belief is carried from row
-    to row, so no learner's history is held at once.
-    """
-    kinds = dict(attempts.dtypes)
-    keys = ["user_id", "kc_id"]
-    rows = attempts.select(*keys, "ts", "event_id", (F.col("score") >= CORRECT).alias("correct")).repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
-
-    def run(frames):
-        last, k, p = None, 0, P0
-        for frame in frames:
-            beliefs, places = [], []
-            for user, kc, correct in zip(frame["user_id"], frame["kc_id"], frame["correct"], strict=True):
-                if (user, kc) != last:
-                    last, k, p = (user, kc), 0, P0
-                right = p * (1 - SLIP) + (1 - p) * GUESS
-                known = p * (1 - SLIP) / right
-                p = known + (1 - known) * LEARN if correct else p * SLIP / max(1e-9, 1 - right) * (1 - LEARN)
-                k += 1
-                beliefs.append(p)
-                places.append(k)
-            yield frame[[*keys, "event_id"]].assign(k=places, p_known=beliefs)
-
-    return rows.mapInPandas(run, f"user_id {kinds['user_id']}, kc_id {kinds['kc_id']}, event_id {kinds['event_id']}, k long, p_known double")
-
-
 #: The grid that a refit starts from, how far the next ones reach, and first beliefs that it tries.
 GRID, REACH, FIRST = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4), (0.025, 0.01), (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 

@@ -21,7 +21,14 @@ def stream_bkt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.newest_beliefs(changes).withColumn("p_known", F.round("p_known", 9))
 
 
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events of each user, each once, as a stream tells them."""
+    stream = events.distinct_within(events.event_stream(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"])
+    return events.drained(stream.select("user_id", "event_type"), "distinct")
+
+
 SQL = {
+    "stream_distinct": "SELECT DISTINCT user_id, event_type FROM events",
     "session_window_events": """
 WITH s AS (SELECT *, epoch_us(ts) AS us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000)::INT, 1) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s)
@@ -29,4 +36,4 @@ SELECT user_id, max(us) AS last_us, count(*) AS n_events, round(sum(value), 4) A
 HAVING max(us) + 1800000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM s)""",
     "stream_bkt": learners.SQL["bkt_posterior"],
 }
-QUERIES = {f.__name__: f for f in (session_window_events, stream_bkt)}
+QUERIES = {f.__name__: f for f in (session_window_events, stream_bkt, stream_distinct)}

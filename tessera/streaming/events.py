@@ -14,15 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.learner import CORRECT, GUESS, LEARN, P0, SLIP
+from tessera.operators.learner import CORRECT, P0, next_belief
 from tessera.operators.shared import shared_folder
 
 
+#: Files of a batch, which bounds what a key can have in it.
+FILES = 64
+
+
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the Parquet files at ``path`` as they appear, their time as an instant."""
+    """Rows of the Parquet files at ``path`` as they appear, their time as an instant; FILES of them at most in a batch."""
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only by a pattern
-    return spark.readStream.schema(schema).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -44,21 +48,28 @@ def _observe(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     p, n = state.get if state.exists else (P0, 0)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     for correct in rows["score"] >= CORRECT:
-        right = p * (1 - SLIP) + (1 - p) * GUESS
-        known = p * (1 - SLIP) / right
-        p = known + (1 - known) * LEARN if correct else p * SLIP / max(1e-9, 1 - right) * (1 - LEARN)
+        p = next_belief(p, correct)
     state.update((float(p), int(n + len(rows))))
     yield pd.DataFrame({"user_id": [key[0]], "kc_id": [key[1]], "p_known": [float(p)], "obs_n": [int(n + len(rows))]})
 
 
 def beliefs(attempts: DataFrame) -> DataFrame:
-    """A row (user_id, kc_id, p_known, obs_n) whenever a batch changes a belief; state is two numbers for each key."""
+    """A row (user_id, kc_id, p_known, obs_n) whenever a batch changes a belief; state is two numbers for each key.
+
+    A key's rows of one batch are folded in order of time; rows that come in a later batch are folded
+    then, whatever their time.
+    """
     kinds = dict(attempts.dtypes)
     schema = f"user_id {kinds['user_id']}, kc_id {kinds['kc_id']}, p_known double, obs_n long"
     needed = attempts.select("user_id", "kc_id", "score", "ts", "event_id")
     return needed.groupBy("user_id", "kc_id").applyInPandasWithState(_observe, schema, "p_known double, obs_n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def distinct_within(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The first row of each value of ``keys``; a value is forgotten once the watermark has passed it."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def newest_beliefs(changes: DataFrame) -> DataFrame:
     """The last change of each belief."""
     return changes.groupBy("user_id", "kc_id").agg(F.max_by("p_known", "obs_n").alias("p_known"), F.max("obs_n").alias("obs_n"))
