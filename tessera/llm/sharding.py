@@ -10,16 +10,24 @@ see the old list or the new one, and of two writers one wins.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Versions that stay readable after a vacuum, and commits that are tried against other writers.
+KEEP, RETRIES = 2, 5
 #: What a manifest says of each shard.
 MANIFEST = "path string, bytes long, n_rows long, since long"
 
 
 class ShardStore:
-    """Shards of one table under ``root``, on any file system that Spark can write to."""
+    """Shards of one table under ``root``, on a file system whose rename is atomic and never replaces.
+
+    Paths of a tier and of a version are listed on the driver, as a read of files needs: some bytes for
+    each file of the target size.
+    """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fan_in: int = 4, least_bytes: int = 1 << 20):
         self.spark, self.root, self.target, self.fan_in, self.least = spark, root.rstrip("/"), target_bytes, fan_in, least_bytes
@@ -61,11 +69,21 @@ class ShardStore:
         files = self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         return files.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("since", F.lit(since).cast("long"))
 
+    def _next(self, made: Callable[[int], DataFrame]) -> int:
+        """Commit what ``made`` says of the version after the newest, again if another writer was first."""
+        for _ in range(RETRIES):
+            newest = (self.versions() or [0])[-1]
+            try:
+                return self.commit(made(newest), newest + 1)
+            except Exception as lost:
+                if "exists" not in str(lost):
+                    raise
+        raise RuntimeError(f"lost to other writers {RETRIES} times")
+
     def append(self, df: DataFrame) -> int:
         """Commit a version that also has the rows of ``df``, in shards of its own: one for each task."""
-        version = (self.versions() or [0])[-1] + 1
-        new = self._write(df, version)
-        return self.commit(self.manifest().unionByName(new) if version > 1 else new, version)
+        new = self._write(df, (self.versions() or [0])[-1] + 1)
+        return self._next(lambda newest: self.manifest(newest).unionByName(new) if newest else new)
 
     def tiers(self) -> DataFrame:
         """The newest manifest with each shard's tier; null for shards that are large enough."""
@@ -78,17 +96,24 @@ class ShardStore:
         The rows of merged shards are read and written without a shuffle: neighbouring input splits
         go to one output file of about the target size.
         """
-        made = 0
+        made_merges = 0
         while True:
             tiers = self.tiers()
             full = tiers.where("tier is not null").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.collect_list("path").alias("paths")).where(F.col("n") >= self.fan_in).orderBy("tier").limit(1).collect()
             if not full:
-                return made
+                return made_merges
             version = self.versions()[-1] + 1
             merged = self._write(self.spark.read.parquet(*full[0]["paths"]).coalesce(max(1, round(full[0]["bytes"] / self.target))), version)
-            rest = tiers.where(~F.col("tier").eqNullSafe(full[0]["tier"])).drop("tier")
-            self.commit(rest.unionByName(merged), version)
-            made += 1
+            gone = full[0]["paths"]
+
+            def made(newest, merged=merged, gone=gone):
+                now = self.manifest(newest)
+                if now.where(F.col("path").isin(gone)).count() < len(gone):
+                    raise RuntimeError("another writer merged these shards")
+                return now.where(~F.col("path").isin(gone)).unionByName(merged)
+
+            self._next(made)
+            made_merges += 1
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version: none, with the columns appended, if no shard has a row.
@@ -100,23 +125,23 @@ class ShardStore:
             return self.spark.read.parquet(f"{self.root}/shards/*").where("false")
         return self.spark.read.parquet(*paths)
 
-    def vacuum(self) -> int:
-        """Delete shards that the newest version doesn't list; how many. Older versions lose their files."""
-        live = self.manifest().select("path")
-        old = None
-        for v in self.versions()[:-1]:
-            part = self.manifest(v).select("path")
-            old = part if old is None else old.unionByName(part)
-        gone = [] if old is None else [r["path"] for r in old.distinct().join(live, "path", "left_anti").collect()]
+    def vacuum(self, keep: int = KEEP) -> int:
+        """Delete versions before the newest ``keep``, and shards that only they list; how many. Readers of a kept version go on."""
+        versions = self.versions()
+        live, old = versions[-keep:], versions[:-keep]
+        if not old:
+            return 0
+        paths = lambda some: reduce(DataFrame.unionByName, [self.manifest(v).select("path") for v in some]).distinct()
+        gone = [r["path"] for r in paths(old).join(paths(live), "path", "left_anti").collect()]
         for path in gone:
             self._fs.delete(self._path(path), False)
-        for v in self.versions()[:-1]:
+        for v in old:
             self._fs.delete(self._path(f"{self.root}/manifests/v={v}"), True)
         return len(gone)
 
 
 def shard(store: ShardStore, arrivals: list[DataFrame]) -> DataFrame:
-    """Append each arrival, compact and vacuum after each; the rows of the final version.
+    """Append each arrival, compact after each, vacuum all but the last KEEP versions; the rows of the final version.
 
     Every row of every arrival is in the result once, with all its columns as they were, whatever
     their names: nulls, repeated rows, empty and very long texts too. Arrivals without rows add

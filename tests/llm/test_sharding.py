@@ -36,7 +36,8 @@ def test_tiers_merge_and_old_versions_stay_readable(spark, tmp_path):
     assert store.compact() == 1 and store.manifest().count() == 1
     assert store.read(4).count() == store.read().count() == 40
     assert store.read(2).agg(F.max("id")).first()[0] == 19
-    assert store.vacuum() == 4 and store.versions() == [5]
+    assert store.vacuum() == 0 and store.versions() == [4, 5]
+    assert store.vacuum(keep=1) == 4 and store.versions() == [5]
     assert rows_of(store.read()) == Counter((i,) for i in range(40))
 
 
@@ -53,3 +54,15 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         store.commit(store.manifest(), 1)
     assert store.versions() == [1] and store.read().count() == 5
+
+
+def test_a_lost_race_is_tried_again(spark, tmp_path):
+    store, other = (ShardStore(spark, f"{tmp_path}/f") for _ in range(2))
+    store.append(spark.range(3).coalesce(1))
+    seen = iter([[1]])  # the other writer commits just after the versions were listed
+    listed = store.versions
+    store.versions = lambda: next(seen, None) or listed()
+    new = store._write(spark.range(10, 12).coalesce(1), 2)
+    other.append(spark.range(5, 7).coalesce(1))
+    assert store._next(lambda newest: store.manifest(newest).unionByName(new)) == 3
+    assert rows_of(store.read()) == Counter((i,) for i in (0, 1, 2, 5, 6, 10, 11))
