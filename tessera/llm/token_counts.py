@@ -4,13 +4,15 @@ A task groups its documents into blocks and turns each block into an inverted li
 distinct pre-token, the documents that hold it and how often. Pre-tokens that are pieces
 themselves count 1 and are summed on the spot; that table is the tokenizer's vocabulary, whose
 size is fixed. The others meet in one exchange, sorted by pre-token, where each distinct one is
-split into pieces once and its count joined, in passing, to the lists of all blocks. Sums return by
-block. No ids are made for any document.
+split into pieces once and its count joined, in passing, to the lists of all blocks. A pre-token that
+fills much of a block is dealt by block as well, so it is split once in each of some tasks. Sums
+return by block. No ids are made for any document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ from tessera.llm import pieces
 
 #: Characters in a block, which bounds what a task keeps in memory at once.
 BLOCK = 24_000_000
+#: A list of more documents is dealt by its block too, to one of SALTS tasks, each of which splits the pre-token anew.
+LONG, SALTS = 1024, 64
 #: Places that a task adds up at once; sums leave in portions.
 HELD = 8_000_000
 
@@ -48,7 +52,9 @@ def _block(ids, texts, path: str, name: str) -> pd.DataFrame:
     tokens = ["t" + t for t in lists]
     payload = [np.array(v, "<u4").astype("<u2" if len(texts) < 65536 and max(v) < 65536 else "<u4").tobytes() for v in lists.values()]
     wide = [len(b) != len(v) * 2 for b, v in zip(payload, lists.values(), strict=True)]
-    return pd.DataFrame({"token": [*tokens, "m" + name], "block": name, "wide": [*wide, False], "payload": [*payload, meta.tobytes()]})
+    own = crc32(name.encode()) % SALTS + 1
+    salt = [own if len(v) > 2 * LONG else 0 for v in lists.values()]
+    return pd.DataFrame({"token": [*tokens, "m" + name], "salt": pd.array([*salt, 0], "int32"), "block": name, "wide": [*wide, False], "payload": [*payload, meta.tobytes()]})
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -60,7 +66,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
 
     def arrow(frame):
-        return pa.RecordBatch.from_pandas(frame, pa.schema([("token", pa.string()), ("block", pa.string()), ("wide", pa.bool_()), ("payload", pa.binary())]), preserve_index=False)
+        return pa.RecordBatch.from_pandas(frame, pa.schema([("token", pa.string()), ("salt", pa.int32()), ("block", pa.string()), ("wide", pa.bool_()), ("payload", pa.binary())]), preserve_index=False)
 
     def blocks(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -122,7 +128,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         ids = pd.Series(meta[0], dtype="Int64").where(pd.Series(meta[1] == 1))
         return pd.DataFrame({"id": ids, "n_bytes": meta[2], "n_tokens": total})
 
-    lists = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, "token string, block string, wide boolean, payload binary")
-    partial = lists.repartition("token").sortWithinPartitions("token").mapInPandas(sums, "block string, meta boolean, payload binary")
+    lists = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, "token string, salt int, block string, wide boolean, payload binary")
+    partial = lists.repartition("token", "salt").sortWithinPartitions("token").mapInPandas(sums, "block string, meta boolean, payload binary")
     out = partial.groupBy("block").applyInPandas(rows, "id long, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
