@@ -31,7 +31,7 @@ LONG, SALTS = 1024, 64
 HELD = 8_000_000
 
 
-def _block(ids, texts, path: str, name: str) -> pd.DataFrame:
+def _block(ids, texts, path: str, name: str, long: int) -> pd.DataFrame:
     """A block's inverted lists, and one row with its documents and their counts so far."""
     p = pieces.load(path)
     lists: dict[str, list[int]] = {}
@@ -53,11 +53,11 @@ def _block(ids, texts, path: str, name: str) -> pd.DataFrame:
     payload = [np.array(v, "<u4").astype("<u2" if len(texts) < 65536 and max(v) < 65536 else "<u4").tobytes() for v in lists.values()]
     wide = [len(b) != len(v) * 2 for b, v in zip(payload, lists.values(), strict=True)]
     own = crc32(name.encode()) % SALTS + 1
-    salt = [own if len(v) > 2 * LONG else 0 for v in lists.values()]
+    salt = [own if len(v) > 2 * long else 0 for v in lists.values()]
     return pd.DataFrame({"token": [*tokens, "m" + name], "salt": pd.array([*salt, 0], "int32"), "block": name, "wide": [*wide, False], "payload": [*payload, meta.tobytes()]})
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block: int = BLOCK, long: int = LONG) -> DataFrame:
     """One row for each row of ``docs``: id, UTF-8 bytes, tokens, and whether these exceed ``limit``.
 
     ``tokenizer`` is a byte-level BPE file of the tokenizers library. Null and empty texts have 0
@@ -76,14 +76,14 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = t or ""
-                if texts and held + len(t) > BLOCK:
-                    yield arrow(_block(ids, texts, tokenizer, f"{part}-{seq}"))
+                if texts and held + len(t) > block:
+                    yield arrow(_block(ids, texts, tokenizer, f"{part}-{seq}", long))
                     ids, texts, held, seq = [], [], 0, seq + 1
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
         if texts:
-            yield arrow(_block(ids, texts, tokenizer, f"{part}-{seq}"))
+            yield arrow(_block(ids, texts, tokenizer, f"{part}-{seq}", long))
 
     def added(places):
         """The sums gathered so far, block by block."""

@@ -150,14 +150,12 @@ def test_token_counts(spark, library):
     assert token_counts.token_counts(odd(spark, []), public_tokenizers.path(queries.TOKENIZER)).count() == 0
 
 
-def test_token_counts_of_long_lists(spark, library, monkeypatch):
+def test_token_counts_of_long_lists(spark, library):
     """Long lists are dealt by block; counts stay the same."""
     import public_tokenizers
 
-    monkeypatch.setattr(token_counts, "LONG", 2)
-    monkeypatch.setattr(token_counts, "BLOCK", 300)
     texts = [(k, f"zqxv{k % 3}zqxv blorpified word{k}") for k in range(60)]
-    got = token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), public_tokenizers.path(queries.TOKENIZER))
+    got = token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), public_tokenizers.path(queries.TOKENIZER), block=300, long=2)
     assert rows_of(got, "doc_id", "n_tokens") == sorted(((i, len(library.encode(t, add_special_tokens=False))) for i, t in texts), key=repr)
 
 
