@@ -163,3 +163,42 @@ def shorten(text: Column, most: int) -> Column:
 def compact(text: Column) -> Column:
     """Letters and digits only, in lower case."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
+#: Where pages of a type lie; other types lie in a folder named by their plural.
+FOLDERS = {
+    "concept": "concepts", "formula": "formulas", "principle": "principles", "procedure": "procedures", "example": "examples", "misconception": "misconceptions", "synthesis": "synthesis",
+    "learning_path": "learning_paths", "learning_objective": "objectives", "rubric": "rubrics", "source": "sources", "inquiry": "inquiries", "guide": "guides",
+}
+
+
+def page_path(kind: Column, title: Column) -> Column:
+    """The file of a page: its type's folder and its title as a name."""
+    known = F.create_map(*[F.lit(x) for pair in FOLDERS.items() for x in pair])
+    return F.concat(F.coalesce(known[kind], F.concat(kind, F.lit("s"))), F.lit("/"), slug_title(title), F.lit(".md"))
+
+
+def without_images(text: Column) -> Column:
+    """The text without pictures: marked, as tags, inline data, bare file names, media paths, and what empty brackets they leave."""
+    for pattern in (r"!\[[^\]]*\]\([^)]+\)", r"<img[^>]*/?>", r"data:image/[a-zA-Z]+;base64,[A-Za-z0-9+/=]{50,}", r"(?i)\b[a-zA-Z0-9_-]+\.(?:png|jpe?g|gif|bmp|tiff?|webp|svg)\b", r"/api/media/[^\s)]+", r"(?m)^[ \t]*\(\s*\)[ \t]*$", r"(?m)^[ \t]*\[\s*\][ \t]*$"):
+        text = F.regexp_replace(text, pattern, "")
+    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+
+
+def label_variants(label: Column) -> Column:
+    """How a label may stand in a text: in lower case, without what is in parentheses, and its parts between separators."""
+    clean = F.lower(trimmed(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " ")))
+    bare = trimmed(F.regexp_replace(clean, r"\s*[（(][^）)]*[）)]\s*", " "))
+    parts = [F.when(F.contains(clean, F.lit(sep)), F.filter(F.transform(F.split(clean, sep), lambda x: trimmed(x)), lambda x: F.length(x) > 1)).otherwise(F.array().cast("array<string>")) for sep in ("、", "/", "／")]
+    return F.array_distinct(F.concat(F.array(clean), F.when((bare != "") & (bare != clean), F.array(bare)).otherwise(F.array().cast("array<string>")), *parts))
+
+
+def source_keywords(file: Column) -> Column:
+    """What tells a source's pages: its name, without a lecture's number, its parts, and its ideographs two by two."""
+    stem = source_stem(file)
+    clean = F.regexp_replace(stem, "第[一二三四五六七八九十0-9]+讲", "")
+    parts = F.filter(F.split(clean, r"[\s._\-]+"), lambda x: F.length(x) >= 2)
+    phrases = F.regexp_extract_all(clean, F.lit("([一-鿿]{2,})"), F.lit(1))
+    pairs = F.flatten(F.transform(phrases, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda k: F.substring(x, k, F.lit(2)))))
+    every = F.concat(F.array(stem, clean), parts, phrases, pairs)
+    return F.array_sort(F.array_distinct(F.filter(every, lambda x: (x != "") & ~x.isin("讲义", "课件", "性能"))))
