@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import numbered, one_space, small, stash
+from tessera.llm.common import numbered, one_space, stash
 from tessera.operators.shared import FEW_ROWS, observed
 
 #: The share of documents that a core has, and that reweighting would keep of a normal distribution.
 SHARE, WEIGHED = 0.75, 0.975
 #: Concentration steps at most, and those that all starts take; determinants stop falling much earlier.
-STEPS, EARLY = 30, 2
+STEPS, EARLY = 30, 1
 #: Groups need so many documents for estimates of their own; pools of what is left need fewer.
 LEAST, ENOUGH = 60, 10
 #: Rates of short texts lean on the group's typical rate as if there were so many more words.
@@ -86,14 +86,21 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds _group: language and source, or all small groups of a language, or what is still small of all languages."""
+def _marked(table: DataFrame, few: bool) -> DataFrame:
+    """A table of a row for each group and start, for broadcast where the groups were counted and are few."""
+    return F.broadcast(table) if few else table
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds _group: language and source, or all small groups of a language, or what is still small of all languages; are they few?"""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     rows = rows.withColumns({"_lang": name("_lang0"), "_pair": F.concat(name("_lang0"), F.lit("\x1f"), name("_source0"))})
     pairs = rows.groupBy("_pair", "_lang").agg(F.count(F.lit(1)).alias("n")).withColumn("wide", F.when(F.col("n") >= LEAST, F.col("_pair")))
-    few = pairs.where("wide is null").groupBy("_lang").agg(F.sum("n").alias("m"))
-    names = pairs.join(few, "_lang", "left").select("_pair", F.coalesce("wide", F.when(F.col("m") >= LEAST, F.concat("_lang", F.lit("\x1f*"))), F.lit("*")).alias("_group"))
-    return rows.join(small(names, "quality-names"), "_pair").drop("_pair", "_lang")
+    of_lang = F.sum(F.when(F.col("wide").isNull(), F.col("n"))).over(Window.partitionBy("_lang"))
+    names = pairs.select("_pair", F.coalesce("wide", F.when(of_lang >= LEAST, F.concat("_lang", F.lit("\x1f*"))), F.lit("*")).alias("_group"))
+    names, seen = observed(names, "quality-names", n=F.count(F.lit(1)))
+    few = 4 * seen["n"] <= FEW_ROWS
+    return rows.join(_marked(names, few), "_pair").drop("_pair", "_lang"), few
 
 
 def _factors(estimates: DataFrame) -> DataFrame:
@@ -139,57 +146,52 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     return sums.select("_group", "_start", *[f"m_{i}" for i in range(_P)], *[(F.col(f"c_{i}_{j}") * scale + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS])
 
 
-def starts(judged: DataFrame) -> DataFrame:
+def starts(judged: DataFrame, few: bool) -> DataFrame:
     """(_group, _start, m_i, s_i_j): medians, quartiles below and above, each with median deviations; means with covariances."""
     axes = [f"x_{i}" for i in range(_P)]
     bins = {x: F.floor(F.col(x) / (floor / 10)) for x, floor in zip(axes, FLOOR, strict=True)}
     found = _binned_quantiles(judged, ["_group"], bins, {"low": 0.25, "mid": 0.5, "top": 0.75}).where(F.col("total") >= ENOUGH)
     found = found.select("_group", *[((F.col(f"{q}_{x}") + 0.5) * (floor / 10)).alias(f"{q}_{x}") for q in ("low", "mid", "top") for x, floor in zip(axes, FLOOR, strict=True)])
-    found = small(found, "quality-start")
+    found = stash(found, "quality-start")
     off = {x: F.floor(F.abs(F.col(x) - F.col(f"mid_{x}")) / (floor / 10)) for x, floor in zip(axes, FLOOR, strict=True)}
-    spread = _binned_quantiles(judged.join(found, "_group"), ["_group"], off, {"mad": 0.5})
-    found = found.join(small(spread.drop("total"), "quality-spread"), "_group")
+    spread = _binned_quantiles(judged.join(_marked(found, few), "_group"), ["_group"], off, {"mad": 0.5}).drop("total")
     scatter = [(F.pow((F.col(f"mad_{axes[i]}") + 0.5) * (FLOOR[i] / 10) * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
-    robust = [found.select("_group", F.lit(k).alias("_start"), *[F.col(f"{q}_{x}").alias(f"m_{i}") for i, x in enumerate(axes)], *scatter) for k, q in enumerate(("mid", "low", "top"))]
-    plain = _moments(judged.withColumn("_start", F.lit(3)), 1.0).join(found.select("_group"), "_group")
-    return robust[0].unionByName(robust[1]).unionByName(robust[2]).unionByName(plain)
+    three = F.explode(F.array(*[F.struct(F.lit(k).alias("_start"), *[F.col(f"{q}_{x}").alias(f"m_{i}") for i, x in enumerate(axes)]) for k, q in enumerate(("mid", "low", "top"))])).alias("at")
+    robust = spread.join(_marked(found, few), "_group").select("_group", three, *scatter).select("_group", "at.*", *[f"s_{i}_{j}" for i, j in _PAIRS])
+    plain = _moments(judged.withColumn("_start", F.lit(3)), 1.0).join(_marked(found.select("_group"), few), "_group")
+    return robust.unionByName(plain)
 
 
-def concentrated(judged: DataFrame, factors: DataFrame) -> DataFrame:
+def concentrated(judged: DataFrame, factors: DataFrame, few: bool) -> DataFrame:
     """The factors after one step, from the moments of the SHARE of documents with the smallest distances; falls: log_det before less after."""
     keys, place = ["_group", "_start"], F.floor(F.log(F.col("_d2") + 1e-6) * 64)
-    measured = _measured(judged, factors)
-    cut = small(_binned_quantiles(measured, keys, {"cut": place}, {"at": SHARE}).drop("total"), "quality-cuts")
-    after = _factors(_moments(measured.join(cut, keys).where(place <= F.col("at_cut")), CONSISTENT))
-    return after.join(factors.select(*keys, F.col("log_det").alias("_was")), keys).withColumn("falls", F.col("_was") - F.col("log_det")).drop("_was")
+    measured = _measured(judged, _marked(factors, few))
+    cut = _binned_quantiles(measured, keys, {"cut": place}, {"at": SHARE}).drop("total")
+    after = _factors(_moments(measured.join(_marked(cut, few), keys).where(place <= F.col("at_cut")), CONSISTENT))
+    return after.join(_marked(factors.select(*keys, F.col("log_det").alias("_was")), few), keys).withColumn("falls", F.col("_was") - F.col("log_det")).drop("_was")
 
 
-def least_determinant(judged: DataFrame) -> DataFrame:
+def least_determinant(judged: DataFrame, few: bool = True) -> DataFrame:
     """The factors of each group's core with the least determinant, over all starts.
 
-    ``judged`` has _group and x_i. After EARLY steps only each group's two best starts go on; each is
-    done once its determinant falls by less than a thousandth, or after STEPS steps.
+    ``judged`` has _group and x_i; ``few`` says that a row for each group may be broadcast. After EARLY
+    steps only each group's two best starts go on; each is done once its determinant falls by less than
+    a thousandth, or after STEPS steps.
     """
     best = lambda found, n: found.withColumn("_best", F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start"))).where(F.col("_best") <= n).drop("_best")
-    factors = small(_factors(starts(judged)), "quality-factors")
+    factors = stash(_factors(starts(judged, few)), "quality-factors")
     done = None
-    for step in range(STEPS):
-        after = concentrated(judged, factors)
-        if step + 1 == EARLY:
-            after = best(after, 2)
-        moving = F.abs("falls") > 1e-3
-        after, seen = observed(after, "quality-factors", n=F.count(F.lit(1)), moving=F.count_if(moving))
-        few = F.broadcast if seen["n"] <= FEW_ROWS else lambda x: x
-        if step + 1 < EARLY:
-            factors = few(after.drop("falls"))
-            continue
-        still = F.lit(False) if step + 1 == STEPS else moving
-        settled = after.where(~still).drop("falls")
+    for step in range(1, STEPS + 1):
+        after = concentrated(judged, factors, few)
+        after = best(after, 2) if step == EARLY else after
+        moving = F.lit(step < EARLY) | (F.abs("falls") > 1e-3) & F.lit(step < STEPS)
+        after, seen = observed(after.withColumn("moving", moving), "quality-factors", moving=F.count_if(F.col("moving")))
+        settled = after.where("not moving").drop("falls", "moving")
         done = settled if done is None else done.unionByName(settled)
-        factors = few(after.where(still).drop("falls"))
+        factors = after.where("moving").drop("falls", "moving")
         if not seen["moving"]:
             break
-    return small(best(done, 1), "quality-best")
+    return best(done, 1)
 
 
 def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -200,18 +202,18 @@ def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     part in estimates, and where the last pool has fewer than ENOUGH documents.
     """
     rows = stats.withColumns({"_lang0": F.col(lang_col), "_source0": F.col(source_col)})
-    judged = _grouped(rows.where("not base_failed").select("_row", "_lang0", "_source0", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    judged = stash(judged, "quality-groups")
+    judged, few = _grouped(rows.where("not base_failed").select("_row", "_lang0", "_source0", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     length = F.floor(F.log(F.col("word_chars") / F.col("n_words")) * 200)
-    typical = small(_binned_quantiles(judged, ["_group"], {"length": length}, {"typical": 0.5}).drop("total"), "quality-typical")
+    typical = _binned_quantiles(judged, ["_group"], {"length": length}, {"typical": 0.5}).drop("total")
     rate = lambda c: F.log1p(100 * F.col(c) / (F.col("n_words") + PRIOR))
     level = F.exp((F.col("typical_length") + 0.5) / 200)
-    judged = judged.join(typical, "_group").select(
+    judged = judged.join(_marked(typical, few), "_group").select(
         "_row", "_group", F.log((F.col("word_chars") + PRIOR * level) / (F.col("n_words") + PRIOR)).alias("x_0"), rate("n_symbols").alias("x_1"), rate("n_dup_lines").alias("x_2"), rate("n_repeat_words").alias("x_3")
     )
     judged = stash(judged, "quality-vectors")
-    core = _measured(judged, least_determinant(judged)).where(F.col("_d2") <= _quantile(1 - WEIGHED, _P // 2))
-    final = _measured(judged, small(_factors(_moments(core, REWEIGHTED)), "quality-final"), "left").select("_row", F.col("_d2").alias("distance2"))
+    core = _measured(judged, _marked(least_determinant(judged, few), few)).where(F.col("_d2") <= _quantile(1 - WEIGHED, _P // 2))
+    final = stash(_factors(_moments(core, REWEIGHTED)), "quality-final")
+    final = _measured(judged, _marked(final, few), "left").select("_row", F.col("_d2").alias("distance2"))
     return rows.drop("_lang0", "_source0").join(final, "_row", "left")
 
 
