@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, learner, relevance
+from tessera.operators import cycles, graph, learner, relevance
 from tessera.plans import graphs, learners, mastery, readiness
 from tessera.sources import adapters
 from tessera.sources.adapters import PAGE_EDGES_SQL, attempts, page_edges, table
@@ -52,6 +52,12 @@ def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.pruned(edges.select("source", "target", kind.alias("edge_type"), F.col("weight").cast("double").alias("weight")))
 
 
+def circles_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prerequisites between parts; those that run in a circle as weaker, related edges."""
+    edges = adapters.prerequisite_edges(spark, sf_dir).where("weight >= 2 or source % 5 = 0")
+    return cycles.without_circles(edges.select("source", "target", F.when(F.col("source") % 4 > 0, "prerequisite").otherwise("related").alias("edge_type"), F.col("weight").cast("double").alias("weight")))
+
+
 def community_top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(community, member_count, top_node): brands as communities; the node drawn largest, the first by key of these."""
     size = graph.degrees(adapters.prerequisite_edges(spark, sf_dir)).select(F.col("node").alias("p_partkey"), "size")
@@ -220,5 +226,5 @@ SQL["source_removal"] = f"WITH {_N}, o AS (SELECT node, type FROM nd WHERE list_
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_relevance, pruned_graph, community_top_nodes, graph_insights, learner_insights, learning_path_steps, neighbourhood_edges, graph_stats, edge_upsert, merged_plans, term_mentions, cooccurring_terms, near_terms, source_removal)
+    for f in (edge_relevance, pruned_graph, circles_broken, community_top_nodes, graph_insights, learner_insights, learning_path_steps, neighbourhood_edges, graph_stats, edge_upsert, merged_plans, term_mentions, cooccurring_terms, near_terms, source_removal)
 }
