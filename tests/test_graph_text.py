@@ -8,7 +8,7 @@ import re
 import pytest
 
 from tessera.functions import grading, markup
-from tessera.operators import ordering, relevance
+from tessera.operators import cycles, ordering, relevance
 from tessera.plans.retrieval import quotes_found
 
 
@@ -37,6 +37,24 @@ def test_pruned(spark, cap):
     assert sorted(tuple(r) for r in got.collect()) == greedy(edges, cap)
 
 
+@pytest.mark.parametrize("n_edges", [0, 12, 30])
+def test_circles(spark, n_edges):
+    draw = random.Random(n_edges)
+    edges = sorted({(draw.randrange(15), draw.randrange(15)) for _ in range(n_edges)})
+    reach = {a: {a} for a in range(15)}
+    for _ in range(15):
+        for a, b in edges:
+            for seen in reach.values():
+                if a in seen:
+                    seen.add(b)
+    want = {(a, min(b for b in reach[a] if a in reach[b])) for a in range(15) if any(b != a and a in reach[b] for b in reach[a])}
+    rows = spark.createDataFrame(edges, "source long, target long")
+    assert {tuple(r) for r in cycles.circles(rows).collect()} == want
+    kinds = [(a, b, "related" if k % 5 == 0 else "prerequisite", 2.0) for k, (a, b) in enumerate(edges)]
+    got = cycles.without_circles(spark.createDataFrame(kinds, "source long, target long, edge_type string, weight double")).collect()
+    assert len(got) == len(kinds)
+
+
 def spans(text, labels):
     found = [(m.start(), m.start() + len(x), x) for x in labels for m in re.finditer(re.escape(x), text)]
     return [(a, x) for a, b, x in found if not any(len(y) > len(x) and c <= a and b <= d for c, d, y in found)]
