@@ -297,7 +297,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pd.DataFrame({"node": [_key(x) for x in sets], "grams": [_ordered(x, frequent, rank).astype("<u8").tobytes() for x in sets]})
 
     met = listed.select("node").distinct()
-    sketches = seen.where("kind = 0").join(met, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    # copies of one text share a node, so they are put together before they meet
+    sketches = seen.where("kind = 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")).join(met, "node", "left_semi")
     sketches = stash(sketches, "jaccard-sketches")
 
     def whole_cells(frames):
