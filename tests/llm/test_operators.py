@@ -223,6 +223,65 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(odd(spark, []), model).count() == 0
 
 
+def brute_language(model, text):
+    """The prediction by plain loops over one text's bytes."""
+    if not any(language_id.has_letter(c) for c in text):
+        return "und", 0.0
+    fold = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in ("  " + text + " ").encode()]
+    grams = Counter((((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) >> 7) % language_id.SIZE for a, b, c in zip(fold, fold[1:], [*fold[2:], 32], strict=False))
+    grams[(((fold[-1] * 0x9E3779B1 + 32 * 0x85EBCA77 + 32 * 0xC2B2AE3D) % 2**32) >> 7) % language_id.SIZE] += 1  # the next text's leading spaces follow
+    total = len(fold)
+
+    def winner(names, machines):
+        if len(names) == 1:
+            return names[0], 1.0
+        best = None
+        for n in sorted(names):
+            mine = []
+            for (a, b), w in machines.items():
+                if n in (a, b) and a in names and b in names:
+                    m = sum(float(w[g]) * k for g, k in grams.items()) / total * language_id.SCALE + float(w[-1])
+                    mine.append(m if n == a else -m)
+            key = (sum(x > 0 for x in mine), sum(mine))
+            if best is None or key > best[0]:
+                best = key, n, min(mine)
+        return best[1], 1 / (1 + np.exp(-4 * np.clip(best[2], -8, 8)))
+
+    family, sure = winner(list(model.families), model.top)
+    lang, most = winner(model.families[family], model.inner)
+    return lang, min(sure, most)
+
+
+def test_language_against_plain_loops(spark):
+    docs = documents(spark, SMALL)
+    model = language_id.fit(docs, F.lit(True))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, model, keep=[F.col("doc_id")]).collect()}
+    some = [(i, t or "") for i, t in texts_of(spark, SMALL) if len(t or "") < 1500][:60]
+    assert len(some) > 30
+    for i, text in some:
+        lang, score = brute_language(model, text)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=0.02)
+
+
+def test_quality_against_plain_counts(spark):
+    docs, labels = documents(spark, SMALL), spark.read.parquet(f"{SMALL}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
+    texts = [(t, known[i]) for i, t in texts_of(spark, SMALL) if i in known and t is not None]
+    counts = np.zeros((2, quality_classifier.SIZE))
+    for t, y in texts:
+        counts[y, quality_classifier.features([t])[0]] += 1
+    rows = [sum(y == c for _, y in texts) for c in (0, 1)]
+    want = np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
+    got = quality_classifier.log_ratios(spark.createDataFrame(texts, "text string, label int").repartition(5))
+    assert np.allclose(got, want)
+    model = quality_classifier.fit(docs, labels, F.lit(True))
+    scored = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, model).collect()}
+    for i, t in texts_of(spark, SMALL)[:50]:
+        found = quality_classifier.features([t or ""])[0]
+        margin = sum(model.weights[k] for k in found) / np.sqrt(max(1, len(found))) + model.weights[-1]
+        assert scored[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))), abs=1e-9)
+
+
 # 7 Jaccard join
 
 
