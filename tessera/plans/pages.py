@@ -154,7 +154,7 @@ def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MADE = [
     ("Page_12", "Page 12", True, False, False), ("公式", "公式", False, False, True), ("a_b__c__d", "a/b: c?  d", False, False, False), ("E_=_mc^2", "E = mc^2", False, True, True), ("热容：", "热容", False, False, False), ("x_+_y_-_z", "x + y - z", False, True, True),
-    ("Plain_name", "Plain name", False, False, False), ("untitled", "", False, False, True), ("trimmed", "**.trimmed.", False, True, True), ("_frac{a}{b}", "\\frac{a}{b}", False, True, True), (("a_very_long_title_" * 6)[:80].strip("._ "), ("a very long title " * 6).strip(), False, False, True),
+    ("Plain_name", "Plain name", False, False, False), ("untitled", "", False, False, True), ("trimmed", "**.trimmed.", False, True, True), ("frac{a}{b}", "\\frac{a}{b}", False, True, True), (("a_very_long_title_" * 6)[:80].strip("._ "), ("a very long title " * 6).strip(), False, False, True),
 ]
 
 
