@@ -23,6 +23,8 @@ from tessera.operators.shared import FEW_ROWS, observed
 SHARE, WEIGHED = 0.75, 0.975
 #: Concentration steps at most, and those that all starts take; determinants stop falling much earlier.
 STEPS, EARLY = 30, 1
+#: A determinant that falls by less than this share of itself has settled; a hundredth is a four-hundredth of each scale.
+SETTLED = 0.01
 #: Groups need so many documents for estimates of their own; pools of what is left need fewer.
 LEAST, ENOUGH = 60, 10
 #: Rates of short texts lean on the group's typical rate as if there were so many more words.
@@ -104,7 +106,7 @@ def _grouped(rows: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _factors(estimates: DataFrame) -> DataFrame:
-    """(_group, _start, m_i, L_i_j, log_det): each estimate's location, and the Cholesky factor and determinant of its scatter."""
+    """(_group, _start, _was, m_i, L_i_j, log_det): each estimate's location, and the Cholesky factor and determinant of its scatter."""
     for i, j in _PAIRS:
         rest = F.col(f"s_{i}_{j}")
         for k in range(j):
@@ -112,19 +114,19 @@ def _factors(estimates: DataFrame) -> DataFrame:
         estimates = estimates.withColumn(f"L_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"L_{j}_{j}"))
     log_det = 2 * sum((F.log(f"L_{i}_{i}") for i in range(1, _P)), F.log("L_0_0"))
     kept = [f"m_{i}" for i in range(_P)] + [f"L_{i}_{j}" for i, j in _PAIRS]
-    return estimates.select("_group", "_start", *kept, log_det.alias("log_det"))
+    return estimates.select("_group", "_start", "_was", *kept, log_det.alias("log_det"))
 
 
 def _measured(rows: DataFrame, factors: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds _start and _d2, the squared Mahalanobis distance, by forward substitution; a row for each start of the group."""
-    out = rows.join(factors, "_group", how)
+    """Adds _start, its _was (log_det) and _d2, the squared Mahalanobis distance, by forward substitution; a row for each start of the group."""
+    out = rows.join(factors.drop("_was"), "_group", how)
     for i in range(_P):
         rest = F.col(f"x_{i}") - F.col(f"m_{i}")
         for k in range(i):
             rest = rest - F.col(f"L_{i}_{k}") * F.col(f"z_{k}")
         out = out.withColumn(f"z_{i}", rest / F.col(f"L_{i}_{i}"))
     total = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, _P)), F.col("z_0") * F.col("z_0"))
-    return out.select(*rows.columns, "_start", total.alias("_d2"))
+    return out.select(*rows.columns, "_start", F.col("log_det").alias("_was"), total.alias("_d2"))
 
 
 def _binned_quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], shares: dict[str, float]) -> DataFrame:
@@ -141,9 +143,9 @@ def _binned_quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column
 
 
 def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """(_group, _start, m_i, s_i_j): means and covariances, these times ``scale`` and with the floors added."""
-    sums = rows.groupBy("_group", "_start").agg(*[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)], *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i, j in _PAIRS])
-    return sums.select("_group", "_start", *[f"m_{i}" for i in range(_P)], *[(F.col(f"c_{i}_{j}") * scale + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS])
+    """(_group, _start, _was, m_i, s_i_j): means and covariances, these times ``scale`` and with the floors added."""
+    sums = rows.groupBy("_group", "_start").agg(F.first("_was").alias("_was"), *[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(_P)], *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i, j in _PAIRS])
+    return sums.select("_group", "_start", "_was", *[f"m_{i}" for i in range(_P)], *[(F.col(f"c_{i}_{j}") * scale + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS])
 
 
 def starts(judged: DataFrame, few: bool) -> DataFrame:
@@ -157,8 +159,9 @@ def starts(judged: DataFrame, few: bool) -> DataFrame:
     spread = _binned_quantiles(judged.join(_marked(found, few), "_group"), ["_group"], off, {"mad": 0.5}).drop("total")
     scatter = [(F.pow((F.col(f"mad_{axes[i]}") + 0.5) * (FLOOR[i] / 10) * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
     three = F.explode(F.array(*[F.struct(F.lit(k).alias("_start"), *[F.col(f"{q}_{x}").alias(f"m_{i}") for i, x in enumerate(axes)]) for k, q in enumerate(("mid", "low", "top"))])).alias("at")
-    robust = spread.join(_marked(found, few), "_group").select("_group", three, *scatter).select("_group", "at.*", *[f"s_{i}_{j}" for i, j in _PAIRS])
-    plain = _moments(judged.withColumn("_start", F.lit(3)), 1.0).join(_marked(found.select("_group"), few), "_group")
+    # tables of a row for each group meet by sorting, as every broadcast takes some MB of the driver whatever its size
+    robust = spread.join(found.hint("merge"), "_group").select("_group", three, *scatter).select("_group", "at.*", F.lit(None).cast("double").alias("_was"), *[f"s_{i}_{j}" for i, j in _PAIRS])
+    plain = _moments(judged.withColumns({"_start": F.lit(3), "_was": F.lit(None).cast("double")}), 1.0).join(found.select("_group").hint("merge"), "_group")
     return robust.unionByName(plain)
 
 
@@ -168,7 +171,7 @@ def concentrated(judged: DataFrame, factors: DataFrame, few: bool) -> DataFrame:
     measured = _measured(judged, _marked(factors, few))
     cut = _binned_quantiles(measured, keys, {"cut": place}, {"at": SHARE}).drop("total")
     after = _factors(_moments(measured.join(_marked(cut, few), keys).where(place <= F.col("at_cut")), CONSISTENT))
-    return after.join(_marked(factors.select(*keys, F.col("log_det").alias("_was")), few), keys).withColumn("falls", F.col("_was") - F.col("log_det")).drop("_was")
+    return after.withColumn("falls", F.col("_was") - F.col("log_det"))
 
 
 def least_determinant(judged: DataFrame, few: bool = True) -> DataFrame:
@@ -176,7 +179,7 @@ def least_determinant(judged: DataFrame, few: bool = True) -> DataFrame:
 
     ``judged`` has _group and x_i; ``few`` says that a row for each group may be broadcast. After EARLY
     steps only each group's two best starts go on; each is done once its determinant falls by less than
-    a thousandth, or after STEPS steps.
+    SETTLED, or after STEPS steps.
     """
     best = lambda found, n: found.withColumn("_best", F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start"))).where(F.col("_best") <= n).drop("_best")
     factors = stash(_factors(starts(judged, few)), "quality-factors")
@@ -184,7 +187,7 @@ def least_determinant(judged: DataFrame, few: bool = True) -> DataFrame:
     for step in range(1, STEPS + 1):
         after = concentrated(judged, factors, few)
         after = best(after, 2) if step == EARLY else after
-        moving = F.lit(step < EARLY) | (F.abs("falls") > 1e-3) & F.lit(step < STEPS)
+        moving = F.lit(step < EARLY) | (F.abs("falls") > SETTLED) & F.lit(step < STEPS)
         after, seen = observed(after.withColumn("moving", moving), "quality-factors", moving=F.count_if(F.col("moving")))
         settled = after.where("not moving").drop("falls", "moving")
         done = settled if done is None else done.unionByName(settled)
