@@ -114,7 +114,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors nearest to vector 0 by cosine; ties by id. The query is one row, hence broadcast."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    query = rows.where("vec_id = 0").select(F.col("v").alias("q")).limit(1)
+    query = rows.where("vec_id = 0").agg(F.min("v").alias("q")).where("q is not null")  # one row, the least vector of that id
     near = rows.where("vec_id <> 0").join(F.broadcast(query))
     similarity = F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 6)
     return near.select("vec_id", similarity.alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(20)
