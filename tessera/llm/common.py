@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tessera.operators.shared import discard, small
 from tessera.operators.shared import shared_folder as shared_dir
-from tessera.operators.shared import small
 from tessera.operators.shared import written as stash
 
-__all__ = ["SPACE", "hash_sample", "is_held_out", "map_texts", "numbered", "one_space", "shared_dir", "small", "stash", "text_batches", "words"]
+__all__ = ["SPACE", "hash_sample", "is_held_out", "map_texts", "numbered", "one_space", "release", "shared_dir", "small", "stash", "text_batches", "words"]
 
 #: The words of every operator here: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,12 +32,28 @@ def words(text):
     return F.array_remove(F.split(one_space(text), " "), "")
 
 
+#: Numbered rows that were written and not yet deleted.
+_NUMBERED: list[DataFrame] = []
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows of ``docs``, written: _number, unlike for all rows, and the whole row as _doc.
 
-    Ids may be shared or missing; what is decided of a row is joined to it by its number.
+    Ids may be shared or missing; what is decided of a row is joined to it by its number. The copy stays
+    until ``release`` is called.
     """
-    return stash(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_number", F.monotonically_increasing_id()), name)
+    rows = stash(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_number", F.monotonically_increasing_id()), name)
+    _NUMBERED.append(rows)
+    return rows
+
+
+def release(docs: DataFrame) -> None:
+    """Delete numbered rows that were made for what has been written since: all but those that ``docs`` still reads."""
+    if _NUMBERED:
+        read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+        spent = [rows for rows in _NUMBERED if not read & {f.rsplit("/", 1)[0] for f in rows.inputFiles()}]
+        discard(*spent)
+        _NUMBERED[:] = [rows for rows in _NUMBERED if not any(rows is x for x in spent)]
 
 
 def hash_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
