@@ -70,9 +70,20 @@ def join_spread(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | No
     return rows.join(hot, key, "left_anti").join(table, key).unionByName(warm)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files under a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of written tables that nothing reads any more."""
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(table.sparkSession, folder)
