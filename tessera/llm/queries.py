@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, sharding, token_counts, topk_search
+from tessera.llm import bpe, filter_audit, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, sharding, token_counts, topk_search
 from tessera.llm.common import is_held_out, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -160,12 +160,49 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = filter_audit.document_stream(spark, f"{sf_dir}/documents.parquet")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+#: Failures of every document at once, then each order and step over the counts of each set of failures.
+OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), w AS (
+  SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id
+), m AS (
+  SELECT part, good, toxic, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a JOIN f b ON a.bit <> b.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+), s AS (
+  SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[:i - 1]), 0)::INTEGER AS before FROM o, range(1, 6) AS r(i)
+), r AS (
+  SELECT part, filter_order, step::INTEGER AS step, mask, own, n, good, toxic, mask & own <> 0 AS fails, mask & before <> 0 AS gone FROM c CROSS JOIN s
+), z AS (
+  SELECT part, filter_order, step, any_value(own) AS own, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM z
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    every = [op1_quality_rules, op2_exact_top_k, op3_token_counts, op4_sharding, op5_bpe_round_trip, op6_language_id, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_classifier]
+    every = [op1_quality_rules, op2_exact_top_k, op3_token_counts, op4_sharding, op5_bpe_round_trip, op6_language_id, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_classifier, op11_filter_audit]
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op4_sharding": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op4_sharding": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_mixing": OP8_SQL, "op11_filter_audit": OP11_SQL}
