@@ -10,10 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, filter_audit, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, sharding, token_counts, topk_search
+from tessera.llm import bpe, filter_audit, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_alignment, token_counts, topk_search
 from tessera.llm.common import is_held_out, shared_dir
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,10 +197,18 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    every = [op1_quality_rules, op2_exact_top_k, op3_token_counts, op4_sharding, op5_bpe_round_trip, op6_language_id, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_classifier, op11_filter_audit]
+    every = [op1_quality_rules, op2_exact_top_k, op3_token_counts, op4_sharding, op5_bpe_round_trip, op6_language_id, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_classifier, op11_filter_audit, op12_token_alignment, op13_secret_scan]
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
