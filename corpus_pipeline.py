@@ -1,8 +1,8 @@
 """From raw documents to token ids: five stages, each on all that the one before it kept.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that
-run() writes as Parquet in the shared folder and reads again as the next stage's docs. A stage first
-deletes the copies of rows that stages before it had written and that its docs don't read.
+run() writes as Parquet in the shared folder and reads again as the next stage's docs. run() deletes what
+it wrote itself, and a stage deletes nothing: its result can be read whenever it is wanted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, language_id, mixing, quality_rules
-from tessera.llm.common import numbered, release, stash
+from tessera.llm.common import numbered, stash
 from tessera.llm.queries import op5_bpe_round_trip
 from tessera.operators.shared import discard
 
@@ -21,7 +21,6 @@ LEAST_SCORE, SURE = 0.5, 0.9
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, each row by itself: null and empty texts fail, an empty table stays empty."""
-    release(docs)
     return quality_rules.keep_good(docs)
 
 
@@ -33,7 +32,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     not know, or a null one, is not contradicted. Null and empty texts have no language and go;
     repeated ids are judged row by row; an empty table stays empty.
     """
-    release(docs)
     half = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2, F.lit(0))
     kept = []
     for k in (0, 1):
@@ -54,7 +52,6 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are like nothing and stay, each row by itself; an empty table stays empty.
     """
-    release(docs)
     rows = numbered(docs, "near-copies-rows")
     found = jaccard_join.jaccard_components(rows.select("_number", "_doc.text"), id_col="_number").join(rows.select("_number", "_doc.doc_id"), "_number")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_number"))["_number"]
@@ -63,7 +60,6 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row stands as often as the mix takes it: never for a null or empty text, by its own size if its id is shared or null."""
-    release(docs)
     rows = numbered(docs, "mixing-rows")
     mixed = mixing.mix(rows.select("_number", "_doc.doc_id", "_doc.text", "_doc.source"), leaning=mixing.middling, row_col="_number")
     taken = mixed.where("copies > 0").select("_number", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
@@ -72,7 +68,6 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text of each remaining document, a row for each row."""
-    release(docs)
     return op5_bpe_round_trip(spark, sf_dir, docs)
 
 
