@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from tessera.operators.shared import discard, small
+from tessera.operators.shared import small
 from tessera.operators.shared import shared_folder as shared_dir
 from tessera.operators.shared import written as stash
 
-__all__ = ["SPACE", "hash_sample", "is_held_out", "map_texts", "numbered", "one_space", "release", "shared_dir", "small", "stash", "text_batches", "words"]
+__all__ = ["SPACE", "hash_sample", "is_held_out", "map_texts", "numbered", "one_space", "shared_dir", "small", "stash", "text_batches", "words"]
 
 #: The words of every operator here: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,37 +32,28 @@ def words(text):
     return F.array_remove(F.split(one_space(text), " "), "")
 
 
-#: Numbered rows that were written and not yet deleted.
-_NUMBERED: list[DataFrame] = []
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs``, written: _number, unlike for all rows, and the whole row as _doc.
+    """The rows of ``docs``: _number, unlike for all rows and the same whenever it is read, and the whole row as _doc.
 
-    Ids may be shared or missing; what is decided of a row is joined to it by its number. The copy stays
-    until ``release`` is called.
+    Ids may be shared or missing; what is decided of a row is joined to it by its number: the file it stands in
+    and its place there. Files that were read as they are need no copy; other rows are written first.
     """
-    rows = stash(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_number", F.monotonically_increasing_id()), name)
-    _NUMBERED.append(rows)
-    return rows
-
-
-def release(docs: DataFrame) -> None:
-    """Delete numbered rows that were made for what has been written since: all but those that ``docs`` still reads."""
-    if _NUMBERED:
-        read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
-        spent = [rows for rows in _NUMBERED if not read & {f.rsplit("/", 1)[0] for f in rows.inputFiles()}]
-        discard(*spent)
-        _NUMBERED[:] = [rows for rows in _NUMBERED if not any(rows is x for x in spent)]
+    as_read = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "_metadata") if as_read and "_metadata" not in docs.columns else None
+    if rows is None:
+        rows = stash(docs.select(F.struct(*docs.columns).alias("_doc")), name).select("_doc", "_metadata")
+    return rows.select("_doc", F.struct(F.md5(F.col("_metadata.file_path").cast("binary")).alias("file"), F.col("_metadata.row_index").alias("row")).alias("_number"))
 
 
 def hash_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
     """(group, id): at most ``limit`` ids of each group, those that hash lowest; repeated ones count once.
 
-    Groups must be few. Counts give each a share of the hashes that holds twice the limit on average,
-    so that only about as many ids are ranked, however large the group.
+    Groups must be few. Approximate numbers of distinct ids give each a share of the hashes that holds more than
+    twice the limit on average (50 more than that, so that small limits are reached too), so that only about as
+    many ids are ranked, however large the group and however often an id is repeated.
     """
-    share = small(rows.groupBy(group).agg((2.0 * limit / F.count(F.lit(1))).alias("_share")), "sample-shares")
+    wanted = 2.0 * limit + 50
+    share = small(rows.groupBy(group).agg((wanted / F.approx_count_distinct("id")).alias("_share")), "sample-shares")
     near = rows.join(share, group).where(F.xxhash64("id") / 2.0**64 + 0.5 < F.col("_share")).select(group, "id").distinct()
     order = Window.partitionBy(group).orderBy(F.xxhash64("id"), "id")
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
