@@ -8,7 +8,7 @@ text are sent once. What comes of a common anchor is spread by what follows it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,10 +52,15 @@ def anchored(terms: DataFrame) -> DataFrame:
     return terms.where("term <> ''").select("label", "term").mapInPandas(run, f"label {kinds['label']}, term string, anchor long")
 
 
-def labels_in(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, label), each once: the labels with a term that stands in the masked text of ``texts`` (doc, text), in lower case.
+def shown(text: str) -> str:
+    """A text as labels are looked for in it: without headings and silent sections, in lower case."""
+    return lowered(masked(text))
 
-    ``terms``: (label, term), terms in lower case. Null texts and terms hold and are nothing.
+
+def labels_in(texts: DataFrame, terms: DataFrame, prepare: Callable[[str], str] = shown) -> DataFrame:
+    """(doc, label), each once: the labels with a term that stands in a text of ``texts`` (doc, text), as ``prepare`` has it.
+
+    ``terms``: (label, term), terms as they stand in prepared texts. Null texts and terms hold and are nothing.
     """
     spark = texts.sparkSession
     known = written(anchored(terms), "anchored-terms")
@@ -74,7 +79,7 @@ def labels_in(texts: DataFrame, terms: DataFrame) -> DataFrame:
         held = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for k, text in enumerate(batch.column(1).to_pylist()):
-                low = lowered(masked(text or ""))
+                low = prepare(text or "")
                 out: dict[tuple[int, str], None] = {}
                 for _, hashes in _hashes(low):
                     for at in np.flatnonzero(held[hashes >> np.uint64(64 - BITS)]).tolist():

@@ -135,7 +135,9 @@ def question_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, kc_id, questions, total, longest): seconds from a learner's first attempt on a component to each, added up as they are."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = attempts(spark, sf_dir).groupBy("user_id", "kc_id")
-    return rows.agg(F.count(F.lit(1)).alias("questions"), F.round((F.sum(at) - F.count(F.lit(1)) * F.min(at)) / 1e6, 3).alias("total"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("longest"))
+    exact = lambda c, digits: c.cast(f"decimal({digits},0)")  # noqa: E731 (a sum of microseconds soon is no long)
+    passed = (F.sum(exact(at, 20)) - exact(F.count(F.lit(1)), 12) * exact(F.min(at), 20)).cast("double")
+    return rows.agg(F.count(F.lit(1)).alias("questions"), F.round(passed / 1e6, 3).alias("total"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("longest"))
 
 
 SQL["question_times"] = f"WITH {learners._TRIES} SELECT user_id, kc_id, count(*) AS questions, round((sum(epoch_us(ts)) - count(*) * min(epoch_us(ts)))::BIGINT / 1000000.0::DOUBLE, 3) AS total, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE, 3) AS longest FROM a GROUP BY user_id, kc_id"

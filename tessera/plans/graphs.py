@@ -52,11 +52,12 @@ SQL["orphan_edges_anti"] = f"WITH {_E}, n AS (SELECT p_partkey FROM part WHERE p
 
 
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = adapters.prerequisite_edges(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("p_partkey"))
+    """Parts that were never ordered together with another one twice."""
+    ends = adapters.prerequisite_edges(spark, sf_dir).where("weight > 1").select(F.explode(F.array("source", "target")).alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey", "p_name").join(ends, "p_partkey", "left_anti")
 
 
-SQL["isolated_nodes"] = f"WITH {_E} SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT a FROM u)"
+SQL["isolated_nodes"] = f"WITH {_E} SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT unnest([source, target]) FROM e WHERE weight > 1)"
 
 
 def _neighbourhood(depth: int):

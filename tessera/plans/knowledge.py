@@ -71,7 +71,7 @@ SELECT community, count(*) AS member_count, arg_max(p_partkey, (size, -p_partkey
 
 def graph_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(insight_type, title, score) of at least 1.5: few-linked nodes, sparse communities, nodes between communities, cross-type edges."""
-    pairs = graph.both_ways(adapters.prerequisite_edges(spark, sf_dir).where("weight >= 2"))
+    pairs = graph.both_ways(adapters.prerequisite_edges(spark, sf_dir))
     parts = table(spark, sf_dir, "part")
     degree = parts.select(F.col("p_partkey").alias("a")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d")), "a", "left").fillna(0, ["d"])
     few = degree.agg(F.count_if(F.col("d") <= 1).alias("n")).where("n > 0").select(F.lit("knowledge_gap").alias("insight_type"), F.concat("n", F.lit(" isolated knowledge points")).alias("title"), (F.col("n") * 0.5).alias("score"))
@@ -79,17 +79,16 @@ def graph_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = pairs.join(parts.select(F.col("p_partkey").alias("b"), "p_type"), "b").groupBy("a").agg(F.count_distinct("p_type").alias("n")).where("n >= 3")
     bridges = near.join(parts.select(F.col("p_partkey").alias("a"), "p_name"), "a").select(F.lit("bridge").alias("insight_type"), F.concat(F.lit("Bridge concept: "), F.col("a").cast("string"), F.lit(" "), "p_name").alias("title"), (F.col("n") * 1.5).alias("score"))
     kinds = [parts.select(F.col("p_partkey").alias(c), F.col("p_type").alias(f"type_{c}")) for c in ("source", "target")]
-    edges = adapters.prerequisite_edges(spark, sf_dir).where("weight >= 2").join(kinds[0], "source").join(kinds[1], "target")
-    cross = edges.where("least(type_source, type_target) = 'ECONOMY' and greatest(type_source, type_target) = 'SMALL'")
+    cross = adapters.prerequisite_edges(spark, sf_dir).join(kinds[0], "source").join(kinds[1], "target").where("type_source <> type_target")
     crossed = cross.select(F.lit("surprising_connection").alias("insight_type"), F.concat(F.lit("Cross-type: "), F.col("source").cast("string"), F.lit(" <-> "), F.col("target").cast("string")).alias("title"), F.lit(2.0).alias("score"))
     return few.unionByName(sparse).unionByName(bridges).unionByName(crossed).where("score >= 1.5")
 
 
-SQL["graph_insights"] = f"""WITH {graphs._E}, e2 AS (SELECT * FROM e WHERE weight >= 2), w AS (SELECT source AS a, target AS b FROM e2 UNION SELECT target, source FROM e2), c AS ({readiness.SQL['cohesion']}), d AS (SELECT p_partkey, (SELECT count(*) FROM w WHERE a = p_partkey) AS d FROM part)
+SQL["graph_insights"] = f"""WITH {graphs._E}, w AS (SELECT a, b FROM u), c AS ({readiness.SQL['cohesion']}), d AS (SELECT p_partkey, (SELECT count(*) FROM w WHERE a = p_partkey) AS d FROM part)
 SELECT * FROM (SELECT 'knowledge_gap' AS insight_type, count(*) || ' isolated knowledge points' AS title, count(*) * 0.5::DOUBLE AS score FROM d WHERE d <= 1 HAVING count(*) > 0
 UNION ALL SELECT 'knowledge_gap', 'Sparse community: ' || community, round((1 - round(cohesion, 3)) * 2, 6) FROM c WHERE cohesion < 0.15 AND member_count >= 3
 UNION ALL SELECT 'bridge', 'Bridge concept: ' || a || ' ' || any_value(x.p_name), count(DISTINCT y.p_type) * 1.5::DOUBLE FROM w JOIN part y ON y.p_partkey = b JOIN part x ON x.p_partkey = a GROUP BY a HAVING count(DISTINCT y.p_type) >= 3
-UNION ALL SELECT 'surprising_connection', 'Cross-type: ' || source || ' <-> ' || target, 2.0::DOUBLE FROM e2 JOIN part x ON x.p_partkey = source JOIN part y ON y.p_partkey = target WHERE least(x.p_type, y.p_type) = 'ECONOMY' AND greatest(x.p_type, y.p_type) = 'SMALL') WHERE score >= 1.5"""
+UNION ALL SELECT 'surprising_connection', 'Cross-type: ' || source || ' <-> ' || target, 2.0::DOUBLE FROM e JOIN part x ON x.p_partkey = source JOIN part y ON y.p_partkey = target WHERE x.p_type <> y.p_type) WHERE score >= 1.5"""
 
 
 def learner_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +110,7 @@ def learning_path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Levels come from the learner's beliefs; minutes are five and one for each edge that leads to a step.
     """
-    edges = adapters.prerequisite_edges(spark, sf_dir).where("weight >= 2 or target = 1")
+    edges = adapters.prerequisite_edges(spark, sf_dir)
     back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
     found = graph.reachable(back, spark.createDataFrame([(1,)], "node long"), 3).where("hops > 0")
     known = learner.bkt(attempts(spark, sf_dir).where("user_id = 1")).select(F.col("kc_id").cast("long").alias("kc"), F.round("p_known", 9).alias("p"))
@@ -125,7 +124,7 @@ def learning_path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("node", "hops", "mastery", reason.alias("reason"), F.coalesce("minutes", F.lit(5)).cast("long").alias("minutes"))
 
 
-SQL["learning_path_steps"] = f"""{learners._BKT.replace('WITH RECURSIVE', f'WITH RECURSIVE {graphs._E}, e3 AS (SELECT * FROM e WHERE weight >= 2 OR target = 1), rc AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT source, hops + 1 FROM rc JOIN e3 ON target = node AND hops < 3),')},
+SQL["learning_path_steps"] = f"""{learners._BKT.replace('WITH RECURSIVE', f'WITH RECURSIVE {graphs._E}, e3 AS (SELECT * FROM e), rc AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT source, hops + 1 FROM rc JOIN e3 ON target = node AND hops < 3),')},
 h AS (SELECT node, min(hops) AS hops FROM rc GROUP BY node HAVING min(hops) > 0),
 m AS (SELECT node, hops, CASE WHEN p >= 0.85 THEN 'mastered' WHEN p >= 0.6 THEN 'proficient' WHEN p >= 0.3 THEN 'learning' WHEN p > 0 THEN 'exposed' ELSE 'new' END AS mastery, CASE WHEN p >= 0.85 THEN 4 WHEN p >= 0.6 THEN 3 WHEN p >= 0.3 THEN 2 WHEN p > 0 THEN 1 ELSE 0 END AS r
   FROM h LEFT JOIN (SELECT kc_id, round(p_known, 9) AS p FROM b WHERE user_id = 1) k ON kc_id = node % 20 ORDER BY hops DESC, r, node LIMIT 8)
@@ -134,12 +133,12 @@ SELECT node, hops, mastery, CASE WHEN hops <= 1 THEN '前置知识：理解 ' ||
 
 def neighbourhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, weight, depth): edges that lead on from part 1, by steps before them, two at most."""
-    edges = adapters.prerequisite_edges(spark, sf_dir).where("weight >= 2")
+    edges = adapters.prerequisite_edges(spark, sf_dir)
     found = graph.reachable(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), spark.createDataFrame([(1,)], "node long"), 1)
     return edges.join(found, F.col("source") == F.col("node")).select("source", "target", "weight", (F.col("hops") + 1).alias("depth"))
 
 
-SQL["neighbourhood_edges"] = f"WITH {graphs._E}, e3 AS (SELECT * FROM e WHERE weight >= 2), f AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT target, 1 FROM e3 WHERE source = 1), g AS (SELECT node, min(hops) AS hops FROM f GROUP BY node) SELECT source, target, weight, hops + 1 AS depth FROM e3 JOIN g ON node = source"
+SQL["neighbourhood_edges"] = f"WITH {graphs._E}, e3 AS (SELECT * FROM e), f AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT target, 1 FROM e3 WHERE source = 1), g AS (SELECT node, min(hops) AS hops FROM f GROUP BY node) SELECT source, target, weight, hops + 1 AS depth FROM e3 JOIN g ON node = source"
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

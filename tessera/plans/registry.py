@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import assessment, graphs, knowledge, learners, mastery, pages, readiness, records, retrieval, search, streams
+from tessera.plans import assessment, graphs, knowledge, learners, mastery, materials, pages, readiness, records, retrieval, search, streams
 
-MODULES = (retrieval, search, pages, learners, graphs, readiness, mastery, assessment, knowledge, records, streams)
+MODULES = (retrieval, search, pages, learners, graphs, readiness, mastery, assessment, knowledge, materials, records, streams)
 
 
 def queries() -> dict:

@@ -63,7 +63,7 @@ def markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     m, k = ((n * 7 + 1) % 900).cast("string"), F.floor(n / 3).cast("string")
     kind = F.element_at(F.array(*[F.lit(t) for t in PAGE_TYPES]), (n % 8 + 1).cast("int"))
-    head = F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 200), "\n#[]$()", " ")
+    head = F.translate(F.coalesce("text", F.lit("")), "\n#[]$()", " ")
     page = F.concat(
         F.lit("---\ntitle: Page "), n.cast("string"), F.lit("\ntype: "), kind, F.lit("\n---\n# Page "), n.cast("string"), F.lit("\n\n"), head, F.lit(" (p."), (n % 9 + 1).cast("string"), F.lit(")。See it [ref:src/a.md#p=3, 4] and [ref:b.md#p="), (n % 4).cast("string"), F.lit("]\n## Relationships\n- Page "),
         n.cast("string"), F.lit(" --[Derives]--> Page "), m, F.lit(": because of it\n* Page "), m, F.lit(" --[unknown]--> Page "), n.cast("string"), F.lit("\nno relation\n## 相关知识\n- Page "), k, F.lit("：reason\n- Page "), m, F.lit(": other\n- Page "), k, F.lit("\n- 待补充\n## Links\n[[doc/"), m,
@@ -74,7 +74,7 @@ def markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARKUP_SQL = f"""
 mp AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, 'Page ' || doc_id AS title, source,
-  '---\ntitle: Page ' || doc_id || '\ntype: ' || {PAGE_TYPES!r}[doc_id % 8 + 1] || '\n---\n# Page ' || doc_id || '\n\n' || translate(substring(coalesce(text, ''), 1, 200), '\n#[]$()', ' ')
+  '---\ntitle: Page ' || doc_id || '\ntype: ' || {PAGE_TYPES!r}[doc_id % 8 + 1] || '\n---\n# Page ' || doc_id || '\n\n' || translate(coalesce(text, ''), '\n#[]$()', ' ')
   || ' (p.' || (doc_id % 9 + 1) || ')。See it [ref:src/a.md#p=3, 4] and [ref:b.md#p=' || (doc_id % 4) || ']\n## Relationships\n- Page ' || doc_id || ' --[Derives]--> Page ' || ((doc_id * 7 + 1) % 900) || ': because of it\n* Page ' || ((doc_id * 7 + 1) % 900) || ' --[unknown]--> Page ' || doc_id
   || '\nno relation\n## 相关知识\n- Page ' || (doc_id // 3) || '：reason\n- Page ' || ((doc_id * 7 + 1) % 900) || ': other\n- Page ' || (doc_id // 3) || '\n- 待补充\n## Links\n[[doc/' || ((doc_id * 7 + 1) % 900) || ']] and [[concepts/Page ' || (doc_id // 3) || '.md|alias]], [[doc/' || ((doc_id * 7 + 1) % 900) || ']]\n$$ a = \n  b $$ end\n' AS page FROM documents)"""
 
