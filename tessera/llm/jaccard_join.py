@@ -174,11 +174,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     windows of ``width`` words, or the whole sequence if there are fewer words; a null text or one
     without words has an empty set, which is linked with nothing, not even its like. Sets are linked
     when 100 * intersection >= percent * union. Rows with equal sets are one node. Null ids keep
-    their row; their component_id is the smallest id linked, or null. Repeated ids keep their rows.
-    An empty table gives an empty result; other columns are not read.
+    their row; their component_id is the smallest id linked, or null. Repeated ids keep their rows. Ids may be
+    of any type that has an order. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    both = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    both = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = both.schema["id"].dataType.simpleString()
 
     def survey(batches):
         """A row for each document, and n-grams that different sets of this task share, in bounded portions."""
@@ -186,20 +187,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held: list[np.ndarray] = []
         size = 0
 
-        def made(kind, ids, nodes, sizes, sketches):
-            columns = [pa.array([kind] * len(ids), pa.int32()), ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "node", "n", "sketch"])
+        def made(kind, ids, grams, nodes, sizes, sketches):
+            columns = [pa.array([kind] * len(ids), pa.int32()), ids, *(pa.array(x, pa.int64()) for x in (grams, nodes, sizes)), pa.array(sketches, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "gram", "node", "n", "sketch"])
 
         def counted():
             found, n = np.unique(np.concatenate(held), return_counts=True)
             found, n = found[n > 1].view(np.int64), n[n > 1]
-            return made(1, pa.array(found, pa.int64()), np.zeros(len(n), np.int64), n, [b""] * len(n))
+            return made(1, pa.nulls(len(n), batch.column(0).type), found, np.zeros(len(n), np.int64), n, [b""] * len(n))
 
         for batch in batches:
             for start, texts in text_batches(batch.column(1).to_pylist()):
                 sets = _sets(texts, width)
                 keys = [_key(x) for x in sets]
-                yield made(0, batch.column(0).slice(start, len(texts)), keys, [len(x) for x in sets], [_sketch(x) for x in sets])
+                yield made(0, batch.column(0).slice(start, len(texts)), [0] * len(texts), keys, [len(x) for x in sets], [_sketch(x) for x in sets])
                 for key, found in zip(keys, sets, strict=True):
                     if len(found) and key not in seen:
                         seen.add(key)
@@ -211,9 +212,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield counted()
 
-    seen = stash(both.mapInArrow(survey, "kind int, id long, node long, n long, sketch binary"), "jaccard-survey")
+    seen = stash(both.mapInArrow(survey, f"kind int, id {id_type}, gram long, node long, n long, sketch binary"), "jaccard-survey")
     rows = seen.where("kind = 0").select("id", "node", F.col("n").alias("n_shingles"))
-    counts = stash(seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "jaccard-counts")
+    counts = stash(seen.where("kind = 1").groupBy(F.col("gram").alias("id")).agg(F.sum("n").alias("n")), "jaccard-counts")
     grams = frequent_grams(counts)
     sort = np.argsort(grams)
     order = spark.sparkContext.broadcast((grams[sort], np.arange(len(grams), dtype=np.uint64)[sort]))
