@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from tessera.operators import bridging, candidates, communities, graph
+from tessera.functions import markup
+from tessera.operators import bridging, candidates, communities, evidence, graph
 from tessera.operators.labels import labels_in
 from tessera.operators.ordering import positions
 from tessera.operators.shared import written
@@ -85,6 +86,28 @@ def component_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridging.bridges(parts.select(F.col("p_partkey").alias("node")), edges.where("weight > 1"), offered)
 
 
+def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, place, doc_id, origin, score, chars, cut, relations): pages read for each benchmark text as a question.
+
+    Seeds are the documents that share most of its long words; with no model to ask, rounds follow the best edge.
+    """
+    items = table(spark, sf_dir, "benchmark")
+    words = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " ")), " "), lambda w: F.length(w) >= 9)
+    words = items.select("item_id", F.explode(words).alias("label")).distinct()
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    held = labels_in(docs, words.select("label", F.col("label").alias("term")).distinct())
+    shared = held.join(words, "label").groupBy("item_id", "doc").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    # a common word meets many pages, of which a question needs the eight best
+    best = shared.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc"))).where("k <= 8")
+    seeds = written(best.select(F.col("item_id").alias("question"), F.col("doc").alias("node"), F.lit(False).alias("title_match"), "score"), "question-seeds")
+    nodes = docs.select(F.col("doc").alias("node"), F.concat(F.lit("Page "), F.col("doc").cast("string")).alias("title"), F.length(markup.without_images(F.coalesce("text", F.lit("")))).alias("size"))
+    edges = adapters.page_edges(spark, sf_dir).withColumnRenamed("kind", "edge_type")
+    found = evidence.collect_evidence(items.select(F.col("item_id").alias("question")), seeds, nodes, edges)
+    links = found.relations.groupBy("question").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "source", "target"))), ",").alias("relations"))
+    out = found.pages.join(links, "question", "left")
+    return out.select(F.col("question").alias("item_id"), "place", F.col("node").alias("doc_id"), "origin", "score", "chars", "cut", F.coalesce("relations", F.lit("")).alias("relations"))
+
+
 def places(text: str, query: str, most: int = 3) -> list[tuple[int, int]]:
     """(start, end) of a query in a text: exact places first, without overlaps, then places where only white space differs, ``most`` in all.
 
@@ -185,4 +208,4 @@ def community_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(every, ["_less", "insight_type", "title"]).select(F.col("position").alias("place"), "insight_type", "title", "score")
 
 
-QUERIES = {f.__name__: f for f in (table_mentions, relation_candidates, repaired_relations, component_bridges, page_highlights, louvain_communities, propagated_communities, found_communities, community_insights)}
+QUERIES = {f.__name__: f for f in (table_mentions, relation_candidates, repaired_relations, component_bridges, question_evidence, page_highlights, louvain_communities, propagated_communities, found_communities, community_insights)}
