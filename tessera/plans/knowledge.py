@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import cycles, graph, learner, relevance
+from tessera.operators import cycles, graph, graph_build, learner, relevance, stages
 from tessera.plans import graphs, learners, mastery, readiness
 from tessera.sources import adapters
 from tessera.sources.adapters import PAGE_EDGES_SQL, attempts, page_edges, table
@@ -45,6 +45,86 @@ sg AS (SELECT pr.a, pr.b, (pr.a, pr.b) IN (SELECT (a, b) FROM lk) AS there, (pr.
 SELECT sg.a, sg.b, CASE WHEN there OR back THEN 'direct' ELSE 'related' END AS edge_type, round((there::INT + back::INT) * 3.0::DOUBLE + shared * 4.0::DOUBLE + coalesce(aa, 0.0::DOUBLE) * 1.5::DOUBLE + {_AFF}[{_AT('ta')}][{_AT('tb')}], 2) AS weight FROM sg LEFT JOIN cm ON cm.a = sg.a AND cm.b = sg.b"""
 
 
+#: What pages state of one another here, by the remainder of their id.
+_STATED = list(graph_build.RANKS)
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, prerequisites, relations) of documents as pages; every third one states a relation."""
+    nodes, edges = _nodes(spark, sf_dir), page_edges(spark, sf_dir)
+    before = edges.where("kind = 'prerequisite'").select(F.col("target").alias("a"), F.col("source").alias("b"))
+    kind = F.element_at(F.array(*map(F.lit, _STATED)), (F.floor(F.col("source") / 3) % len(_STATED) + 1).cast("int"))
+    stated = edges.where("source % 3 = 0 AND kind <> 'prerequisite'").select(F.col("source").alias("node"), F.col("target").alias("other"), (F.col("source") % 2 == 0).alias("forward"), kind.alias("edge_type"))
+    return nodes, edges.where("source % 4 > 0").select(F.col("source").alias("a"), F.col("target").alias("b")), before.where("b % 5 = 0"), stated
+
+
+def scored_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, edge_type, weight): all pairs of pages that links, sources, prerequisites or stated relations connect."""
+    return graph_build.scored_graph(*_parsed(spark, sf_dir))
+
+
+SQL["scored_graph"] = f"""WITH {_N.split('lk AS')[0]}
+lk AS (SELECT DISTINCT source AS a, target AS b FROM pe WHERE source % 4 > 0 AND target IN (SELECT node FROM nd)),
+bf AS (SELECT least(source, target) AS a, greatest(source, target) AS b, min(target) AS first FROM pe WHERE kind = 'prerequisite' AND source % 5 = 0 AND target IN (SELECT node FROM nd) GROUP BY ALL),
+st AS (SELECT source AS node, target AS other, source % 2 = 0 AS forward, source // 3 % {len(_STATED)} AS r FROM pe WHERE source % 3 = 0 AND kind <> 'prerequisite' AND target IN (SELECT node FROM nd)),
+sd AS (SELECT least(node, other) AS a, greatest(node, other) AS b, {_STATED!r}[r + 1] AS said, CASE WHEN forward THEN node ELSE other END AS said_from FROM st QUALIFY row_number() OVER (PARTITION BY least(node, other), greatest(node, other) ORDER BY r, node, NOT forward) = 1),
+ps AS (SELECT DISTINCT node, type, unnest(sources) AS src FROM nd), hs AS (SELECT * FROM ps WHERE type = 'source'),
+pl AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY node) AS k FROM ps WHERE src NOT IN (SELECT src FROM hs)),
+pr AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM lk UNION SELECT a, b FROM bf UNION SELECT a, b FROM sd
+  UNION SELECT x.node, y.node FROM pl x JOIN pl y ON x.src = y.src AND y.k BETWEEN x.k + 1 AND x.k + {graph_build.AHEAD} UNION SELECT least(x.node, y.node), greatest(x.node, y.node) FROM ps x JOIN hs y ON x.src = y.src AND x.node <> y.node),
+wy AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), dg AS (SELECT a AS z, greatest(count(*), 2) AS d FROM wy GROUP BY a),
+cm AS (SELECT pr.a, pr.b, sum(1 / ln(d::DOUBLE)) AS aa FROM pr JOIN wy x ON x.a = pr.a JOIN wy y ON y.a = pr.b AND y.b = x.b JOIN dg ON z = x.b GROUP BY ALL),
+sg AS (SELECT pr.a, pr.b, (pr.a, pr.b) IN (SELECT (a, b) FROM lk) AS there, (pr.b, pr.a) IN (SELECT (a, b) FROM lk) AS back, len(list_intersect(x.sources, y.sources)) AS shared, x.type AS ta, y.type AS tb FROM pr JOIN nd x ON x.node = pr.a JOIN nd y ON y.node = pr.b),
+cl AS (SELECT sg.a, sg.b, coalesce(said, CASE WHEN first IS NOT NULL THEN 'prerequisite' WHEN there OR back THEN 'direct' WHEN shared > 0 AND 'source' IN (ta, tb) THEN 'teaches' ELSE 'related' END) AS edge_type, coalesce(said_from, first) AS first,
+  round((there::INT + back::INT) * 3.0::DOUBLE + shared * 4.0::DOUBLE + coalesce(aa, 0.0::DOUBLE) * 1.5::DOUBLE + {_AFF}[{_AT('ta')}][{_AT('tb')}], 2) AS weight
+  FROM sg LEFT JOIN cm ON cm.a = sg.a AND cm.b = sg.b LEFT JOIN sd ON sd.a = sg.a AND sd.b = sg.b LEFT JOIN bf ON bf.a = sg.a AND bf.b = sg.b)
+SELECT CASE WHEN edge_type = 'prerequisite' AND first = b THEN b ELSE a END AS source, CASE WHEN edge_type = 'prerequisite' AND first = b THEN a ELSE b END AS target, edge_type, weight FROM cl"""
+
+
+def built_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored graph as it is kept: no circles of prerequisites, eight edges a page where types allow it."""
+    return graph_build.built_graph(*_parsed(spark, sf_dir))
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages by stage; bridges are pages with neighbours of three types or more."""
+    nodes = _nodes(spark, sf_dir).select("node", "type", F.concat(F.lit("Page "), F.col("node").cast("string")).alias("title"))
+    ends = [nodes.select(F.col("node").alias(c)) for c in ("source", "target")]
+    edges = page_edges(spark, sf_dir).select("source", "target", F.col("kind").alias("edge_type")).join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")
+    near = graph.both_ways(edges).join(nodes.select(F.col("node").alias("b"), "type"), "b").groupBy(F.col("a").alias("node")).agg(F.count_distinct("type").alias("n")).where("n >= 3")
+    return stages.staged(nodes, edges, near, nodes.where("node % 97 = 0"))
+
+
+def learning_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by learning stage, with their place in it and why; pages whose id 97 divides are named as gaps."""
+    return _staged(spark, sf_dir)
+
+
+_CASES = lambda column, of: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in of.items())
+_STAGED = f"""{_N}, pg AS (SELECT source, target, kind FROM pe WHERE target IN (SELECT node FROM nd) AND source IN (SELECT node FROM nd)),
+ws AS (SELECT source AS node, target AS other FROM pg UNION SELECT target, source FROM pg), fi AS (SELECT DISTINCT source, target FROM pg WHERE kind = 'prerequisite'),
+dg AS (SELECT node, count(*) AS degree FROM ws GROUP BY node), br AS (SELECT ws.node FROM ws JOIN nd ON nd.node = other WHERE ws.node <> other GROUP BY ws.node HAVING count(DISTINCT type) >= 3),
+x AS (SELECT nd.node, type, 'Page ' || nd.node AS title, coalesce(degree, 0) AS degree, (SELECT count(*) FROM fi WHERE target = nd.node) AS prerequisites, (SELECT count(*) FROM fi WHERE source = nd.node) AS dependents,
+  nd.node IN (SELECT node FROM br) AS is_bridge, nd.node % 97 = 0 OR coalesce(degree, 0) <= 1 AS is_gap FROM nd LEFT JOIN dg ON dg.node = nd.node),
+y AS (SELECT *, degree + dependents * 2 + CASE WHEN is_bridge THEN 4 ELSE 0 END - CASE WHEN is_gap THEN 1 ELSE 0 END AS score,
+  CASE WHEN type IN ('source', 'synthesis') THEN type WHEN is_gap THEN 'gap' WHEN dependents >= 2 THEN 'needed' WHEN prerequisites = 0 THEN 'free' WHEN type IN ('formula', 'principle') THEN 'applied' ELSE 'spine' END AS why FROM x),
+z AS (SELECT *, CASE why WHEN 'source' THEN 'overview' WHEN 'synthesis' THEN 'overview' WHEN 'gap' THEN 'review' WHEN 'needed' THEN 'foundations' WHEN 'free' THEN 'foundations' ELSE 'core' END AS stage FROM y),
+sg AS (SELECT node, title, stage, row_number() OVER (PARTITION BY stage ORDER BY {_CASES('type', stages.TYPE_ORDER)} ELSE 9 END, score DESC, title, node) AS place, {_CASES('why', stages.REASONS)} END AS reason, prerequisites, score, is_bridge, is_gap FROM z)"""
+SQL["learning_stages"] = f"WITH {_STAGED} SELECT * FROM sg"
+
+
+def next_learning_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, goal, node, stage): what each learner looks at next by goal; a page is done by whoever purchased or clicked in the event of its number."""
+    events = table(spark, sf_dir, "events")
+    done = events.where("event_type IN ('purchase', 'click')").select("user_id", F.col("event_id").alias("node"))
+    return stages.next_items(_staged(spark, sf_dir), events.select("user_id"), done)
+
+
+SQL["next_learning_items"] = f"""WITH {_STAGED}, us AS (SELECT DISTINCT user_id FROM events), gl AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{s}', {k})" for g, order in stages.GOALS.items() for k, s in enumerate(order))}) AS v(goal, stage, k))
+SELECT user_id, goal, node, sg.stage FROM us CROSS JOIN sg JOIN gl ON gl.stage = sg.stage WHERE (user_id, node) NOT IN (SELECT (user_id, event_id) FROM events WHERE event_type IN ('purchase', 'click'))
+QUALIFY row_number() OVER (PARTITION BY user_id, goal ORDER BY k, place) = 1"""
+
+
 def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between parts, a third of them of strong types, pruned to a degree of 8."""
     edges = adapters.prerequisite_edges(spark, sf_dir).where("weight >= 2 or source % 5 = 0")
@@ -225,5 +305,5 @@ SQL["source_removal"] = f"WITH {_N}, o AS (SELECT node, type FROM nd WHERE list_
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_relevance, pruned_graph, circles_broken, community_top_nodes, graph_insights, learner_insights, learning_path_steps, neighbourhood_edges, graph_stats, edge_upsert, merged_plans, term_mentions, cooccurring_terms, near_terms, source_removal)
+    for f in (edge_relevance, scored_graph, built_graph, learning_stages, next_learning_items, pruned_graph, circles_broken, community_top_nodes, graph_insights, learner_insights, learning_path_steps, neighbourhood_edges, graph_stats, edge_upsert, merged_plans, term_mentions, cooccurring_terms, near_terms, source_removal)
 }

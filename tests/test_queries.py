@@ -18,7 +18,7 @@ def test_sql(spark, same_as_sql, name):
 def test_queries_without_sql_have_tests_of_their_own():
     assert set(registry.queries()) - set(registry.oracle_sql()) == {
         "connected_components", "pruned_graph", "circles_broken", "term_mentions", "cooccurring_terms", "near_terms", "relation_candidates", "repaired_relations", "component_bridges",
-        "louvain_communities", "propagated_communities", "found_communities", "community_insights", "question_evidence",
+        "louvain_communities", "propagated_communities", "found_communities", "community_insights", "question_evidence", "built_graph",
     }
 
 
