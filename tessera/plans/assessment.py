@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,93 +10,122 @@ from tessera.functions import grading
 from tessera.plans import learners
 from tessera.sources.adapters import attempts, questions, table
 
-#: Requests, and what they come to: count, types, difficulty, topic.
-PROMPTS = [
-    ("请出10道关于疲劳断裂的应用题，只要选择题和简答题", 10, "multiple_choice,short_answer", "application", "疲劳断裂"),
-    ("十二个基础填空题", 12, "fill_blank", "basic", "十二个基础填空题"),
-    ("不要选择题，二十道简单题", 20, "fill_blank,short_answer", "basic", "不要选择题，二十道简单题"),
-    ("about steel", 5, "multiple_choice,fill_blank,short_answer", "understanding", "about steel"),
-    ("99 题 multiple choice, understanding", 30, "multiple_choice", "understanding", "99 题 multiple choice, understanding"),
-    ("围绕 晶体结构 方面，三题", 3, "multiple_choice,fill_blank,short_answer", "understanding", "晶体结构"),
-    ("", 5, "multiple_choice,fill_blank,short_answer", "understanding", ""),
-]
-#: Folder labels and what they come to.
-FOLDERS = [("bad:name/../测试", "bad-name/测试"), ("  ", None), ("/a //b/", "a/b"), (None, None), ("x" * 200, "x" * 160)]
-#: Questions and their intents.
-INTENTS = [("什么是硬度", "definition"), ("A vs B 的区别", "comparison"), ("why does it crack", "mechanism"), ("推导公式", "formula"), ("举例说明应用", "application"), ("hello", "general"), ("", "general")]
-#: Kind, answer, what was given, score, level.
-ANSWERS = [
-    ("multiple_choice", "B. steel", "b)", 1.0, "good"), ("multiple_choice", "B", "C", 0.0, "weak"), ("multiple_choice", "", "A", 0.0, "weak"), ("fill_blank", "Fe, C", "carbon; c", 0.5, "partial"), ("fill_blank", "yield strength；UTS", "The Yield-Strength\nuts", 1.0, "good"),
-    ("fill_blank", "a1,b2,c3", "b2", 0.33, "partial"), ("fill_blank", "x", "", 0.0, "weak"), ("short_answer", "text", "text", None, None),
-]
-#: A text with options.
-OPTIONS = ("Pick:\n A. one\nb) two\nC、three\nI. four\nD two", 2)
 SQL: dict[str, str] = {}
 
 
-def _pick(values: list, k: Column, kind: str = "string") -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (k % len(values) + 1).cast("int"))
+#: How requests go on, by the length of what they are about: numerals, what they name and rule out, how difficult.
+_NUMERALS = ["十", "三", "十二", "二十", "两", "九十九", "七"]
+_NAMED = ["选择题", "填空题和简答题", "题，不要选择题", "题，排除 填空", "multiple choice", "题"]
+_LEVELS = ["基础", "", "Application", "计算", "understanding"]
 
 
-def _rows(rows: list[tuple], names: str) -> str:
-    def say(v):
-        return "NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-    return f"v(k, {names}) AS (VALUES " + ", ".join(f"({k}, {', '.join(map(say, row))})" for k, row in enumerate(rows)) + ")"
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, p): each first turn of a conversation as a request for questions about its first words."""
+    n = F.length("text")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    many = F.when(n % 3 == 0, pick(_NUMERALS, n)).when(n % 3 == 1, (n % 47).cast("string")).otherwise("")
+    about = F.regexp_replace(F.substring_index("text", " ", 2), r"[,.?!]", "")
+    said = F.concat(F.lit("请出"), many, F.lit("道"), F.when(n % 4 > 0, F.lit("关于")).otherwise(""), about, F.lit("的"), pick(_LEVELS, n), pick(_NAMED, n))
+    return table(spark, sf_dir, "conversations").where("turn = 0 AND text IS NOT NULL").select("conv_id", said.alias("p"))
 
 
 def prompt_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What requests in plain words ask for."""
-    prompt = _pick([p[0] for p in PROMPTS], F.col("doc_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", prompt.alias("p"))
-    return d.select("doc_id", grading.question_count(F.col("p")).alias("n"), F.array_join(grading.question_types(F.col("p")), ",").alias("types"), grading.difficulty(F.col("p")).alias("difficulty"), grading.topic(F.col("p")).alias("topic"))
-
-
-SQL["prompt_constraints"] = f"WITH {_rows([p[1:] for p in PROMPTS], 'n, types, difficulty, topic')} SELECT doc_id, n, types, difficulty, topic FROM documents JOIN v ON k = doc_id % {len(PROMPTS)}"
+    d = _requests(spark, sf_dir)
+    return d.select("conv_id", grading.question_count(F.col("p")).alias("n"), F.array_join(grading.question_types(F.col("p")), ",").alias("types"), grading.difficulty(F.col("p")).alias("difficulty"), grading.topic(F.col("p")).alias("topic"))
+
+
+_HOLDS = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_BARRED = lambda words: "(" + " OR ".join(f"regexp_matches(low, '(?:不要|不含|排除)\\s*[^，。；;]*{w}')" for w in words) + ")"
+_TOPIC = r"(?:关于|有关|针对|围绕)\s*([^，。；;,.?？!！]{2,60}?)(?:的)?(?:题|题目|测试题|应用题|基础题|内容|方面)"
+SQL["prompt_constraints"] = rf"""
+WITH t AS (SELECT conv_id, text, length(text) AS n FROM conversations WHERE turn = 0 AND text IS NOT NULL),
+p AS (SELECT conv_id, '请出' || CASE n % 3 WHEN 0 THEN {_NUMERALS!r}[n % {len(_NUMERALS)} + 1] WHEN 1 THEN (n % 47)::VARCHAR ELSE '' END || '道' || CASE WHEN n % 4 > 0 THEN '关于' ELSE '' END
+  || regexp_replace(array_to_string(string_split(text, ' ')[1:2], ' '), '[,.?!]', '', 'g') || '的' || {_LEVELS!r}[n % {len(_LEVELS)} + 1] || {_NAMED!r}[n % {len(_NAMED)} + 1] AS p FROM t),
+m AS (SELECT conv_id, p, lower(p) AS low, regexp_extract(p, '(\d+|[一两二三四五六七八九十]+)\s*(?:道|个|题)', 1) AS m FROM p),
+c AS (SELECT *, CASE WHEN m = '十' THEN 10 WHEN contains(m, '十') THEN coalesce(nullif(instr('一二三四五六七八九', string_split(m, '十')[1]) * (string_split(m, '十')[1] <> '')::INT, 0), 1) * 10 + instr('一二三四五六七八九', string_split(m, '十')[2]) * (string_split(m, '十')[2] <> '')::INT
+  WHEN m = '两' THEN 2 WHEN regexp_matches(m, '^[0-9]+$') THEN m::INT WHEN m <> '' THEN instr('一二三四五六七八九', m) END AS k FROM m),
+y AS (SELECT *, [{", ".join(f"CASE WHEN {_HOLDS('low', w)} AND NOT {_BARRED(w)} THEN '{t}' END" for t, w in grading.TYPES.items())}] AS keep, [{", ".join(f"CASE WHEN NOT {_BARRED(w)} THEN '{t}' END" for t, w in grading.TYPES.items())}] AS rest,
+  {" OR ".join(_HOLDS('low', w) for w in grading.TYPES.values())} AS named FROM c)
+SELECT conv_id, CASE WHEN k > 0 THEN least(30, greatest(1, k)) ELSE 5 END::INT AS n, CASE WHEN NOT named THEN '{",".join(grading.TYPES)}' ELSE coalesce(nullif(array_to_string(list_filter(keep, lambda x: x IS NOT NULL), ','), ''), nullif(array_to_string(list_filter(rest, lambda x: x IS NOT NULL), ','), ''), 'short_answer') END AS types,
+  CASE {" ".join(f"WHEN {_HOLDS('low', w)} THEN '{t}'" for t, w in grading.DIFFICULTIES.items())} ELSE 'understanding' END AS difficulty, trim(CASE WHEN regexp_matches(p, '{_TOPIC}') THEN regexp_extract(p, '{_TOPIC}', 1) ELSE p END) AS topic FROM y"""
 
 
 def folder_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", grading.folder(_pick([f for f, _ in FOLDERS], F.col("doc_id"))).alias("folder"))
+    """(doc_id, folder): each document's text as a folder label, a part for each sentence."""
+    return table(spark, sf_dir, "documents").select("doc_id", grading.folder(F.replace(F.col("text"), F.lit(". "), F.lit(" / "))).alias("folder"))
 
 
-SQL["folder_labels"] = f"WITH {_rows([(f,) for _, f in FOLDERS], 'folder')} SELECT doc_id, folder FROM documents JOIN v ON k = doc_id % {len(FOLDERS)}"
+SQL["folder_labels"] = r"""
+WITH p AS (SELECT doc_id, string_split(trim(trim(regexp_replace(replace(text, '. ', ' / '), '\s+', ' ', 'g')), '/'), '/') AS parts FROM documents)
+SELECT doc_id, nullif(substring(array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[\\/:*?"<>|]+', '-', 'g'), ' .-')), lambda x: x <> ''), '/'), 1, 160), '') AS folder FROM p"""
 
 
 def folder_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(folder, n, last): documents by folder, those without one in a group that comes last."""
-    rows = folder_labels(spark, sf_dir).groupBy(F.coalesce("folder", F.lit("未分类")).alias("folder"))
+    """(folder, n, last): documents by the first word of their folder, those without one in a group that comes last."""
+    rows = folder_labels(spark, sf_dir).groupBy(F.coalesce(F.substring_index(F.substring_index("folder", "/", 1), " ", 1), F.lit("未分类")).alias("folder"))
     return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("last", F.col("folder") == "未分类")
 
 
-SQL["folder_groups"] = f"WITH f AS ({SQL['folder_labels']}) SELECT coalesce(folder, '未分类') AS folder, count(*) AS n, folder IS NULL AS last FROM f GROUP BY folder"
+SQL["folder_groups"] = f"WITH f AS ({SQL['folder_labels']}) SELECT coalesce(string_split(string_split(folder, '/')[1], ' ')[1], '未分类') AS folder, count(*) AS n, folder IS NULL AS last FROM f GROUP BY ALL"
+
+#: Every word that tells an intent.
+_WORDS = [w for words in grading.INTENTS.values() for w in words]
 
 
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", grading.intent(_pick([q for q, _ in INTENTS], F.col("doc_id"))).alias("intent"))
+    """(conv_id, turn, intent): what turns ask for; each ends with three words that tell an intent, chosen by its length."""
+    n = F.length("text")
+    told = [F.element_at(F.array(*map(F.lit, _WORDS)), (n * k % len(_WORDS) + 1).cast("int")) for k in (1, 7, 11)]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", grading.intent(F.when(n % 5 == 0, F.col("text")).otherwise(F.concat_ws(" ", "text", *told))).alias("intent"))
 
 
-SQL["question_intents"] = f"WITH {_rows([(i,) for _, i in INTENTS], 'intent')} SELECT doc_id, intent FROM documents JOIN v ON k = doc_id % {len(INTENTS)}"
+_HITS = lambda words: " + ".join(f"contains(low, '{w}')::INT" for w in words)
+SQL["question_intents"] = f"""
+WITH w AS (SELECT conv_id, turn, text, length(text) AS n, {_WORDS!r} AS w FROM conversations), q AS (SELECT conv_id, turn, lower(coalesce(CASE WHEN n % 5 = 0 THEN text ELSE concat_ws(' ', text, w[n % {len(_WORDS)} + 1], w[n * 7 % {len(_WORDS)} + 1], w[n * 11 % {len(_WORDS)} + 1]) END, '')) AS low FROM w),
+h AS (SELECT conv_id, turn, [{", ".join(f"({_HITS(words)})" for words in grading.INTENTS.values())}] AS h FROM q)
+SELECT conv_id, turn, CASE WHEN list_max(h) > 0 THEN {list(grading.INTENTS)!r}[list_position(h, list_max(h))] ELSE 'general' END AS intent FROM h"""
+
+
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
 def objective_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, kind, score, level): answers graded without a model; open questions stay ungraded."""
-    n = F.col("event_id")
-    d = table(spark, sf_dir, "events").select("event_id", *[_pick([a[i] for a in ANSWERS], n).alias(c) for i, c in enumerate(("kind", "answer", "given"))])
+    """(doc_id, kind, score, level): answers graded without a model; open questions stay ungraded.
+
+    The answer is a document's first three words; what was given are its second to fourth, in capitals, or, for one in
+    four, its last two.
+    """
+    n, w = F.col("doc_id"), F.split("text", " ")
+    kind = F.element_at(F.array(*map(F.lit, ("multiple_choice", "fill_blank", "fill_blank", "short_answer"))), (n % 4 + 1).cast("int"))
+    given = F.when(n % 8 < 6, F.translate(F.array_join(F.slice(w, 2, 3), "；"), _SMALL, _SMALL.upper())).otherwise(F.array_join(F.slice(F.reverse(w), 1, 2), "\n"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", kind.alias("kind"), F.array_join(F.slice(w, 1, 3), ", ").alias("answer"), given.alias("given"))
     d = d.withColumn("share", grading.grade(F.col("kind"), F.col("answer"), F.col("given")))
     level = F.when(F.col("share") >= 0.85, "good").when(F.col("share") > 0, "partial").when(F.col("share").isNotNull(), "weak")
-    return d.select("event_id", "kind", F.round("share", 2).alias("score"), level.alias("level"))
+    return d.select("doc_id", "kind", F.round("share", 2).alias("score"), level.alias("level"))
 
 
-SQL["objective_grades"] = f"WITH {_rows([(a[0], a[3], a[4]) for a in ANSWERS], 'kind, score, level')} SELECT event_id, kind, score, level FROM events JOIN v ON k = event_id % {len(ANSWERS)}"
+_PLAIN = lambda x: rf"lower(trim(regexp_replace(regexp_replace({x}, '[#*_`>$\\{{}}\[\]().,，。；;：:！？!?-]', ' ', 'g'), '\s+', ' ', 'g')))"
+_BLANKS = lambda x: rf"list_filter(list_transform(regexp_split_to_array({x}, '[,，;；\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
+SQL["objective_grades"] = rf"""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, ['multiple_choice', 'fill_blank', 'fill_blank', 'short_answer'][doc_id % 4 + 1] AS kind, array_to_string(w[1:3], ', ') AS answer, CASE WHEN doc_id % 8 < 6 THEN translate(array_to_string(w[2:4], '；'), '{_SMALL}', '{_SMALL.upper()}') ELSE array_to_string(list_reverse(w)[1:2], chr(10)) END AS given FROM w),
+b AS (SELECT *, list_transform({_BLANKS('answer')}, lambda x: {_PLAIN('x')}) AS want, list_transform({_BLANKS('given')}, lambda x: {_PLAIN('x')}) AS got, upper(regexp_extract(answer, '([A-Ha-h])', 1)) AS x, upper(regexp_extract(given, '([A-Ha-h])', 1)) AS y FROM a),
+s AS (SELECT doc_id, kind, CASE kind WHEN 'multiple_choice' THEN (x <> '' AND x = y)::INT::DOUBLE WHEN 'fill_blank' THEN CASE WHEN len(got) = 0 OR len(want) = 0 THEN 0.0::DOUBLE
+  ELSE len(list_filter(want, lambda v: len(list_filter(got, lambda g: g <> '' AND v <> '' AND (g = v OR contains(v, g) OR contains(g, v)))) > 0))::DOUBLE / len(want) END END AS share FROM b)
+SELECT doc_id, kind, round(share, 2) AS score, CASE WHEN share >= 0.85 THEN 'good' WHEN share > 0 THEN 'partial' WHEN share IS NOT NULL THEN 'weak' END AS level FROM s"""
 
 
 def option_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_options) of a text whose lines vary in their beginnings."""
-    text = F.when(F.col("doc_id") % 2 == 0, F.lit(OPTIONS[0]))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(grading.options(text)).alias("n_options"))
+    """(conv_id, turn, n_options): options among a turn's sentences, each on a line with a letter or something else before it."""
+    marks = F.array(*map(F.lit, ("A. ", "b) ", "  C、\t", "D ", "", "e：  ", "I. ", "f:", "H) ")))
+    lines = F.transform(F.split("text", r"\. "), lambda x, i: F.concat(F.element_at(marks, (i % 9 + 1).cast("int")), x))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(grading.options(F.array_join(lines, "\n"))).alias("n_options"))
 
 
-SQL["option_lines"] = f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {OPTIONS[1]} ELSE 0 END AS n_options FROM documents"
+SQL["option_lines"] = r"""
+WITH l AS (SELECT conv_id, turn, string_split(array_to_string(list_transform(string_split(coalesce(text, ''), '. '), lambda x, i: ['A. ', 'b) ', '  C、' || chr(9), 'D ', '', 'e：  ', 'I. ', 'f:', 'H) '][(i - 1) % 9 + 1] || x), chr(10)), chr(10)) AS l, text FROM conversations)
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(l, lambda x: regexp_matches(trim(x, ' ' || chr(9) || chr(13)), '^[A-Ha-h][.)、:：]\s+'))) END::INT AS n_options FROM l"""
 
 
 def component_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
