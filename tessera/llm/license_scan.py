@@ -62,7 +62,7 @@ NAMES = [
     ("isc", "isc", r"isc license", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)? license", r"zlib"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense"),
-    ("wtfpl", "want", r"do what the f\w+ you want to public license", r"wtfpl"),
+    ("wtfpl", "want", r"do what the f[^ ]+ you want to public license", r"wtfpl"),
     ("ofl-1.1", "font", r"sil open font license(?: (?:version )?1 1)?", r"ofl 1 1"),
     ("eupl-1.2", "european", r"european union public licen[cs]e(?: (?:version |v )?1 2)?", r"eupl 1 2"),
     ("eupl-1.1", "european", r"european union public licen[cs]e (?:version |v )?1 1", r"eupl 1 1"),
@@ -145,7 +145,7 @@ NOTICES = [
     ("mit", "without", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 4, 1.0),
     ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice", 4, 1.0),
     ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 4, 1.0),
-    ("bsd-3-clause", "endorse", r"neither the name of (?:\w+ ){1,12}nor the names of its contributors may be used to endorse or promote products", 4, 1.0),
+    ("bsd-3-clause", "endorse", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products", 4, 1.0),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 4, 1.0),
     ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license", 3, 0.9),
     ("apache-2.0", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 3, 0.95),
@@ -170,14 +170,14 @@ NOTICES = [
     ("cddl-1.0", "distribution", r"the contents of this file are subject to the terms of the common development and distribution license", 4, 1.0),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 5, 1.0),
     ("unlicense", "compile", r"anyone is free to copy modify publish use compile sell or distribute this software", 4, 1.0),
-    ("wtfpl", "want", r"you just do what the f\w+ you want to", 4, 1.0),
+    ("wtfpl", "want", r"you just do what the f[^ ]+ you want to", 4, 1.0),
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 4, 1.0),
     ("zlib", "altered", r"altered source versions must be plainly marked as such", 4, 1.0),
     ("boost-1.0", "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 5, 1.0),
     ("artistic", "package", r"the intent of this document is to state the conditions under which a package may be copied", 4, 1.0),
     ("ofl-1.1", "font", r"this font software is licensed under the sil open font license", 5, 1.0),
     ("ofl-1.1", "font", r"the font software may not be sold by itself", 3, 0.8),
-    ("cc0", "waived", r"to the extent possible under law (?:\w+ ){1,12}has waived all copyright and related or neighbou?ring rights", 5, 1.0),
+    ("cc0", "waived", r"to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighbou?ring rights", 5, 1.0),
     ("cc0", "reserved", r"no rights reserved", 1, 0.6),
     ("cc-by-nd", "creativecommons", r"(?:https? )?creativecommons org licenses by nd [1234] 0", 5, 1.0),
     ("cc-by-nc-sa", "creativecommons", r"(?:https? )?creativecommons org licenses by nc sa [1234] 0", 5, 1.0),
@@ -211,7 +211,7 @@ NOTICES = [
     ("reserved", "réservés", r"droits réservés", 0, 0.4),
     ("reserved", "reserviert", r"alle rechte reserviert", 0, 0.5),
     ("proprietary", "interdite", r"reproduction (?:même partielle )?(?:strictement )?interdite", 2, 0.7),
-    ("proprietary", "vervielfältigung", r"vervielfältigung (?:\w+ ){0,6}(?:verboten|nicht gestattet|untersagt)", 2, 0.7),
+    ("proprietary", "vervielfältigung", r"vervielfältigung (?:[^ ]+ ){0,6}(?:verboten|nicht gestattet|untersagt)", 2, 0.7),
     ("proprietary", "prohibida", r"prohibida (?:su|la) (?:reproducción|copia|distribución)(?: total o parcial)?", 2, 0.7),
     ("public-domain", "domaine", r"(?:dans le )?domaine public", 1, 0.6),
     ("public-domain", "gemeinfrei", r"gemeinfrei(?:es|e)?", 1, 0.6),

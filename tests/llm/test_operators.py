@@ -532,6 +532,8 @@ def test_least_determinant_against_all_subsets(spark):
         ("sous licence Creative Commons", "cc"),
         ("Prohibida la reproducción total o parcial", "proprietary"),
         ("For non-commercial use only.", "non-commercial"),
+        ("Vervielfältigung für gewerbliche Zwecke verboten", "proprietary"),
+        ("Neither the name of Universität Zürich nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
     ],
 )
 def test_license_notices_are_found(notice, label):
