@@ -87,6 +87,31 @@ def sm2(attempts: DataFrame) -> DataFrame:
     return line.groupBy("user_id", "kc_id").agg(last).select("user_id", "kc_id", "s.*")
 
 
+def after_attempt(state: tuple, correct: bool, q: int) -> tuple:
+    """(p_known, ease, interval_seconds, reps, last_quality) after one attempt."""
+    return next_belief(state[0], correct), *next_repetition(state[1:4], q), q
+
+
+#: What is known of a component before any attempt.
+NEW = (P0, 2.5, 0.0, 0, 0)
+RECORD = "p_known double, ease double, interval_seconds double, reps int, last_quality int"
+
+
+def recorded(attempts: DataFrame) -> DataFrame:
+    """(user_id, kc_id, the fields of RECORD, obs_n, score, last_us, due_us): belief, schedule and last attempt of each component, in one pass."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    last = F.max_by(F.struct(*names), "k").alias("s")
+    line = folded(attempts, NEW, after_attempt, RECORD).groupBy("user_id", "kc_id").agg(last, F.max("k").alias("obs_n")).select("user_id", "kc_id", "s.*", "obs_n")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    newest = attempts.groupBy("user_id", "kc_id").agg(F.max_by("score", F.struct("ts", "event_id")).alias("score"), F.max(at).alias("last_us"))
+    return line.join(newest, ["user_id", "kc_id"]).withColumn("due_us", due(F.col("last_us"), F.col("interval_seconds")))
+
+
+def due(last_us: Column, seconds: Column) -> Column:
+    """When a repetition is due, in microseconds."""
+    return last_us + F.rint(seconds * 1e6).cast("long")
+
+
 def ranked_components(beliefs: DataFrame, weak: bool, limit: int) -> DataFrame:
     """Each learner's weakest or best mastered components, ``limit`` at most."""
     p = F.col("p_known")

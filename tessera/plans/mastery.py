@@ -197,6 +197,16 @@ LEFT JOIN (SELECT user_id, count(*) AS n_windows FROM t GROUP BY user_id) USING
 LEFT JOIN (SELECT user_id, count(*) AS sr_due_today FROM d GROUP BY user_id) USING (user_id) LEFT JOIN k USING (user_id)"""
 
 
+def recorded_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Belief, schedule and state of each learner and component from one pass over the attempts."""
+    rows = learner.recorded(attempts(spark, sf_dir))
+    return rows.select("user_id", "kc_id", F.round("p_known", 9).alias("p_known"), "obs_n", F.round("ease", 6).alias("ease"), F.round("interval_seconds", 3).alias("interval_seconds"), "reps", "last_quality", learner.attempt_state(F.col("score")).alias("state"))
+
+
+SQL["recorded_attempts"] = f"""SELECT user_id, kc_id, p_known, obs_n, ease, interval_seconds, reps, last_quality, CASE WHEN score >= 0.85 THEN 'mastered' WHEN score >= 0.5 THEN 'partial' ELSE 'attempted' END AS state
+FROM ({learners.SQL['bkt_posterior']}) b JOIN ({learners.SQL['sm2_schedule']}) s USING (user_id, kc_id) JOIN (WITH {learners._TRIES} SELECT user_id, kc_id, arg_max(score, (ts, event_id)) AS score FROM a GROUP BY ALL) l USING (user_id, kc_id)"""
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each learner's 20 repetitions due first, with the component's name, or its key where it has none."""
     first = Window.partitionBy("user_id").orderBy("due", "kc_id")
@@ -257,5 +267,5 @@ SELECT user_id, a, b, n, round(mean, 4) AS delta, round(CASE WHEN sd > 1e-12 THE
 
 QUERIES = {
     f.__name__: f
-    for f in (misconception_tags, misconception_traces, misconception_clusters, misconception_examples, top_misconception, component_states, bkt_timeline, bkt_refit, decay_risk, readiness_mean, learner_dimensions, review_queue, retention, user_rows, transfer_lift)
+    for f in (misconception_tags, misconception_traces, misconception_clusters, misconception_examples, top_misconception, component_states, bkt_timeline, bkt_refit, decay_risk, readiness_mean, learner_dimensions, review_queue, recorded_attempts, retention, user_rows, transfer_lift)
 }
