@@ -33,7 +33,7 @@ def stream_learner_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = LearnerStates(spark)
     states.run(attempts_of(events.event_stream(spark, f"{sf_dir}/events.parquet")))
     rows = states.states()
-    return rows.select("user_id", "kc_id", F.round("p_known", 9).alias("p_known"), "obs_n", F.round("ease", 6).alias("ease"), F.round("interval_seconds", 3).alias("interval_seconds"), "reps", "last_quality", F.round(F.col("due_us") / 1e6, 3).alias("due"))
+    return rows.select("user_id", "kc_id", F.round("p_known", 9).alias("p_known"), "obs_n", F.round("ease", 6).alias("ease"), F.round("interval_seconds", 3).alias("interval_seconds"), "reps", "last_quality", F.round(F.col("last_us") / 1e6 + F.round("interval_seconds", 3), 3).alias("due"))
 
 
 _RECORDED = f"""SELECT user_id, kc_id, p_known, obs_n, ease, interval_seconds, reps, last_quality, round(last / 1000000.0::DOUBLE + interval_seconds, 3) AS due
