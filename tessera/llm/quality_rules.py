@@ -22,9 +22,11 @@ from tessera.operators.shared import FEW_ROWS, observed
 #: The share of documents that a core has, and that reweighting would keep of a normal distribution.
 SHARE, WEIGHED = 0.75, 0.975
 #: Concentration steps at most, and those that all starts take; determinants stop falling much earlier.
-STEPS, EARLY = 30, 1
-#: A determinant that falls by less than this share of itself has settled; a hundredth is a four-hundredth of each scale.
-SETTLED = 0.01
+STEPS, EARLY = 100, 1
+#: Bins of the distance for each e-fold of it.
+BINS = 256
+#: A determinant that falls by less than this share of itself falls no more: sums differ by so much with their order.
+SETTLED = 1e-9
 #: Groups need so many documents for estimates of their own; pools of what is left need fewer.
 LEAST, ENOUGH = 60, 10
 #: Rates of short texts lean on the group's typical rate as if there were so many more words.
@@ -166,11 +168,24 @@ def starts(judged: DataFrame, few: bool) -> DataFrame:
 
 
 def concentrated(judged: DataFrame, factors: DataFrame, few: bool) -> DataFrame:
-    """The factors after one step, from the moments of the SHARE of documents with the smallest distances; falls: log_det before less after."""
-    keys, place = ["_group", "_start"], F.floor(F.log(F.col("_d2") + 1e-6) * 64)
-    measured = _measured(judged, _marked(factors, few))
-    cut = _binned_quantiles(measured, keys, {"cut": place}, {"at": SHARE}).drop("total")
-    after = _factors(_moments(measured.join(_marked(cut, few), keys).where(place <= F.col("at_cut")), CONSISTENT))
+    """The factors after one step, from the moments of the SHARE of documents with the smallest distances; falls: log_det before less after.
+
+    The documents are read once: each bin of the distance keeps its number and moments, and those of the
+    bins up to the cut are added up, of the last one only the part that is wanted, so that all cores of a
+    group weigh the same.
+    """
+    keys, axes = ["_group", "_start"], range(_P)
+    place = F.floor(F.log(F.col("_d2") + 1e-6) * BINS)
+    sums = {"n": F.count(F.lit(1))} | {f"a_{i}": F.sum(f"x_{i}") for i in axes} | {f"b_{i}_{j}": F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")) for i, j in _PAIRS}
+    bins = _measured(judged, _marked(factors, few)).groupBy(*keys, place.alias("bin")).agg(F.first("_was").alias("_was"), *[v.alias(k) for k, v in sums.items()])
+    one = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = (SHARE * F.sum("n").over(one) - below) / F.col("n")
+    core = bins.withColumn("part", F.least(part, F.lit(1.0))).where("part > 0")
+    core = core.groupBy(*keys).agg(F.first("_was").alias("_was"), *[F.sum(F.col(k) * F.col("part")).alias(k) for k in sums])
+    mean = {i: F.col(f"a_{i}") / F.col("n") for i in axes}
+    spread = {(i, j): CONSISTENT * (F.col(f"b_{i}_{j}") / F.col("n") - mean[i] * mean[j]) + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    after = _factors(core.select(*keys, "_was", *[mean[i].alias(f"m_{i}") for i in axes], *[v.alias(f"s_{i}_{j}") for (i, j), v in spread.items()]))
     return after.withColumn("falls", F.col("_was") - F.col("log_det"))
 
 
@@ -178,23 +193,22 @@ def least_determinant(judged: DataFrame, few: bool = True) -> DataFrame:
     """The factors of each group's core with the least determinant, over all starts.
 
     ``judged`` has _group and x_i; ``few`` says that a row for each group may be broadcast. After EARLY
-    steps only each group's two best starts go on; each is done once its determinant falls by less than
-    SETTLED, or after STEPS steps.
+    steps only each group's two best starts go on; each goes on until its determinant falls no more.
     """
-    best = lambda found, n: found.withColumn("_best", F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start"))).where(F.col("_best") <= n).drop("_best")
+    best = lambda cores, n: cores.withColumn("_best", F.row_number().over(Window.partitionBy("_group").orderBy("log_det", "_start"))).where(F.col("_best") <= n).drop("_best")
     factors = stash(_factors(starts(judged, few)), "quality-factors")
-    done = None
+    found = None
     for step in range(1, STEPS + 1):
         after = concentrated(judged, factors, few)
         after = best(after, 2) if step == EARLY else after
-        moving = F.lit(step < EARLY) | (F.abs("falls") > SETTLED) & F.lit(step < STEPS)
+        moving = F.lit(step <= EARLY) | (F.col("falls") > SETTLED) & F.lit(step < STEPS)
         after, seen = observed(after.withColumn("moving", moving), "quality-factors", moving=F.count_if(F.col("moving")))
-        settled = after.where("not moving").drop("falls", "moving")
-        done = settled if done is None else done.unionByName(settled)
+        cores = after.drop("falls", "moving")
+        found = cores if found is None else found.unionByName(cores)
         factors = after.where("moving").drop("falls", "moving")
         if not seen["moving"]:
             break
-    return best(done, 1)
+    return best(found, 1)
 
 
 def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -99,6 +99,33 @@ def test_quality_rules_reject_outliers_only(spark):
     assert all(got[k] for k in range(300)) and not any(got[1000 + k] for k in range(5))
 
 
+def test_quality_rules_settle(spark):
+    draw = np.random.default_rng(3)
+    good, bad = draw.normal([1.5, 0.2, 0.1, 0.5], [0.2, 0.4, 0.3, 0.8], (700, 4)), draw.normal([2.5, 2.0, 1.0, 3.0], 0.2, (120, 4))
+    points = {"a": np.vstack([good, bad]), "b": draw.exponential(0.6, (90, 4))}
+    rows = [(k, g, *map(float, x)) for g, xs in points.items() for k, x in enumerate(xs)]
+    judged = spark.createDataFrame(rows, "_row long, _group string, x_0 double, x_1 double, x_2 double, x_3 double")
+    found = {r["_group"]: r for r in quality_rules.least_determinant(judged).collect()}
+    assert set(found) == set(points)
+    for g, xs in points.items():
+        # one more step, with numpy: no determinant is smaller than the one found
+        lower = np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                lower[i, j] = found[g][f"L_{i}_{j}"]
+        z = np.linalg.solve(lower, (xs - [found[g][f"m_{i}"] for i in range(4)]).T)
+        place = np.floor(np.log((z * z).sum(axis=0) + 1e-6) * quality_rules.BINS)
+        wanted, weight = quality_rules.SHARE * len(xs), np.zeros(len(xs))
+        for b in np.unique(place):
+            n = (place == b).sum()
+            weight[place == b] = min(1.0, max(0.0, wanted - (place < b).sum()) / n)
+        scatter = quality_rules.CONSISTENT * np.cov(xs.T, bias=True, aweights=weight) + np.diag(np.square(quality_rules.FLOOR))
+        assert np.linalg.slogdet(scatter)[1] > found[g]["log_det"] - 1e-6
+        assert weight.sum() == pytest.approx(wanted)
+        if g == "a":  # what lies apart is no part of the core
+            assert not weight[700:].any() and np.median(place[700:]) > place[:700].max()
+
+
 # 2 exact top-k
 
 
