@@ -11,10 +11,12 @@ A hub's edges, and the rows that ask for the weight of a giant community, are jo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.shared import HOT_ROWS, discard, hot_keys, join_spread, observed, small, written
+from tessera.operators.shared import FEW_ROWS, HOT_ROWS, dealt, discard, hot_keys, join_spread, observed, small, tasks_for, written
 
 #: Rounds of one level, levels, and the gain of modularity in two rounds that is worth going on for.
 ROUNDS, LEVELS, WORTH = 24, 12, 1e-4
@@ -48,34 +50,39 @@ def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = "w
     return 0.0 if not row["all"] else row["inside"] / row["all"] - resolution * row["squares"] / row["all"] ** 2
 
 
-def _settled(pairs: DataFrame, level: int, resolution: float) -> tuple[DataFrame, bool]:
-    """(node, community) after local moves over ``pairs`` (a, b, w), and whether any node moved.
+def _settled(pairs: DataFrame, level: int, resolution: float, hubs: DataFrame | None, n_tasks: int) -> tuple[DataFrame, bool]:
+    """(node, community) after local moves over ``pairs`` (a, b, w), dealt by b, and whether any node moved.
 
     A move goes to the neighbouring community with the greatest gain of modularity, ties to the least community,
     and only if it gains more than staying. The best state met is kept: moves made at once may lose in sum.
+    A round moves the pairs once: each node tells its neighbours its community and how strong that is.
     """
-    nodes, seen = observed(pairs.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "louvain-nodes", all=F.sum("k"))
+    nodes, seen = observed(pairs.groupBy(F.col("b").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "louvain-nodes", all=F.sum("k"))
     total = seen["all"]
     if not total:
         return nodes.select("node", "community"), False
-    hubs = hot_keys(pairs, "b")
     best, best_q, before, moved, moves_before = None, None, None, False, 1
     for round_ in range(ROUNDS + 1):
-        links = join_spread(pairs, "b", nodes.select(F.col("node").alias("b"), F.col("community").alias("to")), hubs)
-        links = links.groupBy("a", "to").agg(F.sum("w").alias("inside"), F.sum(F.when(F.col("a") != F.col("b"), F.col("w")).otherwise(0.0)).alias("w"))
-        sums, told = observed(nodes.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("strength"), F.count(F.lit(1)).alias("n")), "louvain-sums", squares=F.sum(F.col("strength") * F.col("strength")), most=F.max("n"))
-        own = nodes.select(F.col("node").alias("a"), "k", F.col("community").alias("own"))
-        stay = own.select("a", F.col("own").alias("to"), F.lit(0.0).alias("inside"), F.lit(0.0).alias("w"))
-        offers = links.unionByName(stay).groupBy("a", "to").agg(F.sum("inside").alias("inside"), F.sum("w").alias("w"))
-        giants = small(sums.where(F.col("n") > HOT_ROWS).select("to"), "louvain-giants") if told["most"] > HOT_ROWS else None
-        offers = join_spread(offers.join(own, "a"), "to", sums.select("to", "strength"), giants)
+        strong = nodes.groupBy("community").agg(F.sum("k").alias("strength"), F.count(F.lit(1)).alias("n"))
+        sums, told = observed(strong, "louvain-sums", squares=F.sum(F.col("strength") * F.col("strength")), giants=F.count_if(F.col("n") > HOT_ROWS))
+        giants = sums.where(F.col("n") > HOT_ROWS).select("community") if told["giants"] else None
+        giants = F.broadcast(giants) if told["giants"] and told["giants"] <= FEW_ROWS else giants
+        known = join_spread(nodes, "community", sums.select("community", "strength"), giants)
+        offers = join_spread(pairs, "b", known.select(F.col("node").alias("b"), F.col("community").alias("to"), "strength"), hubs)
+        own = known.select(F.col("node").alias("a"), "k", F.col("community").alias("own"), F.col("strength").alias("held"))
         home = F.col("to") == F.col("own")
         gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("strength") - F.when(home, F.col("k")).otherwise(0.0)) / total, 9)
-        choice = offers.groupBy("a").agg(
-            F.first("k").alias("k"), F.first("own").alias("own"), F.max(F.when(home, gain)).alias("stay"), F.min(F.struct((-gain).alias("loss"), "to")).alias("best"), F.sum(F.when(home, F.col("inside")).otherwise(0.0)).alias("inside")
-        )
+        alone = F.round(-resolution * F.first("k") * (F.first("held") - F.first("k")) / total, 9)
+
+        def choice(links: DataFrame, own: DataFrame) -> DataFrame:
+            summed = links.groupBy("a", "to").agg(F.sum("w").alias("inside"), F.sum(F.when(F.col("a") != F.col("b"), F.col("w")).otherwise(0.0)).alias("w"), F.first("strength").alias("strength"))
+            return summed.join(own, "a").groupBy("a").agg(  # noqa: B023
+                F.first("k").alias("k"), F.first("own").alias("own"), F.coalesce(F.max(F.when(home, gain)), alone).alias("stay"), F.min(F.struct((-gain).alias("loss"), "to")).alias("best"), F.sum(F.when(home, F.col("inside")).otherwise(0.0)).alias("inside")  # noqa: B023
+            )
+
+        state = _by_node(offers, own, hubs, n_tasks, choice)
         go = _turn("a", level, round_) & (-F.col("best.loss") > F.col("stay"))
-        state = choice.select(F.col("a").alias("node"), "k", F.when(go, F.col("best.to")).otherwise(F.col("own")).alias("community"), go.alias("_go"), "inside")
+        state = state.select(F.col("a").alias("node"), "k", F.when(go, F.col("best.to")).otherwise(F.col("own")).alias("community"), go.alias("_go"), "inside")
         after, told2 = observed(state, "louvain-nodes", inside=F.sum("inside"), moves=F.count_if("_go"))
         q = told2["inside"] / total - resolution * told["squares"] / total**2
         discard(sums)
@@ -100,6 +107,15 @@ def _settled(pairs: DataFrame, level: int, resolution: float) -> tuple[DataFrame
     raise AssertionError
 
 
+def _by_node(links: DataFrame, own: DataFrame, hubs: DataFrame | None, n_tasks: int, choice: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``choice`` of ``links`` and ``own`` by their column a: those of a node meet in a task, those of hubs are summed where they are."""
+    if hubs is None:
+        return choice(links.repartition(n_tasks, "a"), own)
+    hot = hubs.withColumnRenamed("b", "a")
+    few = small(own.join(hot, "a", "left_semi"), "hub-rows")
+    return choice(links.join(hot, "a", "left_anti").repartition(n_tasks, "a"), own).unionByName(choice(links.join(hot, "a", "left_semi"), few))
+
+
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = "weight", resolution: float = 1.0) -> DataFrame:
     """(node, community): communities of greatest modularity found by local moves and contraction; a community is named by its least node.
 
@@ -110,10 +126,13 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None
     if nodes is not None:
         known = nodes.select("node").where("node IS NOT NULL").distinct()
         edges = edges.join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi")
-    pairs = written(both_ends(edges, weight), "louvain-pairs")
+    pairs, seen = observed(both_ends(edges, weight), "louvain-pairs", n=F.count(F.lit(1)))
     members = None  # (node, community) of the nodes of the first level
     for level in range(LEVELS):
-        found, moved = _settled(pairs, level, resolution)
+        n_tasks = tasks_for(seen["n"])
+        kept = dealt(pairs, "b", n_tasks)
+        hubs = hot_keys(kept, "b")
+        found, moved = _settled(kept, level, resolution, hubs, n_tasks)
         if members is None:
             members = found
         elif moved:
@@ -123,11 +142,12 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None
             members = written(up.select("node", "community"), "louvain-members")
             discard(held)
         if not moved:
+            kept.unpersist()
             break
         ends = [found.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b")]
-        hubs = hot_keys(pairs, "b")
-        inner = join_spread(join_spread(pairs, "a", ends[0], hubs if hubs is None else hubs.withColumnRenamed("b", "a")), "b", ends[1], hubs)
-        smaller = written(inner.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-pairs")
+        inner = join_spread(join_spread(kept, "b", ends[1], hubs), "a", ends[0], hubs if hubs is None else hubs.withColumnRenamed("b", "a"))
+        smaller, seen = observed(inner.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-pairs", n=F.count(F.lit(1)))
+        kept.unpersist()
         discard(pairs)
         pairs = smaller
     least = members.groupBy("community").agg(F.min("node").alias("least"))
@@ -137,6 +157,11 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None
     return named
 
 
+def _most_voted(told: DataFrame, own: DataFrame) -> DataFrame:
+    votes = told.groupBy("a", "label").agg(F.round(F.sum("w"), 9).alias("w")).join(own, "a")
+    return votes.groupBy("a").agg(F.first("own").alias("own"), F.min(F.struct((-F.col("w")).alias("w"), (F.col("label") != F.col("own")).alias("other"), "label"))["label"].alias("label"))
+
+
 def label_propagation(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """(node, community): each node takes the label with most weight among its neighbours' until none changes, in ``sweeps`` sweeps at most.
 
@@ -146,15 +171,16 @@ def label_propagation(edges: DataFrame, nodes: DataFrame | None = None, weight:
     if nodes is not None:
         known = nodes.select("node").where("node IS NOT NULL").distinct()
         edges = edges.join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi")
-    pairs = written(both_ends(edges, weight).where("a <> b"), "label-pairs")
+    table, seen = observed(both_ends(edges, weight).where("a <> b"), "label-pairs", n=F.count(F.lit(1)))
+    n_tasks = tasks_for(seen["n"])
+    pairs = dealt(table, "b", n_tasks)
     hubs = hot_keys(pairs, "b")
     labels = written(pairs.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
     for sweep in range(sweeps):
         changed = 0
         for half in (0, 1):
-            votes = join_spread(pairs, "b", labels.select(F.col("node").alias("b"), "label"), hubs).groupBy("a", "label").agg(F.round(F.sum("w"), 9).alias("w"))
-            votes = votes.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
-            best = votes.groupBy("a").agg(F.first("own").alias("own"), F.min(F.struct((-F.col("w")).alias("w"), (F.col("label") != F.col("own")).alias("other"), "label"))["label"].alias("label"))
+            told = join_spread(pairs, "b", labels.select(F.col("node").alias("b"), "label"), hubs)
+            best = _by_node(told, labels.select(F.col("node").alias("a"), F.col("label").alias("own")), hubs, n_tasks, _most_voted)
             go = _turn("a", 0, 2 * sweep + half) & (F.col("label") != F.col("own"))
             new, seen = observed(best.select(F.col("a").alias("node"), F.when(go, F.col("label")).otherwise(F.col("own")).alias("label"), go.alias("_go")), "labels", n=F.count_if("_go"))
             changed += seen["n"]
@@ -162,6 +188,8 @@ def label_propagation(edges: DataFrame, nodes: DataFrame | None = None, weight:
             labels = new.select("node", "label")
         if not changed:
             break
+    pairs.unpersist()
+    discard(table)
     least = labels.groupBy("label").agg(F.min("node").alias("community"))
     named = join_spread(labels, "label", least, hot_keys(labels, "label")).select("node", "community")
     if nodes is not None:

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import communities
+from tessera.operators import communities, shared
 from tessera.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -149,3 +149,19 @@ def test_described(spark):
     sizes = spark.createDataFrame([(3, 2), (2, 2)], "node long, size long")
     rows = {tuple(r) for r in communities.described(found, edges, sizes).collect()}
     assert rows == {(1, 3, 2, 0.667, 2), (9, 1, 1, 1.0, 9)}
+
+
+@pytest.mark.parametrize("run", [communities.louvain, communities.label_propagation])
+def test_a_round_moves_the_edges_once(spark, monkeypatch, run):
+    """Rounds of joins that shuffled the edges six times each took too long over 27 million edges."""
+    moves, observed = [], communities.observed
+
+    def watched(df, name, **metrics):
+        if "_go" in df.columns:
+            moves.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(a#"))
+        return observed(df, name, **metrics)
+
+    monkeypatch.setattr(communities, "observed", watched)
+    monkeypatch.setattr(shared, "TASK_ROWS", 100, raising=False)
+    run(spark.createDataFrame(planted(4, 10, 0.7, 0.05, 5), "source long, target long, weight double"))
+    assert max(moves) == 1
