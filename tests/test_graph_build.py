@@ -87,3 +87,27 @@ def test_built_graph(spark):
 
     free = [(s, t, "related", min(0.8, w)) if k == "prerequisite" and reaches(t, s) else (s, t, k, w) for s, t, k, w in scored]
     assert sorted(tuple(r) for r in knowledge.built_graph(spark, SF).collect()) == greedy(free, 8)
+
+
+@pytest.mark.parametrize(("many", "few_rows"), [(64, 100_000), (3, 100_000), (64, 5)])
+def test_stars_are_not_written(spark, monkeypatch, many, few_rows):
+    """Pairs of a source with its own pages are made where they are read: all of them in files and shuffles filled the disk."""
+    rng = random.Random(7)
+    nodes = [(n, "source" if n % 10 == 0 else "concept", ["s1", "s2"] if n % 3 else ["s1"]) for n in range(120)]
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(60)] + [(n, 5) for n in range(0, 120, 2)] + [(n, 10) for n in range(30)]
+    most, written = [], graph_build.written
+    monkeypatch.setattr(graph_build, "MANY", many, raising=False)
+    monkeypatch.setattr(graph_build, "FEW_ROWS", few_rows, raising=False)
+
+    def watched(df, name):
+        table = written(df, name)
+        most.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph_build, "written", watched)
+    edges = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, other long, forward boolean, edge_type string")
+    got = graph_build.scored_graph(spark.createDataFrame(nodes, "node long, type string, sources array<string>"), spark.createDataFrame(links, "a long, b long"), *edges)
+    rows, want = sorted(tuple(r) for r in got.collect()), sorted(plain_graph(nodes, links, [], []))
+    assert [r[:3] for r in rows] == [w[:3] for w in want]
+    assert all(abs(r[3] - w[3]) < 0.0101 for r, w in zip(rows, want, strict=True))
+    assert many < 64 or max(most) < 900 < len(want)
