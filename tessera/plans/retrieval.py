@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text
 from tessera.operators.ordering import positions
-from tessera.operators.shared import small, written
+from tessera.operators.shared import join_groups, small, written
 from tessera.sources.adapters import table, wiki_pages
 
 #: Words that queries pass over.
@@ -137,8 +137,9 @@ def shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lone = placed.join(starred, "source", "left_anti")
     ahead = lone.select("source", F.col("path").alias("a"), F.explode(F.array(*[F.col("position") + k for k in (1, 2, 3)])).alias("position"))
     near = ahead.join(lone.select("source", F.col("path").alias("b"), "position"), ["source", "position"]).select("source", "a", "b")
-    hubs = small(placed.where("star").select("source", F.col("path").alias("hub")), "source-pages")
-    stars = placed.join(hubs, "source").where("path <> hub").select("source", F.least("path", "hub").alias("a"), F.greatest("path", "hub").alias("b")).distinct()
+    each = placed.join(starred, "source", "left_semi").select("source", "path", "star").distinct()
+    met = join_groups(each, each.where("star").select("source", F.col("path").alias("hub")), "source")
+    stars = met.where("path <> hub AND (NOT star OR path < hub)").select("source", F.least("path", "hub").alias("a"), F.greatest("path", "hub").alias("b"))
     return near.unionByName(stars)
 
 

@@ -8,8 +8,8 @@ import random
 
 import pytest
 
-from tessera.operators import graph_build, relevance
-from tessera.plans import knowledge
+from tessera.operators import graph_build, relevance, shared
+from tessera.plans import knowledge, retrieval
 from tests.test_graph_text import greedy
 
 SF = "/root/testdata/sf0.001"
@@ -97,7 +97,7 @@ def test_stars_are_not_written(spark, monkeypatch, many, few_rows):
     links = [(rng.randrange(120), rng.randrange(120)) for _ in range(60)] + [(n, 5) for n in range(0, 120, 2)] + [(n, 10) for n in range(30)]
     most, written = [], graph_build.written
     monkeypatch.setattr(graph_build, "MANY", many, raising=False)
-    monkeypatch.setattr(graph_build, "FEW_ROWS", few_rows, raising=False)
+    monkeypatch.setattr(shared, "FEW_ROWS", few_rows)
 
     def watched(df, name):
         table = written(df, name)
@@ -111,3 +111,9 @@ def test_stars_are_not_written(spark, monkeypatch, many, few_rows):
     assert [r[:3] for r in rows] == [w[:3] for w in want]
     assert all(abs(r[3] - w[3]) < 0.0101 for r, w in zip(rows, want, strict=True))
     assert many < 64 or max(most) < 900 < len(want)
+
+
+def test_pairs_of_a_source_are_not_shuffled(spark):
+    """Stars as large as their sources were sorted out by a shuffle of all pairs."""
+    plan = retrieval.shared_source_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
