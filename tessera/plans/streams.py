@@ -1,4 +1,4 @@
-"""Queries that run as streams: closed sessions, and beliefs in keyed state."""
+"""Queries that run as streams: closed sessions, beliefs and learners' whole state."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ def session_window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_bkt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beliefs that the batch query folds, kept by a stream."""
-    changes = events.drained(events.beliefs(attempts_of(events.event_stream(spark, f"{sf_dir}/events.parquet"))), "beliefs")
-    return events.newest_beliefs(changes).withColumn("p_known", F.round("p_known", 9))
+    """The beliefs that the batch query folds, kept by a stream; its state is a table, as keyed state costs a call of Python for each belief."""
+    states = LearnerStates(spark)
+    states.run(attempts_of(events.event_stream(spark, f"{sf_dir}/events.parquet")))
+    return states.states().select("user_id", "kc_id", F.round("p_known", 9).alias("p_known"), "obs_n")
 
 
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import learner
+from tessera.operators.shared import shared_folder
+from tessera.plans import streams
 from tessera.plans.readiness import reconcile
 from tessera.sources.adapters import attempts, attempts_of, table
 from tessera.streaming import events
@@ -58,3 +62,15 @@ def test_learner_states_go_on_after_stops_with_late_rows(spark, tmp_path):
     batch = attempts_of(rows.where(comes > cuts[1]).withColumn("ts", F.col("ts").cast("timestamp")))
     states.take(batch, 2)
     assert sorted(map(tuple, states.states().collect())) == once
+
+
+def test_stream_of_beliefs_keeps_no_state_by_key_in_python(spark, tmp_path):
+    """The query's state is a table: a key costs rows, not a call of Python. Components that are null are one of their own."""
+    rows = spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 37 % 100).cast("double").alias("value"), F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"k": '), (F.col("id") % 5).cast("string"), F.lit("}"))).alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    top = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(top.glob("*/progress/state"))
+    got = {(r["user_id"], r["kc_id"]): r["obs_n"] for r in streams.stream_bkt(spark, str(tmp_path)).collect()}
+    want = {(r["user_id"], r["kc_id"]): r["n"] for r in attempts(spark, str(tmp_path)).groupBy("user_id", "kc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want and (0, None) in got
+    assert set(top.glob("*/progress/state")) == before
