@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.shared import written
-
 #: First belief, and chances to learn, guess and slip.
 P0, LEARN, GUESS, SLIP = 0.1, 0.2, 0.2, 0.1
 #: A score from here on is correct; beliefs from here on are mastery, below here weakness.
@@ -169,41 +168,73 @@ def refit(attempts: DataFrame, least: int = 5) -> DataFrame:
     """(user_id, observations, p_known, p_t, p_g, p_s): most likely parameters over each learner's history.
 
     The chance to know before attempt k is 1 - (1 - p) * (1 - p_t) ** (k - 1), whatever was answered, so a
-    history counts by how often each place was right; each grid is one aggregate with a row for each
-    learner and cell. Likelihoods are compared to nine digits, ties go to the first cell. Learners with
-    fewer than ``least`` attempts keep the default parameters.
+    history counts by how often each place was right. A learner's attempts come sorted by time to one task,
+    which holds a byte for each and sums a grid's likelihoods over CELLS of attempts and cells at once.
+    Likelihoods are compared to nine digits, ties go to the first cell. Learners with fewer than ``least``
+    attempts keep the default parameters.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = attempts.select("user_id", (F.col("score") >= CORRECT).alias("correct"), (F.row_number().over(order) - 1).alias("k"))
-    users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("observations"), F.max(F.when((F.col("k") == 0) & F.col("correct"), 0.5).otherwise(0.1)).alias("p"))
-    base = written(rows.join(users.where(F.col("observations") >= least), "user_id"), "refit-attempts")
-
-    def likelihood(p, pt, pg, ps):
-        know = 1 - (1 - p) * F.pow(1 - pt, F.col("k"))
-        seen = F.when(F.col("correct"), know * (1 - ps) + (1 - know) * pg).otherwise(know * ps + (1 - know) * (1 - pg))
-        return F.round(F.sum(F.log(seen)), 9).alias("ll")
-
-    first = {name: F.explode(F.array(*[F.lit(x) for x in GRID])).alias(name) for name in ("pt", "pg", "ps")}
-    best = None
+    kind = dict(attempts.dtypes)["user_id"]
+    schema = f"user_id {kind}, observations long, p_known double, p_t double, p_g double, p_s double"
+    right = F.coalesce(F.col("score") >= CORRECT, F.lit(False)).alias("correct")
+    rows = attempts.where("user_id IS NOT NULL").select("user_id", "ts", "event_id", right).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "correct")
+
+    def run(frames):
+        user, parts = None, []
+        for frame in frames:
+            users, answers, out = frame["user_id"].to_numpy(), frame["correct"].to_numpy(dtype=bool), []
+            cuts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if parts and users[start] != user:
+                    out.append((user, *_fitted(np.concatenate(parts), least)))
+                    parts = []
+                user = users[start]
+                parts.append(answers[start:end].copy())
+            yield pd.DataFrame(out, columns=["user_id", "observations", *PARAMETERS])
+        if parts:
+            yield pd.DataFrame([(user, *_fitted(np.concatenate(parts), least))], columns=["user_id", "observations", *PARAMETERS])
+
+    # attempts of no learner are no history
+    nobody = attempts.where("user_id IS NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("observations")).select("user_id", "observations", *[F.lit(x).alias(c) for c, x in PARAMETERS.items()])
+    return rows.mapInPandas(run, schema).unionByName(nobody)
+
+
+#: The parameters of a refit, and what they are without one.
+PARAMETERS = {"p_known": P0, "p_t": LEARN, "p_g": GUESS, "p_s": SLIP}
+#: Attempts times cells that a refit weighs at once: 8 MB for each step of the sum.
+CELLS = 1 << 20
+
+
+def _likelihoods(correct: np.ndarray, p: np.ndarray, pt: np.ndarray, pg: np.ndarray, ps: np.ndarray) -> np.ndarray:
+    """Log likelihoods of a history, one for each of the cells p x pt x pg x ps."""
+    shape = (len(p), len(pt), len(pg), len(ps))
+    total, step = np.zeros(shape), max(1, CELLS // (shape[0] * shape[1] * shape[2] * shape[3]))
+    for start in range(0, len(correct), step):
+        is_right = correct[start : start + step]
+        k = np.arange(start, start + len(is_right))
+        know = 1 - (1 - p[:, None]) * np.power(1 - pt, k[:, None, None])  # k, p, pt
+        know = know[:, :, :, None, None]
+        right = know[is_right] * (1 - ps) + (1 - know[is_right]) * pg[:, None]
+        wrong = know[~is_right] * ps + (1 - know[~is_right]) * (1 - pg[:, None])
+        total += np.log(right).sum(axis=0) + np.log(wrong).sum(axis=0)
+    return total
+
+
+def _fitted(correct: np.ndarray, least: int) -> tuple:
+    """(observations, p_known, p_t, p_g, p_s) of a learner whose attempts, in order, were right or not."""
+    if len(correct) < least:
+        return (len(correct), *PARAMETERS.values())
+    p = np.array([0.5 if correct[0] else 0.1])
+    best, cell = None, None
     for reach in (None, *REACH):
-        if reach is None:
-            cells = base
-            for column in first.values():
-                cells = cells.select("*", column)
-        else:
-            cells = base.join(best.select("user_id", *[F.col(f"b.{c}").alias(f"{c}0") for c in first]), "user_id")
-            for c in first:
-                near = F.array(*[F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(f"{c}0") + d * reach)), 4) for d in (-2, -1, 0, 1, 2)])
-                cells = cells.select("*", F.explode(near).alias(c))
-        found = cells.groupBy("user_id", "pt", "pg", "ps").agg(likelihood(F.col("p"), F.col("pt"), F.col("pg"), F.col("ps")))
-        top = found.groupBy("user_id").agg(F.max_by(F.struct("ll", "pt", "pg", "ps"), F.struct("ll", -F.col("pt"), -F.col("pg"), -F.col("ps"))).alias("b"))
-        if best is not None:
-            top = top.join(best.withColumnRenamed("b", "a"), "user_id").select("user_id", F.when(F.col("b.ll") > F.col("a.ll"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        best = written(top, "refit-best")
-    tried = base.join(best.select("user_id", "b.*"), "user_id")
-    starts = F.explode(F.array(F.struct(F.lit(-1).alias("i"), F.col("p").alias("p0")), *[F.struct(F.lit(i).alias("i"), F.lit(x).alias("p0")) for i, x in enumerate(FIRST)]))
-    scored = tried.select("user_id", "k", "correct", "pt", "pg", "ps", starts.alias("s")).groupBy("user_id", "pt", "pg", "ps", "s").agg(likelihood(F.col("s.p0"), F.col("pt"), F.col("pg"), F.col("ps")))
-    fitted = scored.groupBy("user_id", "pt", "pg", "ps").agg(F.max_by("s.p0", F.struct("ll", -F.col("s.i"))).alias("p0"))
-    clamp = lambda c: F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(c))), 4)
-    names = {"p_known": ("p0", P0), "p_t": ("pt", LEARN), "p_g": ("pg", GUESS), "p_s": ("ps", SLIP)}
-    return users.join(fitted, "user_id", "left").select("user_id", "observations", *[F.coalesce(clamp(c), F.lit(default)).alias(n) for n, (c, default) in names.items()])
+        grids = [np.array(GRID)] * 3 if reach is None else [np.round(np.clip(c + np.arange(-2, 3) * reach, 0.01, 0.99), 4) for c in cell]
+        grids, times = zip(*(np.unique(grid, return_counts=True) for grid in grids), strict=True)
+        # as in the SQL, equal cells of a grid (at a bound) are one, in which each attempt counts as often
+        found = np.round(_likelihoods(correct, p, *grids) * times[0][:, None, None] * times[1][:, None] * times[2], 9)
+        at = np.unravel_index(np.argmax(found), found.shape)
+        if best is None or found[at] > best:
+            best, cell = found[at], [grid[k] for grid, k in zip(grids, at[1:], strict=True)]
+    starts = np.concatenate([p, FIRST])
+    p0 = starts[np.argmax(np.round(_likelihoods(correct, starts, *[np.array([c]) for c in cell]), 9))]
+    return (len(correct), *(float(np.round(np.clip(x, 0.01, 0.99), 4)) for x in (p0, *cell)))
