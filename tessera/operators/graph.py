@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from tessera.operators.shared import discard, hot_keys, join_spread, observed, written
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(a, b) for each edge in both directions, without repeats or loops."""
-    there = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+def turned(edges: DataFrame) -> DataFrame:
+    """(a, b) for each edge in both directions, without loops; repeats stay."""
+    there = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
+    return there.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+
+
+def both_ways(edges: DataFrame, n_tasks: int | None = None) -> DataFrame:
+    """(a, b) for each edge in both directions, without repeats or loops; repeats are found among one direction of each, in ``n_tasks`` if given."""
+    one = edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
+    return turned((one.repartition(n_tasks, "source", "target") if n_tasks else one).distinct())
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -35,14 +41,14 @@ def reachable(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, n_tasks: int | None = None) -> DataFrame:
     """(node, component): the smallest node that edges lead to, whatever their direction.
 
     Labels fall to the least of the neighbours' and then to their own label's label, until none falls.
     Nodes with very many neighbours, and labels that very many nodes have, are joined apart, so neither
     a hub nor a giant component meets in one task.
     """
-    pairs = written(both_ways(edges), "component-pairs")
+    pairs = written(both_ways(edges, n_tasks), "component-pairs")
     hubs = hot_keys(pairs, "b")
     labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "component-labels")
     while True:
@@ -57,18 +63,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def common_neighbours(edges: DataFrame) -> DataFrame:
+def common_neighbours(edges: DataFrame, n_tasks: int | None = None) -> DataFrame:
     """(a, b, common, adamic_adar) for linked pairs a < b with common neighbours.
 
-    Only pairs that an edge links are looked at; each looks up its end of smaller degree.
+    Every edge leads to its end of higher degree (of even ones, to the larger node), so no node has more than the
+    root of twice the edges ahead of it. Of each triangle the first node tells the second which others lie ahead
+    of both, one list for each edge, and those that the second one has too close it.
     """
-    pairs = written(both_ways(edges), "neighbour-pairs")  # five joins read it
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    pairs = written(both_ways(edges, n_tasks), "neighbour-pairs")  # what follows reads it twice
+    degree = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d")), "neighbour-degrees")
     da, db = degree.select("a", F.col("d").alias("da")), degree.select(F.col("a").alias("b"), F.col("d").alias("db"))
-    linked = pairs.where("a < b").join(da, "a").join(db, "b")
-    less = F.col("da") <= F.col("db")
-    linked = linked.select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("other"))
-    wedges = linked.join(pairs.select(F.col("a").alias("near"), F.col("b").alias("z")), "near")
-    closed = wedges.join(pairs.select(F.col("a").alias("other"), F.col("b").alias("z")), ["other", "z"], "left_semi")
-    scored = closed.join(degree.select(F.col("a").alias("z"), "d"), "z")
+    led = pairs.join(db, "b").join(da, "a").where(F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a")))
+    ahead = written(led.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("db", "b"))), lambda x: x["b"]).alias("ahead")), "neighbours-ahead")
+    asked = ahead.select(F.col("a").alias("first"), "ahead", F.posexplode("ahead").alias("k", "a")).where(F.col("k") + 1 < F.size("ahead")).select("a", "first", F.expr("slice(ahead, k + 2, size(ahead))").alias("others"))
+    closed = asked.join(ahead, "a").select(F.col("first").alias("x"), F.col("a").alias("y"), F.explode(F.array_intersect("others", "ahead")).alias("z"))
+    corner = lambda a, b, z: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(z).alias("z"))
+    shared = closed.select(F.explode(F.array(corner("x", "y", "z"), corner("x", "z", "y"), corner("y", "z", "x"))).alias("t")).select("t.*")
+    scored = shared.join(degree.select(F.col("a").alias("z"), "d"), "z")
     return scored.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.round(F.sum(1 / F.log(F.col("d").cast("double"))), 6).alias("adamic_adar"))

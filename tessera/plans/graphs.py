@@ -63,7 +63,7 @@ SQL["isolated_nodes"] = f"WITH {_E} SELECT p_partkey, p_name FROM part WHERE p_p
 def _neighbourhood(depth: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         start = spark.createDataFrame([(1,)], "node long")
-        return graph.reachable(graph.both_ways(adapters.prerequisite_edges(spark, sf_dir)), start, depth)
+        return graph.reachable(graph.turned(adapters.prerequisite_steps(spark, sf_dir)), start, depth)
 
     return run
 
@@ -83,12 +83,11 @@ SQL["learning_path"] = _REACH.format(_E, "source", "e ON target = node", 3)
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(adapters.prerequisite_edges(spark, sf_dir))
-
+    return graph.connected_components(adapters.prerequisite_steps(spark, sf_dir), adapters.line_tasks(spark, sf_dir))
 
 
 def adamic_adar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.common_neighbours(adapters.prerequisite_edges(spark, sf_dir))
+    return graph.common_neighbours(adapters.prerequisite_steps(spark, sf_dir), adapters.line_tasks(spark, sf_dir))
 
 
 SQL["adamic_adar"] = f"""
