@@ -251,3 +251,18 @@ def test_stated_relations_are_repaired(spark):
     by = {doc: {(r["source"], r["target"], r["edge_type"], r["evidence"], r["confidence"], r["weight"]) for r in got if r["doc"] == doc} for doc in nodes}
     assert by == {doc: plain_repair(stated[doc], nodes[doc], cands[doc]) for doc in nodes}
     assert {(r["source"], r["target"], r["edge_type"]) for r in got if r["doc"] in (1, 2)} == {("martensite", "xrd", "characterized_by"), ("he", "hm", "explained_by")}
+
+
+def test_pairs_are_given_in_parts():
+    """A task of long texts gives what it found as it goes, not a whole batch at once."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"doc": range(6), "text": ["iron and steel! " * 2000] * 6, "terms": [[["iron"], ["steel"]]] * 6, "names": [[4, 5]] * 6, "labels": [[4, 5]] * 6})
+    whole = pd.concat(candidates._pairs(iter([frame])))
+    held, candidates.HELD = candidates.HELD, 300_000
+    try:
+        parts = list(candidates._pairs(iter([frame])))
+    finally:
+        candidates.HELD = held
+    assert len(parts) > 2 and max(map(len, parts)) <= 2
+    assert pd.concat(parts)["pairs"].tolist() == whole["pairs"].tolist() and pd.concat(parts)["doc"].tolist() == list(range(6))
