@@ -31,7 +31,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFr
     part = written(known.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part")), "bridge-parts")
     lacks = F.length(F.coalesce("evidence", F.lit(""))) == 0
     order = F.struct(lacks.alias("lacks"), (-F.coalesce("score", F.lit(0.0))).alias("loss"), "source", "target", "edge_type")
-    offered = candidates.select("source", "target", "evidence", "reason", order.alias("order"))
+    offered = written(candidates.select("source", "target", "evidence", "reason", order.alias("order")), "bridge-offers")  # read three times
     rows, taken, spent = offered, None, [part]
     for x in ("source", "target"):
         rows = join_spread(rows, x, part.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")), hot_keys(offered, x))

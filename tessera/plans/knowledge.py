@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import cycles, graph, graph_build, learner, relevance, stages
+from tessera.operators.shared import written
 from tessera.plans import graphs, learners, mastery, readiness
 from tessera.sources import adapters
 from tessera.sources.adapters import PAGE_EDGES_SQL, attempts, page_edges, table
@@ -151,7 +152,8 @@ SELECT community, count(*) AS member_count, arg_max(p_partkey, (size, -p_partkey
 
 def graph_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(insight_type, title, score) of at least 1.5: few-linked nodes, sparse communities, nodes between communities, cross-type edges."""
-    pairs = graph.both_ways(adapters.prerequisite_edges(spark, sf_dir))
+    edges = written(adapters.prerequisite_edges(spark, sf_dir), "part-edges")
+    pairs = written(graph.both_ways(edges, adapters.line_tasks(spark, sf_dir)), "part-pairs")
     parts = table(spark, sf_dir, "part")
     degree = parts.select(F.col("p_partkey").alias("a")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d")), "a", "left").fillna(0, ["d"])
     few = degree.agg(F.count_if(F.col("d") <= 1).alias("n")).where("n > 0").select(F.lit("knowledge_gap").alias("insight_type"), F.concat("n", F.lit(" isolated knowledge points")).alias("title"), (F.col("n") * 0.5).alias("score"))
@@ -159,7 +161,7 @@ def graph_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = pairs.join(parts.select(F.col("p_partkey").alias("b"), "p_type"), "b").groupBy("a").agg(F.count_distinct("p_type").alias("n")).where("n >= 3")
     bridges = near.join(parts.select(F.col("p_partkey").alias("a"), "p_name"), "a").select(F.lit("bridge").alias("insight_type"), F.concat(F.lit("Bridge concept: "), F.col("a").cast("string"), F.lit(" "), "p_name").alias("title"), (F.col("n") * 1.5).alias("score"))
     kinds = [parts.select(F.col("p_partkey").alias(c), F.col("p_type").alias(f"type_{c}")) for c in ("source", "target")]
-    cross = adapters.prerequisite_edges(spark, sf_dir).join(kinds[0], "source").join(kinds[1], "target").where("type_source <> type_target")
+    cross = edges.join(kinds[0], "source").join(kinds[1], "target").where("type_source <> type_target")
     crossed = cross.select(F.lit("surprising_connection").alias("insight_type"), F.concat(F.lit("Cross-type: "), F.col("source").cast("string"), F.lit(" <-> "), F.col("target").cast("string")).alias("title"), F.lit(2.0).alias("score"))
     return few.unionByName(sparse).unionByName(bridges).unionByName(crossed).where("score >= 1.5")
 
