@@ -101,3 +101,15 @@ def test_markup_edges(spark):
     assert one("Hello, World!", markup.anchor) == "hello-world" and one("  ", markup.anchor) == "section"
     assert one("$$ x $$ and $$ open", markup.inline_math) == "$x$ and $$ open"
     assert one("二十三", grading.numeral) == 23 and one("十", grading.numeral) == 10 and one("x", grading.numeral) is None
+
+
+def test_mentions_stay_in_their_task_and_are_given_in_parts(spark, monkeypatch):
+    """No place is shuffled or written to see what lies in what, and a task holds few places at once."""
+    monkeypatch.setattr(relevance, "PLACES", 3)
+    texts = spark.createDataFrame([(k, "there the others er " * 2) for k in range(5)], "doc_id long, text string").coalesce(1)
+    found = relevance.mentions(texts, ["the", "there", "er", "ere"], ["doc_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Join" not in plan
+    got = sorted((r["label"], r["start"]) for r in found.where("doc_id = 3").collect())
+    assert got == [("er", 13), ("er", 17), ("er", 33), ("er", 37), ("the", 6), ("the", 11), ("the", 26), ("the", 31), ("there", 0), ("there", 20)]
+    assert found.count() == 50
