@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.common import stash, text_batches
+from tessera.operators import shared
 from tessera.operators.graph import connected_components
 
 #: N-grams that the global order sorts by frequency: at most so many, which bounds the broadcast.
@@ -162,9 +163,51 @@ def frequent_grams(counts: DataFrame) -> np.ndarray:
     return top["id"].to_numpy(np.int64).view(np.uint64)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over ``links`` (a, b), for all linked nodes."""
-    return connected_components(links.select(F.col("a").alias("source"), F.col("b").alias("target")))
+def forest(links) -> dict[int, int]:
+    """The smallest node that ``links`` (a, b) lead to, of each node of theirs."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
+def components(links: DataFrame, n_links: int) -> DataFrame:
+    """(node, component): the smallest node reachable over ``links`` (a, b), for all linked nodes.
+
+    Tasks of TASK_ROWS links at most put a star in place of each tree of links, so rounds over all
+    tasks' stars join only what several tasks have found; a single task's stars are the components.
+    """
+    n_tasks, most = shared.tasks_for(n_links), shared.TASK_ROWS
+
+    def stars(frames):
+        held, size = [], 0
+
+        def out():
+            found = forest(row for f in held for row in zip(f["a"].tolist(), f["b"].tolist(), strict=True))
+            return pd.DataFrame({"node": list(found), "component": list(found.values())}, dtype="int64")
+
+        for frame in frames:
+            for part in (frame.iloc[k : k + most] for k in range(0, len(frame), most)):
+                if held and size + len(part) > most:
+                    yield out()
+                    held, size = [], 0
+                held.append(part)
+                size += len(part)
+        if held:
+            yield out()
+
+    found = links.select("a", "b").coalesce(n_tasks).mapInPandas(stars, "node long, component long")
+    if n_tasks == 1:
+        return stash(found, "jaccard-components")
+    return connected_components(found.select(F.col("node").alias("source"), F.col("component").alias("target")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, portion: int = PORTION) -> DataFrame:
@@ -299,7 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     met = listed.select("node").distinct()
     # copies of one text share a node, so they are put together before they meet
-    sketches = seen.where("kind = 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")).join(met, "node", "left_semi")
+    sketches = seen.where("kind = 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("id").alias("id")).join(met, "node", "left_semi")
     sketches = stash(sketches, "jaccard-sketches")
 
     def whole_cells(frames):
@@ -338,7 +381,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, grams in the global order), from one document of each node."""
-        wanted = rows.where("id is not null").groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi").select("id")
+        wanted = sketches.where("id is not null").join(nodes, "node", "left_semi").select("id")
         wanted = stash(wanted, "jaccard-wanted")  # written, so that its size decides how it is joined
         texts = both.join(wanted, "id", "left_semi").unionByName(both.where("id is null"))
         made = texts.mapInPandas(ordered_sets, "node long, grams binary").join(nodes, "node", "left_semi")
@@ -364,7 +407,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def links(cells):
         """Links of cells (cell, side, node, comp), over all pairs of side 0 and side 1."""
         order_of = ("cell", "side", "node")
-        dealt = cells.join(sketches, "node").repartition("cell").sortWithinPartitions(*order_of)
+        dealt = cells.join(sketches.select("node", "sketch", "n"), "node").repartition("cell").sortWithinPartitions(*order_of)
         left = stash(dealt.mapInPandas(hopeful, "cell long, side int, node long, comp long"), "jaccard-cells")
         sets = sets_of(left.select("node").distinct())
         whole = left.join(sets, "node").repartition("cell").sortWithinPartitions(*order_of)
@@ -376,8 +419,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     cells = pairs.join(blocks, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), "blocks")).alias("cell"), F.lit(1).alias("side"), "node", F.col("node").alias("comp"))
     heads = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(F.xxhash64("hub", "block").alias("cell"), F.lit(0).alias("side"), F.col("hub").alias("node"), F.col("hub").alias("comp"))
-    first = stash(links(cells.unionByName(heads)), "jaccard-links")
-    near = components(first)
+    first, seen_first = shared.observed(links(cells.unionByName(heads)), "jaccard-links", n=F.count(F.lit(1)))
+    near = components(first, seen_first["n"])
 
     # then what still is apart: the sets outside a list's largest component against all of the list
     known = listed.join(near, "node", "left").select("list", "node", F.coalesce("component", "node").alias("comp"))
@@ -392,9 +435,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     right = grid.select("list", "node", "comp", "own", F.col("outer").cast("int").alias("kind"), F.explode(span(F.col("nr"))).alias("other"))
     right = right.select(F.xxhash64("list", "other", "kind", "own").alias("cell"), F.lit(1).alias("side"), "node", "comp")
     second = links(left.unionByName(right))
-    every = stash(first.unionByName(second), "jaccard-links")
+    second, seen_second = shared.observed(second, "jaccard-links", n=F.count(F.lit(1)))
 
-    joined = components(every)
+    joined = components(first.unionByName(second), seen_first["n"] + seen_second["n"])
     named = rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least")).join(joined, "node", "left")
     named = named.select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("least_of_all"))

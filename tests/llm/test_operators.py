@@ -354,6 +354,24 @@ def test_jaccard_components(spark):
     assert jaccard_join.jaccard_components(odd(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("task_rows", [7, 250_000])
+def test_jaccard_links_are_joined_in_their_tasks(spark, monkeypatch, task_rows):
+    """Components of random links, over several tasks and in one; links of one task take no rounds."""
+    monkeypatch.setattr(jaccard_join.shared, "TASK_ROWS", task_rows)
+    draw = np.random.default_rng(8)
+    links = [(int(min(e)), int(max(e))) for e in draw.integers(0, 60, (40, 2)) if e[0] != e[1]] + [(100 + k, 101 + k) for k in range(30)]
+    least = {x: x for e in links for x in e}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    table, began = spark.createDataFrame(links, "a long, b long").repartition(5), jobs()
+    found = jaccard_join.components(table, len(links))
+    assert task_rows == 7 or jobs() - began <= 3
+    assert rows_of(found, "node", "component") == sorted(least.items(), key=repr)
+    assert jaccard_join.components(table.limit(0), 0).count() == 0
+
+
 def test_jaccard_lists_in_portions(spark, monkeypatch):
     """A list leaves in portions: x early, y last, similar to each other alone, meet in no other list."""
     one = lambda t: jaccard_join._sets([t], 5)[0]
