@@ -8,7 +8,7 @@ import re
 import pytest
 
 from tessera.functions import grading, markup
-from tessera.operators import cycles, ordering, relevance
+from tessera.operators import cycles, ordering, relevance, shared
 from tessera.plans.retrieval import quotes_found
 
 
@@ -37,6 +37,27 @@ def test_pruned(spark, cap):
     assert sorted(tuple(r) for r in got.collect()) == greedy(edges, cap)
 
 
+def test_pruning_rounds_join_nothing(spark, monkeypatch):
+    """What a round reads and writes is short, and it looks no edge up; held edges and shared weights change nothing."""
+    rounds = []
+
+    def observed(df, name, **metrics):
+        if name == "prune-round":
+            rounds.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return shared.observed(df, name, **metrics)
+
+    monkeypatch.setattr(relevance, "observed", observed)
+    draw = random.Random(4)
+    edges = sorted({(draw.randrange(20), draw.randrange(20), draw.choice(["related", "scaffolds", "direct"]), 1.0) for _ in range(150)})
+    edges = [e for k, e in enumerate(edges) if e[0] != e[1] and not any({e[0], e[1]} == {f[0], f[1]} for f in edges[:k])]
+    table = spark.createDataFrame(edges, "source long, target long, edge_type string, weight double")
+    assert sorted(tuple(r) for r in relevance.pruned(table, 3).collect()) == greedy(edges, 3)
+    assert rounds and all("Join" not in plan and "edge_type" not in columns for columns, plan in rounds)
+    held = [(0, 99, "direct", 9.0), (0, 98, "direct", 9.0)]
+    got = relevance.pruned(table, 3, spark.createDataFrame([(0, 2)], "node long, n long"))
+    assert sorted([*(tuple(r) for r in got.collect()), *held]) == greedy([*edges, *held], 3)
+
+
 @pytest.mark.parametrize("n_edges", [0, 12, 30])
 def test_circles(spark, n_edges):
     draw = random.Random(n_edges)
