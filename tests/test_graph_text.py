@@ -9,7 +9,11 @@ import pytest
 
 from tessera.functions import grading, markup
 from tessera.operators import cycles, ordering, relevance, shared
+from tessera.plans import knowledge
 from tessera.plans.retrieval import quotes_found
+from tessera.sources import adapters
+
+SF = "/root/testdata/sf0.001"
 
 
 def greedy(edges, cap):
@@ -37,6 +41,22 @@ def test_pruned(spark, cap):
     assert sorted(tuple(r) for r in got.collect()) == greedy(edges, cap)
 
 
+def test_pruned_graph_takes_every_edge(spark):
+    """Edges of weight 1 were left out but for those of every fifth part."""
+    kind = lambda s, t: "prerequisite" if s % 9 == 0 else "scaffolds" if t % 7 == 0 else "related"
+    edges = [(r["source"], r["target"], kind(r["source"], r["target"]), float(r["weight"])) for r in adapters.prerequisite_edges(spark, SF).collect()]
+    assert sorted(tuple(r) for r in knowledge.pruned_graph(spark, SF).collect()) == greedy(edges, 8)
+
+
+@pytest.mark.parametrize("rows", [0, 20])
+def test_pruning_by_rounds_and_at_once(spark, monkeypatch, rows):
+    """Rounds go on while what is left doesn't fit a task; decided there or by rounds, the same edges stay."""
+    monkeypatch.setattr(shared, "TASK_ROWS", rows)
+    edges = [(f"n{a}", f"n{b}", "related" if (a + b) % 5 else "direct", float(a % 3)) for a in range(12) for b in range(a + 1, 12)]
+    got = relevance.pruned(spark.createDataFrame(edges, "source string, target string, edge_type string, weight double"), 4)
+    assert sorted(tuple(r) for r in got.collect()) == greedy(edges, 4)
+
+
 def test_pruning_rounds_join_nothing(spark, monkeypatch):
     """What a round reads and writes is short, and it looks no edge up; held edges and shared weights change nothing."""
     rounds = []
