@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks
 from tessera.operators.shared import FEW_ROWS, HOT_ROWS, dealt, discard, hot_keys, join_spread, observed, small, tasks_for, written
 
 #: Rounds of one level, levels, and the gain of modularity in two rounds that is worth going on for.
@@ -116,6 +117,66 @@ def _by_node(links: DataFrame, own: DataFrame, hubs: DataFrame | None, n_tasks:
     return choice(links.join(hot, "a", "left_anti").repartition(n_tasks, "a"), own).unionByName(choice(links.join(hot, "a", "left_semi"), few))
 
 
+def _level(pairs: DataFrame, n_pairs: int, level: int, resolution: float) -> tuple[DataFrame, tuple[DataFrame, dict] | None]:
+    """(node, community) after local moves over ``pairs``, and the pairs of communities with their number; None if no node moved.
+
+    Where ids are numbers and no node has more pairs than a block, blocks of pairs stay where they are; if all fit a task, it makes all rounds.
+    """
+    by_block = dict(pairs.dtypes)["a"] == "bigint" and n_pairs and pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= blocks.BLOCK_PAIRS
+    if by_block:
+        kept, n = blocks.made(pairs, n_pairs)
+        state, moved = _settled_blocks(kept, n, level, resolution, n == 1 and tasks_for(n_pairs) == 1)
+        found = written(blocks.members(state), "louvain-nodes")
+        smaller = blocks.contracted(kept, state) if moved else None
+    else:
+        n_tasks = tasks_for(n_pairs)
+        kept = dealt(pairs, "b", n_tasks)
+        hubs = hot_keys(kept, "b")
+        found, moved = _settled(kept, level, resolution, hubs, n_tasks)
+        ends = [found.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b")]
+        if moved:
+            inner = join_spread(join_spread(kept, "b", ends[1], hubs), "a", ends[0], hubs if hubs is None else hubs.withColumnRenamed("b", "a"))
+            smaller = inner.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"))
+    told = observed(smaller, "louvain-pairs", n=F.count(F.lit(1))) if moved else None
+    kept.unpersist()
+    return found, told
+
+
+def _settled_blocks(kept: DataFrame, n: int, level: int, resolution: float, one_task: bool) -> tuple[DataFrame, bool]:
+    """As ``_settled``, over blocks: the best state met, and whether any node moved."""
+    total = kept.agg(F.sum("strength")).first()[0]
+    if not total:
+        return blocks.alone(kept), False
+    if one_task:
+        state, told = observed(blocks.settled(kept, level, resolution, total, _best), "louvain-state", moved=F.max("_go"))
+        return state, bool(told["moved"])
+
+    def turn(state: DataFrame, round_: int) -> tuple[DataFrame, int, float, float]:
+        after, told = observed(blocks.moved(kept, state, n, level, round_, resolution, total), "louvain-round", inside=F.sum("inside"), squares=F.sum("squares"), moves=F.sum("_go"))
+        return after, told["moves"], told["inside"], told["squares"]
+
+    return _best(blocks.alone(kept), turn, total, resolution)
+
+
+def _best(state, turn: Callable, total: float, resolution: float):
+    """The best state that rounds meet, from ``state`` on, and whether any node moved; ``turn`` gives the next one, moves, and what the last is worth."""
+    best, best_q, before, moved, moves_before = state, None, None, False, 1
+    for round_ in range(ROUNDS + 1):
+        after, moves, inside, squares = turn(state, round_)
+        q = inside / total - resolution * squares / total**2
+        if best_q is None or q > best_q + 1e-12:
+            best, best_q = state, q
+        idle = not moves and not moves_before
+        stale = round_ % 2 == 0 and before is not None and q - before < WORTH
+        if round_ % 2 == 0:
+            before = q
+        moved, moves_before = moved or bool(moves), moves
+        if idle or stale:
+            break
+        state = after
+    return best, moved
+
+
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = "weight", resolution: float = 1.0) -> DataFrame:
     """(node, community): communities of greatest modularity found by local moves and contraction; a community is named by its least node.
 
@@ -129,27 +190,19 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None
     pairs, seen = observed(both_ends(edges, weight), "louvain-pairs", n=F.count(F.lit(1)))
     members = None  # (node, community) of the nodes of the first level
     for level in range(LEVELS):
-        n_tasks = tasks_for(seen["n"])
-        kept = dealt(pairs, "b", n_tasks)
-        hubs = hot_keys(kept, "b")
-        found, moved = _settled(kept, level, resolution, hubs, n_tasks)
+        found, smaller = _level(pairs, seen["n"], level, resolution)
         if members is None:
             members = found
-        elif moved:
+        elif smaller is not None:
             # a community is a node of the next level; a giant one has many members
             held = members.withColumnRenamed("community", "up")
             up = join_spread(held, "up", found.select(F.col("node").alias("up"), "community"), hot_keys(held, "up"))
             members = written(up.select("node", "community"), "louvain-members")
             discard(held)
-        if not moved:
-            kept.unpersist()
+        if smaller is None:
             break
-        ends = [found.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b")]
-        inner = join_spread(join_spread(kept, "b", ends[1], hubs), "a", ends[0], hubs if hubs is None else hubs.withColumnRenamed("b", "a"))
-        smaller, seen = observed(inner.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-pairs", n=F.count(F.lit(1)))
-        kept.unpersist()
         discard(pairs)
-        pairs = smaller
+        pairs, seen = smaller
     least = members.groupBy("community").agg(F.min("node").alias("least"))
     named = join_spread(members, "community", least, hot_keys(members, "community")).select("node", F.col("least").alias("community"))
     if nodes is not None:

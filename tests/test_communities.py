@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import communities, shared
+from tessera.operators import blocks, communities, shared
 from tessera.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +165,19 @@ def test_a_round_moves_the_edges_once(spark, monkeypatch, run):
     monkeypatch.setattr(shared, "TASK_ROWS", 100, raising=False)
     run(spark.createDataFrame(planted(4, 10, 0.7, 0.05, 5), "source long, target long, weight double"))
     assert max(moves) == 1
+
+
+def test_blocks_of_pairs_stay_where_they_are(spark, monkeypatch):
+    """Rounds that join all pairs took too long over 27 million edges; blocks, or one task, make the same ones."""
+    edges = [(a * 7 - 20, b * 7 - 20, w) for a, b, w in planted(4, 10, 0.6, 0.05, 6)] + [(1, 1, 2.0), (1, 8, 0.5)]
+    df = spark.createDataFrame(edges, "source long, target long, weight double")
+    joined, of_joins = [], communities._settled
+    monkeypatch.setattr(communities, "_settled", lambda *given: joined.append(1) or of_joins(*given))
+    one = members(communities.louvain(df))
+    monkeypatch.setattr(shared, "TASK_ROWS", 60)
+    monkeypatch.setattr(blocks, "BLOCK_PAIRS", 60)
+    several = members(communities.louvain(df))
+    assert not joined
+    monkeypatch.setattr(blocks, "BLOCK_PAIRS", 1)
+    assert one == several == members(communities.louvain(df))
+    assert joined
